@@ -46,38 +46,46 @@ def anova_two_way(frame: DataFrame, a: str, b: str, y: str) -> DataFrame:
     """
     cells = materialize(_moments(frame, [a, b], y), "cells")
     size = cells.agg(
-        F.count_distinct(a).alias("a"), F.count_distinct(b).alias("b"), F.count(F.lit(1)).alias("cells")
+        F.count_distinct(a).alias("a"),
+        F.count_distinct(b).alias("b"),
+        F.count(F.lit(1)).alias("cells"),
+        *(end(factor).alias(f"{end.__name__}_{side}")
+          for side, factor in (("a", a), ("b", b)) for end in (F.min, F.max)),
     ).first()
     if size["cells"] == 0:
         raise ValueError("no rows to compare")
     if size["b"] <= 2:
-        return _terms(_two_level_sums(cells, a, b), a, b, a, b)
+        return _terms(_two_level_sums(cells, a, b, (size["min_b"], size["max_b"])), a, b, a, b)
     if size["a"] <= 2:
-        return _terms(_two_level_sums(cells, b, a), b, a, a, b)
+        return _terms(_two_level_sums(cells, b, a, (size["min_a"], size["max_a"])), b, a, a, b)
     if size["cells"] > DRIVER_CELLS or size["a"] + size["b"] > DRIVER_LEVELS:
         raise ValueError(f"{size['a']} x {size['b']} levels is too many when neither factor has just two")
     return _terms(_many_level_sums(cells, a, b), a, b, a, b)
 
 
-def _two_level_sums(cells: DataFrame, many: str, two: str) -> DataFrame:
+def _two_level_sums(cells: DataFrame, many: str, two: str, levels: tuple) -> DataFrame:
     """Sums of squares in closed form, for a factor of two levels against one of any number.
 
     Within a level of ``many``, let w = n1 n2 / (n1 + n2) and d the difference
     of its two cell means. The additive model explains (sum w d)^2 / sum w of
     the sum w d^2 that ``many`` alone leaves between cells.
     """
-    ends = cells.agg(F.min(two).alias("_first"), F.max(two).alias("_last"))
-    marked = cells.crossJoin(F.broadcast(ends))  # one row
-    first = F.col(two) == F.col("_first")
-    last = (F.col(two) == F.col("_last")) & ~first
-    per_level = marked.groupBy(many).agg(
-        F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("n1"),
-        F.coalesce(F.sum(F.when(last, F.col("n"))), F.lit(0)).alias("n2"),
-        F.sum(F.when(first, F.col("mean"))).alias("m1"),
-        F.sum(F.when(last, F.col("mean"))).alias("m2"),
-        F.sum("within").alias("within"),
-        F.count(F.lit(1)).alias("cells"),
-        F.max((F.col("_first") != F.col("_last")).cast("int")).alias("two_levels"),
+    first = F.col(two) == F.lit(levels[0])
+    last = ~first
+    two_means = cells.groupBy(two).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_level"))
+    gap = F.col("mean") - F.col("_level")
+    per_level = (
+        cells.join(F.broadcast(two_means), two)  # two rows
+        .groupBy(many)
+        .agg(
+            F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("n1"),
+            F.coalesce(F.sum(F.when(last, F.col("n"))), F.lit(0)).alias("n2"),
+            F.sum(F.when(first, F.col("mean"))).alias("m1"),
+            F.sum(F.when(last, F.col("mean"))).alias("m2"),
+            F.sum("within").alias("within"),
+            F.sum(F.col("n") * gap * gap).alias("spread"),
+            F.count(F.lit(1)).alias("cells"),
+        )
     )
     w = F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
     d = F.coalesce(F.col("m2") - F.col("m1"), F.lit(0.0))
@@ -85,41 +93,23 @@ def _two_level_sums(cells: DataFrame, many: str, two: str) -> DataFrame:
         F.sum(w).alias("w"),
         F.sum(w * d).alias("wd"),
         F.sum(w * d * d).alias("wdd"),
+        F.sum("spread").alias("spread"),
         F.sum("within").alias("rss"),
         F.sum(F.col("n1") + F.col("n2")).alias("n"),
         F.sum("cells").alias("cells"),
-        F.count(F.lit(1)).alias("many_levels"),
-        (F.max("two_levels") + 1).alias("two_levels"),
+        F.count(F.lit(1)).alias("first_levels"),
+        F.lit(len(set(levels))).alias("second_levels"),
     )
-    apart = (F.col("two_levels") == 2) & (F.col("w") == 0)
-    explained = F.when(F.col("w") > 0, F.col("wd") * F.col("wd") / F.col("w")).otherwise(
-        F.when(apart, F.raise_error(F.lit("the design is not connected")).cast("double")).otherwise(F.lit(0.0))
+    unconnected = F.raise_error(F.lit("the design is not connected")).cast("double")
+    explained = F.when(F.col("w") > 0, F.col("wd") * F.col("wd") / F.col("w")).when(
+        F.col("second_levels") == 1, F.lit(0.0)
     )
-    spread = _spread_within(cells, two)
-    interaction = F.col("wdd") - F.col("explained")
-    return (
-        totals.withColumn("explained", explained)
-        .crossJoin(F.broadcast(spread))  # one row each
-        .select(
-            F.col("explained").alias("ss_second"),
-            (F.col("spread") - interaction).alias("ss_first"),
-            interaction.alias("ss_both"),
-            "rss",
-            "n",
-            "cells",
-            F.col("many_levels").alias("first_levels"),
-            F.col("two_levels").alias("second_levels"),
-        )
+    interaction = F.col("wdd") - F.col("ss_second")
+    return totals.withColumn("ss_second", F.coalesce(explained, unconnected)).select(
+        "*", (F.col("spread") - interaction).alias("ss_first"), interaction.alias("ss_both")
     )
 
 
-def _spread_within(cells: DataFrame, factor: str) -> DataFrame:
-    """Spread of the cell means around the means of the levels of ``factor``: one row."""
-    levels = cells.groupBy(factor).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_level"))
-    gap = F.col("mean") - F.col("_level")
-    return cells.join(levels, factor).agg(F.sum(F.col("n") * gap * gap).alias("spread"))
-
-
 def _many_level_sums(cells: DataFrame, a: str, b: str) -> DataFrame:
     """The same sums when both factors have many levels: the additive model is solved.
 

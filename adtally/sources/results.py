@@ -47,8 +47,8 @@ def write_results(results: DataFrame, folder: str, mode: str = "append") -> None
     run = {"system": "System", "nodes": "NumberOfNodes", "test": "TestNumber"}
     keyed = results.select(*RESULT_COLUMNS, *(F.col(column).alias(key) for key, column in run.items()))
     (
-        keyed.hint("rebalance", *run)
-        .toDF(*RESULT_FILE_COLUMNS, *run)
+        keyed.toDF(*RESULT_FILE_COLUMNS, *run)
+        .hint("rebalance", *run)
         .write.mode(mode)
         .option("header", True)
         .partitionBy(*run)

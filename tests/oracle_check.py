@@ -1,0 +1,80 @@
+"""Sets each query's rows beside those of its SQL twin. Run as a script for a report."""
+
+from __future__ import annotations
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+ROOT = Path(__file__).resolve().parents[1]
+sys.path.insert(0, str(ROOT))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for table in TABLES:
+        if Path(f"{folder}/{table}.parquet").exists():
+            connection.execute(f"CREATE VIEW {table} AS FROM '{folder}/{table}.parquet'")
+    return connection
+
+
+def normal(rows, columns):
+    """Rows as sorted text, columns in name order."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(repr(tuple(row[i] for i in order)) for row in rows)
+
+
+def compare(spark, build, sql: str | None, folder: str, connection) -> str | None:
+    """What is wrong, or None."""
+    frame = build(spark, folder)
+    got = [tuple(row) for row in frame.collect()]
+    if sql is None:
+        return None
+    relation = connection.sql(sql)
+    want = relation.fetchall()
+    if sorted(frame.columns) != sorted(relation.columns):
+        return f"columns {sorted(frame.columns)} != {sorted(relation.columns)}"
+    mine, theirs = normal(got, frame.columns), normal(want, relation.columns)
+    if len(mine) != len(theirs):
+        return f"{len(mine)} rows != {len(theirs)}"
+    for left, right in zip(mine, theirs):
+        if left != right:
+            return f"{left} != {right}"
+    types = {
+        "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+        "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+    }
+    theirs_by_name = dict(zip(relation.columns, map(str, relation.types)))
+    odd = {n: (t, theirs_by_name[n]) for n, t in frame.dtypes if types.get(t, t) != theirs_by_name[n]}
+    return f"types {odd}" if odd else None
+
+
+if __name__ == "__main__":
+    import __spark_entry__ as contract
+    from adtally.session import build_session
+
+    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    session = build_session(
+        master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    chosen = sys.argv[2:] or list(contract.queries())
+    for key in chosen:
+        began = time.time()
+        try:
+            problem = compare(
+                session, contract.queries()[key], contract.oracle_sql().get(key), folder, connect(folder)
+            )
+        except Exception as error:
+            problem = f"{type(error).__name__}: {str(error)[:600]}"
+        shown = "ok" if problem is None else f"FAIL {problem}"
+        shown += "" if key in contract.oracle_sql() else " (no SQL)"
+        print(f"{key:40s} {time.time() - began:6.2f}s {shown}", flush=True)
