@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adtally.operators.lookup import Lookup, attach
@@ -14,116 +16,133 @@ from adtally.session import materialize
 #: keeps every distinct value of a group in one task's memory.
 IN_MEMORY_ROWS = 100_000
 
-#: Accuracy asked of the sketch that finds where to look for a quantile. The
+#: Accuracy asked of the sketch that tells where to look for a quantile. The
 #: result is exact whatever it is; a finer sketch leaves fewer rows to sort.
 SKETCH_ACCURACY = 20_000
 
+_MARGIN = 2.0 / SKETCH_ACCURACY
+
+
+def profile_groups(
+    rows: DataFrame, keys: Sequence[str], y: str, probs: Sequence[float], measures: Sequence[Column] = ()
+) -> DataFrame:
+    """First pass, one row per group: row count, brackets around each quantile, further measures.
+
+    ``rows`` has neither NULL keys nor NULL or NaN ``y``. The result is written
+    down: the passes that follow must all see the same brackets.
+    """
+    ends = [min(1.0, max(0.0, p + side * _MARGIN)) for p in probs for side in (-1, 1)]
+    brackets = F.percentile_approx(y, F.array(*[F.lit(end) for end in ends]), SKETCH_ACCURACY)
+    profile = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), brackets.alias("brackets"), *measures)
+    return materialize(profile, "group-profile")
+
 
 def exact_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
     y: str,
     probs: Sequence[float],
-    largest_group: int,
+    profile: DataFrame,
     in_memory_rows: int = IN_MEMORY_ROWS,
 ) -> DataFrame:
-    """``keys..., quantiles`` (array, one value per probability).
-
-    ``rows`` has neither NULL keys nor NULL or NaN ``y``; ``largest_group`` is
-    the row count of its largest group.
-    """
-    if largest_group <= in_memory_rows:
+    """``keys..., quantiles`` (an array, one value per probability); a second pass over ``rows``."""
+    keys = list(keys)
+    largest = profile.agg(F.max("rows")).first()[0] or 0
+    if largest <= in_memory_rows:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return rows.groupBy(*keys).agg(F.percentile(y, wanted).alias("quantiles"))
-    return _quantiles_by_bucket(rows.select(*keys, F.col(y).alias("_y")), list(keys), list(probs))
+    return _quantiles_in_brackets(rows.select(*keys, F.col(y).alias("_y")), keys, list(probs), profile)
 
 
-def _quantiles_by_bucket(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Cut each group into buckets, find the few that hold a wanted rank, sort only those.
+def _quantiles_in_brackets(rows: DataFrame, keys: list[str], probs: list[float], profile: DataFrame) -> DataFrame:
+    """Count what lies outside the brackets, keep values inside, look up the wanted ranks.
 
-    1. A mergeable sketch gives values just below and above each quantile.
-    2. Rows are counted per group and bucket between those values, which tells
-       the exact rank each bucket starts at.
-    3. Rows of the buckets with a wanted rank are counted per distinct value,
-       and a running count inside the bucket finds the value at the rank.
-
-    All three passes pre-aggregate before they shuffle. The bucket limits are
-    written down once, so passes 2 and 3 see the same ones.
+    The bracket ends cut each group's values into buckets. Rows are counted by
+    bucket, and inside a bracket by distinct value too, before anything is
+    shuffled. Bucket counts give the exact rank every bucket starts at, and a
+    running count inside one bucket finds the value at a rank. Should a rank
+    fall outside its bracket, that bucket's values are fetched in a third pass.
     """
-    splits = _bucket_limits(rows, keys, probs)
-    bucketed = attach(rows, splits).withColumn("_bucket", F.expr("size(filter(_limits, limit -> limit < _y))"))
-
-    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    upto = Window.partitionBy(*keys).orderBy("_bucket")
-    ranges = per_bucket.select(
-        *keys,
-        "_bucket",
-        (F.sum("_rows").over(upto) - F.col("_rows")).alias("_first"),
-        F.sum("_rows").over(upto).alias("_past"),
-        F.sum("_rows").over(Window.partitionBy(*keys)).alias("_n"),
-    )
-    targets = materialize(
-        ranges.select("*", F.explode(_ranks(probs)).alias("_rank"))
-        .where((F.col("_rank.row") >= F.col("_first")) & (F.col("_rank.row") < F.col("_past")))
-        .select(*keys, "_bucket", "_first", "_n", "_rank.probe", "_rank.side", "_rank.row"),
-        "quantile-targets",
-    )
-
-    hit = targets.groupBy(*keys).agg(F.collect_set("_bucket").alias("_hit"))
-    limits_and_hits = Lookup(splits.frame.join(hit, keys), tuple(keys), splits.small)
-    candidates = (
-        attach(rows, limits_and_hits)
-        .withColumn("_bucket", F.expr("size(filter(_limits, limit -> limit < _y))"))
-        .where(F.array_contains("_hit", F.col("_bucket")))
-        .groupBy(*keys, "_bucket", "_y")
+    ends = [F.col("brackets")[i].alias(f"_end{i}") for i in range(2 * len(probs))]
+    brackets = Lookup.measured(profile.select(*keys, *ends), keys)
+    counted = (
+        attach(rows, brackets)
+        .withColumns({"_bucket": _bucket(len(probs)), "_value": F.when(_in_bracket(len(probs)), F.col("_y"))})
+        .groupBy(*keys, "_bucket", "_value")
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_y")
-    ranked = candidates.withColumn("_upto", F.sum("_rows").over(inside))
-    found = ranked.join(targets, [*keys, "_bucket"]).where(
-        (F.col("row") < F.col("_first") + F.col("_upto"))
-        & (F.col("row") >= F.col("_first") + F.col("_upto") - F.col("_rows"))
+    counted = materialize(counted, "quantile-counts")
+    targets = materialize(_targets(counted, keys, probs), "quantile-targets")
+    if targets.where(~F.col("_kept")).limit(1).count():
+        hit = targets.groupBy(*keys).agg(F.collect_set("_bucket").alias("_hit"))
+        counted = (
+            attach(rows, Lookup(brackets.frame.join(hit, keys), brackets.keys, brackets.small))
+            .withColumn("_bucket", _bucket(len(probs)))
+            .where(F.array_contains("_hit", F.col("_bucket")))
+            .groupBy(*keys, "_bucket", F.col("_y").alias("_value"))
+            .agg(F.count(F.lit(1)).alias("_rows"))
+        )
+    running = F.sum("_rows").over(Window.partitionBy(*keys, "_bucket").orderBy("_value"))
+    found = (
+        counted.where(F.col("_value").isNotNull())
+        .withColumn("_past", running)
+        .join(targets, [*keys, "_bucket"])
+        .where((F.col("_at") < F.col("_past")) & (F.col("_at") >= F.col("_past") - F.col("_rows")))
     )
-
     sides = [
-        F.max(F.when((F.col("probe") == i) & (F.col("side") == side), F.col("_y"))).alias(f"_{i}_{side}")
+        F.max(F.when((F.col("_probe") == i) & (F.col("_side") == side), F.col("_value"))).alias(f"_{side}{i}")
         for i in range(len(probs))
         for side in ("low", "high")
     ]
     values = found.groupBy(*keys).agg(F.max("_n").alias("_n"), *sides)
-    return values.select(
-        *keys,
-        F.array(
-            *[
-                F.col(f"_{i}_low") + _share(p) * (F.col(f"_{i}_high") - F.col(f"_{i}_low"))
-                for i, p in enumerate(probs)
-            ]
-        ).alias("quantiles"),
-    )
+    between = [
+        F.col(f"_low{i}") + (_position(p) - F.floor(_position(p))) * (F.col(f"_high{i}") - F.col(f"_low{i}"))
+        for i, p in enumerate(probs)
+    ]
+    return values.select(*keys, F.array(*between).alias("quantiles"))
 
 
-def _bucket_limits(rows: DataFrame, keys: list[str], probs: list[float]) -> Lookup:
-    margin = 2.0 / SKETCH_ACCURACY
-    around = sorted({min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)})
-    grid = F.array(*[F.lit(p) for p in around])
-    limits = rows.groupBy(*keys).agg(F.percentile_approx("_y", grid, SKETCH_ACCURACY).alias("_limits"))
-    return Lookup.measured(materialize(limits, "quantile-limits"), keys)
+def _bucket(probes: int) -> Column:
+    """Grows with ``_y``, and changes at each bracket end and just past it."""
+    ends = [F.col(f"_end{i}") for i in range(2 * probes)]
+    return reduce(add, [(F.col("_y") > end).cast("int") + (F.col("_y") >= end).cast("int") for end in ends])
 
 
-def _position(p: float):
-    return F.lit(float(p)) * (F.col("_n") - 1)
+def _in_bracket(probes: int) -> Column:
+    return reduce(or_, [F.col("_y").between(F.col(f"_end{2 * i}"), F.col(f"_end{2 * i + 1}")) for i in range(probes)])
 
 
-def _share(p: float):
-    return _position(p) - F.floor(_position(p))
+def _position(p: float) -> Column:
+    """Where a quantile lies among ``_n`` sorted rows counted from 0."""
+    return F.lit(float(p)) * (F.col("_n") - 1)
 
 
-def _ranks(probs: list[float]):
-    """Rows (counted from 0) on either side of each quantile's position."""
-    return F.array(
+def _targets(counted: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """The rows on either side of each quantile: bucket, rank in it, and whether its values were kept."""
+    buckets = counted.groupBy(*keys, "_bucket").agg(
+        F.sum("_rows").alias("_size"), F.max(F.col("_value").isNotNull()).alias("_kept")
+    )
+    group = Window.partitionBy(*keys)
+    ranges = buckets.withColumns(
+        {"_past": F.sum("_size").over(group.orderBy("_bucket")), "_n": F.sum("_size").over(group)}
+    )
+    wanted = F.array(
         *[
             F.struct(F.lit(i).alias("probe"), F.lit(side).alias("side"), rounded(_position(p)).alias("row"))
             for i, p in enumerate(probs)
             for side, rounded in (("low", F.floor), ("high", F.ceil))
         ]
     )
+    return (
+        ranges.withColumn("_wanted", F.explode(wanted))
+        .where((F.col("_wanted.row") < F.col("_past")) & (F.col("_wanted.row") >= F.col("_past") - F.col("_size")))
+        .select(
+            *keys,
+            "_bucket",
+            "_kept",
+            "_n",
+            F.col("_wanted.probe").alias("_probe"),
+            F.col("_wanted.side").alias("_side"),
+            (F.col("_wanted.row") - F.col("_past") + F.col("_size")).alias("_at"),
+        )
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adtally.functions.columns import bin_start, is_number
 from adtally.operators.lookup import Lookup, attach
-from adtally.operators.quantiles import IN_MEMORY_ROWS, exact_quantiles
+from adtally.operators.quantiles import IN_MEMORY_ROWS, exact_quantiles, profile_groups
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -23,10 +23,6 @@ def _measured(frame: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     return rows.dropna(subset=list(keys))
 
 
-def _largest_group(rows: DataFrame, keys: Sequence[str]) -> int:
-    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def describe_by_group(
     frame: DataFrame,
     keys: Sequence[str],
@@ -46,16 +42,12 @@ def describe_by_group(
         F.min(y).alias("min"),
         F.max(y).alias("max"),
     ]
-    wanted = F.array(*[F.lit(p) for p in QUARTILES])
     if approximate:
+        wanted = F.array(*[F.lit(p) for p in QUARTILES])
         described = rows.groupBy(*keys).agg(*moments, F.percentile_approx(y, wanted).alias("quantiles"))
     else:
-        largest = _largest_group(rows, keys)
-        if largest <= in_memory_rows:
-            described = rows.groupBy(*keys).agg(*moments, F.percentile(y, wanted).alias("quantiles"))
-        else:
-            quantiles = exact_quantiles(rows, keys, y, QUARTILES, largest, in_memory_rows)
-            described = rows.groupBy(*keys).agg(*moments).join(quantiles, list(keys))
+        profile = profile_groups(rows, keys, y, QUARTILES, moments)
+        described = profile.join(exact_quantiles(rows, keys, y, QUARTILES, profile, in_memory_rows), list(keys))
     return described.select(
         *keys,
         "count",
@@ -88,7 +80,8 @@ def box_stats(
 ) -> DataFrame:
     """Box plot numbers per group: quartiles, whiskers, how many points lie beyond them."""
     rows = _measured(frame, keys, y)
-    quantiles = exact_quantiles(rows, keys, y, QUARTILES, _largest_group(rows, keys), in_memory_rows)
+    profile = profile_groups(rows, keys, y, QUARTILES)
+    quantiles = exact_quantiles(rows, keys, y, QUARTILES, profile, in_memory_rows)
     q1, median, q3 = (F.col("quantiles")[i] for i in range(3))
     reach = WHISKER_REACH * (q3 - q1)
     fences = quantiles.select(

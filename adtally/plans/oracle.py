@@ -6,7 +6,7 @@ from adtally.settings import LOAD_RATE, REDUCED_LOAD_RATE
 
 _EVENTS = """e AS (
     SELECT event_id, ts AS event_time, user_id, event_type, value,
-           TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS ad_id
+           COALESCE(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS ad_id
     FROM events)"""
 
 # A numbered ad belongs to campaign ad_id // 10; there are a thousand ads.
@@ -119,7 +119,7 @@ _MS_TIME = "make_timestamp((epoch_us(event_time) // 1000) * 1000) AS event_time"
 ORACLE: dict[str, str] = {
     "source_events": f"WITH {_EVENTS} SELECT event_id, event_time, user_id, event_type, value, ad_id FROM e",
     "source_events_json": f"WITH {_EVENTS} SELECT ad_id, event_type, {_MS_TIME} FROM e",
-    "source_campaigns": f"WITH {_EVENTS} SELECT DISTINCT ad_id, ad_id // 10 AS campaign_id FROM e WHERE ad_id IS NOT NULL",
+    "source_campaigns": f"WITH {_EVENTS} SELECT DISTINCT ad_id, ad_id // 10 AS campaign_id FROM e WHERE ad_id >= 0",
     "scan_result_csv": f"""{_TEN}, {_run('r', 'w', 0)}
 SELECT "testIndex" AS _index, "countOfEvent" AS "0", "latencyTime" AS "1", "NumberOfNodes" AS "2",
        "TestNumber" AS "3", "System" AS "4" FROM r""",
@@ -154,7 +154,7 @@ SELECT idx, seen, updated FROM s FULL JOIN u USING (idx)""",
     "join_campaign_measured": _JOINED,
     "join_campaign_large_table": _JOINED,
     "join_campaign_unknown_ads": f"""WITH {_EVENTS} SELECT ad_id, count(*) AS events FROM e
-WHERE event_type = 'view' AND (ad_id IS NULL OR ad_id NOT BETWEEN 0 AND 89) GROUP BY ad_id""",
+WHERE event_type = 'view' AND ad_id NOT BETWEEN 0 AND 89 GROUP BY ad_id""",
     "campaign_window_count": f"{_TEN} {_COUNTS}",
     "campaign_window_count_hourly": f"{_HOUR} {_COUNTS}",
     "campaign_window_count_large_table": f"{_HOUR} {_COUNTS}",

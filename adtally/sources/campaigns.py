@@ -24,7 +24,7 @@ def campaigns_of(events: DataFrame, ads_per_campaign: int = ADS_PER_CAMPAIGN) ->
     """The campaign table of the numbered ads that occur in ``events``."""
     return (
         events.select("ad_id")
-        .where(F.col("ad_id").isNotNull())
+        .where(F.col("ad_id") >= 0)
         .distinct()
         .withColumn("campaign_id", F.expr(f"ad_id div {ads_per_campaign}"))
     )

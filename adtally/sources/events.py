@@ -9,6 +9,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from adtally.schemas import EVENT_TABLE
 from adtally.settings import RunSettings
 
+#: Stands for an ad number that could not be read.
+UNREADABLE_AD = -1
+
 _LINES = StructType([StructField("value", StringType())])
 
 
@@ -74,8 +77,12 @@ def typed_events(table: DataFrame) -> DataFrame:
 
 
 def ad_id_of(props: Column) -> Column:
-    """The ad number an event carries in its JSON properties; NULL if unreadable."""
-    return F.get_json_object(props, "$.k").try_cast("bigint")
+    """The ad number an event carries in its JSON properties.
+
+    Unreadable ones become a number no ad has. Were they NULL, the join to the
+    campaigns would filter on the parsed value and parse every view twice.
+    """
+    return F.coalesce(F.from_json(props, "k bigint")["k"], F.lit(UNREADABLE_AD))
 
 
 def _paced(reader, files_per_trigger: int | None):
