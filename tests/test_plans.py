@@ -1,0 +1,89 @@
+"""What the plans look like: pushed filters, pruned columns, one shuffle, no Python."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from adtally.operators.campaign_windows import campaign_windows
+from adtally.operators.lookup import Lookup
+from adtally.operators.phases import phase_rates
+from adtally.plans.registered import PHASES, QUERIES
+from adtally.session import fresh_path, shared_folder
+from adtally.sources.campaigns import numbered_campaigns
+from adtally.sources.events import event_table
+from adtally.streaming.completeness import differences
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_count_shuffles_once_and_reads_three_columns(spark, small):
+    events = event_table(spark, f"{small}/events.parquet")
+    plan = plan_of(campaign_windows(events, numbered_campaigns(spark)).select("campaign_id", "window_start", "seen_count"))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "BroadcastHashJoin" in plan and "partial_count" in plan
+    assert "EqualTo(event_type,view)" in plan
+    assert re.search(r"ReadSchema: struct<ts:timestamp_ntz,event_type:string,props:string>", plan)
+    assert plan.count("from_json") == 1, "each view is parsed once"
+
+
+def test_large_campaign_table_is_joined_to_counts(spark, small):
+    events = event_table(spark, f"{small}/events.parquet")
+    table = numbered_campaigns(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(campaign_windows(events, Lookup(table.frame, table.keys, False)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan.index("SortMergeJoin")
+    assert plan.index("partial_count") > join, "views are counted below the join"
+    assert "Broadcast" not in plan
+
+
+def test_phases_are_not_a_nested_loop(spark, small):
+    plan = plan_of(phase_rates(event_table(spark, f"{small}/events.parquet"), PHASES))
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "BroadcastHashJoin" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz>" in plan
+
+
+def test_completeness_moves_neither_side_again(spark, small):
+    events = event_table(spark, f"{small}/events.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        windows = campaign_windows(events, numbered_campaigns(spark))
+        plan = plan_of(differences(windows.where("seen_count > 0"), windows))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # one per count, none for the join
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_python_and_no_cartesian_product(spark, small, name):
+    if name in {"campaign_window_count_watermark", "late_merge", "sink_window_upsert"}:
+        pytest.skip("runs a stream to build its plan; its result is a scan and a merge")
+    plan = plan_of(QUERIES[name](spark, small))
+    for slow in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct",
+                 "NestedLoop"):
+        assert slow not in plan
+
+
+class FakeSession:
+    """Just what choosing the shared folder looks at."""
+
+    def __init__(self, master, named=None):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: named or default)})
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": master})
+
+
+def test_shared_folder_is_the_one_the_cluster_names():
+    assert shared_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(FakeSession("local[2]", "/mnt/shared")) == "/mnt/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(FakeSession("yarn"))
+
+
+def test_paths_are_never_used_twice(spark):
+    assert fresh_path(spark, "x") != fresh_path(spark, "x")
+    assert spark.range(1).select(F.lit(1)).count() == 1
