@@ -15,43 +15,49 @@ from adtally.settings import VIEW
 #: Fields without which an event cannot be counted.
 REQUIRED = ("ad_id", "event_type", "event_time")
 
+#: Column that holds a record which is not valid JSON.
+CORRUPT = "_corrupt"
+
 #: Name under which record and reject counts are observed.
 PARSE_METRICS = "ad_event_parse"
 
 
+def record_schema(fields: Sequence[str]) -> StructType:
+    """Text fields as records carry them, and a place for what cannot be parsed."""
+    return StructType([*(StructField(name, StringType()) for name in fields), StructField(CORRUPT, StringType())])
+
+
 def read_json_events(records: DataFrame, fields: Sequence[str] = AD_EVENT_FIELDS) -> DataFrame:
-    """One row per record: the wanted fields, and ``rejected`` if it is unusable.
+    """One row per JSON ``value``: the wanted fields, and ``rejected`` if it is unusable.
 
     Only the wanted fields are converted; ask for ``REQUIRED`` alone when the
     events are just to be counted.
     """
-    wanted = [StructField(name, StringType()) for name in fields]
-    schema = StructType([*wanted, StructField("_corrupt", StringType())])
-    parsed = records.withColumn(
-        "_event",
-        F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
-    )
-    columns = [
-        (millis_to_time(F.col("_event.event_time")) if name == "event_time" else F.col(f"_event.{name}")).alias(name)
-        for name in fields
-    ]
-    typed = parsed.select(*[c for c in records.columns if c != "value"], *columns, F.col("_event._corrupt"))
-    missing = F.col("_corrupt").isNotNull()
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = records.withColumn("_event", F.from_json("value", record_schema(fields), options))
+    return type_events(parsed.select("*", "_event.*").drop("value", "_event"), fields)
+
+
+def type_events(parsed: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Turn event time into an instant and mark events that lack what is needed."""
+    rejected = F.col(CORRUPT).isNotNull()
+    typed = parsed
+    if "event_time" in fields:
+        typed = typed.withColumn("event_time", millis_to_time(F.col("event_time")))
     for name in REQUIRED:
         if name in fields:
-            missing = missing | F.col(name).isNull()
-    return typed.withColumn("rejected", missing).drop("_corrupt")
+            rejected = rejected | F.col(name).isNull()
+    return typed.withColumn("rejected", rejected).drop(CORRUPT)
 
 
-def parse_json_events(records: DataFrame, fields: Sequence[str] = AD_EVENT_FIELDS) -> DataFrame:
-    """Typed events. Unusable records are dropped, and counted as they pass:
+def usable_events(events: DataFrame) -> DataFrame:
+    """Drop the rejected events, and count them as they pass.
 
-    the counts come out with the same job, as the observed metrics named
+    The counts come out with the same job, as the observed metrics named
     ``PARSE_METRICS`` (``records`` and ``rejected``), in batch and streaming.
     """
     return (
-        read_json_events(records, fields)
-        .observe(
+        events.observe(
             PARSE_METRICS,
             F.count(F.lit(1)).alias("records"),
             F.count_if("rejected").alias("rejected"),
@@ -61,6 +67,11 @@ def parse_json_events(records: DataFrame, fields: Sequence[str] = AD_EVENT_FIELD
     )
 
 
+def parse_json_events(records: DataFrame, fields: Sequence[str] = AD_EVENT_FIELDS) -> DataFrame:
+    """Typed events of raw JSON records; unusable ones are dropped and counted."""
+    return usable_events(read_json_events(records, fields))
+
+
 def views_of(events: DataFrame) -> DataFrame:
     """The views, cut down to what the count needs. The filter reaches the scan."""
     return events.where(F.col("event_type") == VIEW).select("ad_id", "event_time")

@@ -26,7 +26,7 @@ class Lookup:
 
     @classmethod
     def measured(cls, frame: DataFrame, keys: Sequence[str], max_bytes: int = BROADCAST_BYTES) -> Lookup:
-        """Add up the table's size with one distributed aggregate."""
+        """Add up the size of a stored table with one distributed aggregate."""
         row_bytes = F.octet_length(F.to_json(F.struct(*frame.columns)))
         size = frame.agg(F.sum(F.lit(ROW_ALLOWANCE) + row_bytes).alias("size")).first()["size"]
         return cls(frame, tuple(keys), (size or 0) <= max_bytes)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from adtally.functions.columns import bin_start, is_number
 from adtally.operators.lookup import Lookup, attach
 from adtally.operators.quantiles import IN_MEMORY_ROWS, exact_quantiles, profile_groups
+from adtally.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -91,7 +92,7 @@ def box_stats(
     inside = F.col(y).between(F.col("_low"), F.col("_high"))
     # The box is the same on every row of a group, so it rides along as part of the key.
     return (
-        attach(rows, Lookup.measured(fences, keys))
+        attach(rows, Lookup.measured(materialize(fences, "fences"), keys))
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(y))).alias("lower_whisker"),

@@ -31,10 +31,10 @@ from adtally.operators.results import (
 from adtally.operators.summaries import binned_mean, box_stats, describe_by_group, variance_by_group
 from adtally.plans.runs import run_results
 from adtally.schemas import RESULT_COLUMNS, RESULT_FILE_COLUMNS
-from adtally.session import fresh_path, use_utc
+from adtally.session import fresh_path, materialize, use_utc
 from adtally.settings import LOAD_RATE, REDUCED_LOAD_RATE, RunSettings
 from adtally.sources.campaigns import campaign_table, campaigns_of, numbered_campaigns
-from adtally.sources.events import event_table, event_table_stream, json_record_stream, json_records
+from adtally.sources.events import event_table, event_table_stream, json_event_files, json_event_stream
 from adtally.sources.metric_text import UPDATED_FILE, read_metric_pairs, read_metric_vector, write_metric_vectors
 from adtally.sources.results import read_results, read_written_results, write_results
 from adtally.streaming.completeness import completeness, differences
@@ -134,7 +134,7 @@ def _source_events_json(spark: SparkSession, folder: str) -> DataFrame:
     """The topic kept as JSON lines, read back."""
     path = fresh_path(spark, "topic")
     _as_json(_events(spark, folder)).write.text(path)
-    return _plain(_numbered_ads(parse_json_events(json_records(spark, path), REQUIRED)))
+    return _plain(_numbered_ads(json_event_files(spark, path, REQUIRED)))
 
 
 @_query("source_campaigns")
@@ -299,7 +299,8 @@ def _join_campaign(spark: SparkSession, folder: str) -> DataFrame:
 @_query("join_campaign_measured")
 def _join_campaign_measured(spark: SparkSession, folder: str) -> DataFrame:
     """The campaign table comes from the events, and its size is measured."""
-    return _plain(attach(_view_rows(spark, folder), campaign_table(campaigns_of(_events(spark, folder)))))
+    campaigns = materialize(campaigns_of(_events(spark, folder)), "campaigns")
+    return _plain(attach(_view_rows(spark, folder), campaign_table(campaigns)))
 
 
 @_query("join_campaign_large_table")
@@ -375,7 +376,7 @@ def _campaign_window_count_json_stream(spark: SparkSession, folder: str) -> Data
     """From JSON records to counts: the job as it runs on the topic."""
     path, store = fresh_path(spark, "topic"), _store(spark)
     _as_json(_events(spark, folder)).write.text(path)
-    events = _numbered_ads(parse_json_events(json_record_stream(spark, path), REQUIRED))
+    events = _numbered_ads(json_event_stream(spark, path, REQUIRED))
     start_campaign_counts(events, numbered_campaigns(spark), store, trigger_millis=None).awaitTermination()
     return _counts(store.table())
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app: str = "adtally", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,8 +52,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="adtally-")
-    return _LOCAL_FOLDERS[context.applicationId]
+        # Goes away with this process.
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.TemporaryDirectory(
+            prefix="adtally-", ignore_cleanup_errors=True
+        )
+    return _LOCAL_FOLDERS[context.applicationId].name
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

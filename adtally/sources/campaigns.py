@@ -21,15 +21,20 @@ def numbered_campaigns(
 
 
 def campaigns_of(events: DataFrame, ads_per_campaign: int = ADS_PER_CAMPAIGN) -> DataFrame:
-    """The campaign table of the numbered ads that occur in ``events``."""
-    return (
-        events.select("ad_id")
-        .where(F.col("ad_id") >= 0)
-        .distinct()
-        .withColumn("campaign_id", F.expr(f"ad_id div {ads_per_campaign}"))
-    )
+    """The campaign table of the numbered ads that occur in ``events``.
+
+    Ads are gathered first and unreadable numbers dropped after, by an
+    aggregate: a filter on the number itself would be moved below and have
+    every event parsed twice.
+    """
+    ads = events.groupBy("ad_id").agg(F.min("ad_id").alias("_least")).where(F.col("_least") >= 0)
+    return ads.select("ad_id", F.expr(f"ad_id div {ads_per_campaign}").alias("campaign_id"))
 
 
 def campaign_table(frame: DataFrame) -> Lookup:
-    """An ``(ad_id, campaign_id)`` table from any Spark source, size measured once."""
+    """An ``(ad_id, campaign_id)`` table, its size measured once.
+
+    For a table that is stored: one that has to be computed is computed for the
+    measurement and again for each use, so write it down first.
+    """
     return Lookup.measured(frame.select("ad_id", "campaign_id"), ["ad_id"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from adtally.schemas import EVENT_TABLE
+from adtally.operators.events import CORRUPT, parse_json_events, record_schema, type_events, usable_events
+from adtally.schemas import AD_EVENT_FIELDS, EVENT_TABLE
 from adtally.settings import RunSettings
 
 #: Stands for an ad number that could not be read.
@@ -40,13 +43,38 @@ def kafka_records(
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """Raw JSON records kept one per line, as a batch."""
+    """Raw JSON records kept one per line, one ``value`` column."""
     return spark.read.schema(_LINES).text(path)
 
 
-def json_record_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Raw JSON records kept one per line, replayed file by file."""
-    return _paced(spark.readStream.schema(_LINES), files_per_trigger).text(path)
+def json_event_files(spark: SparkSession, path: str, fields: Sequence[str] = AD_EVENT_FIELDS) -> DataFrame:
+    """Typed events of files with one JSON record per line; unusable records dropped and counted.
+
+    The JSON reader takes half the time of parsing a text column, and converts
+    only the fields that are used further on.
+    """
+    return usable_events(type_events(_json_reader(spark.read, fields).json(path), fields))
+
+
+def json_event_stream(
+    spark: SparkSession,
+    path: str,
+    fields: Sequence[str] = AD_EVENT_FIELDS,
+    files_per_trigger: int | None = None,
+) -> DataFrame:
+    """The same files replayed as a stream."""
+    reader = _json_reader(_paced(spark.readStream, files_per_trigger), fields)
+    return usable_events(type_events(reader.json(path), fields))
+
+
+def kafka_events(
+    spark: SparkSession,
+    settings: RunSettings,
+    fields: Sequence[str] = AD_EVENT_FIELDS,
+    max_offsets_per_trigger: int | None = None,
+) -> DataFrame:
+    """Typed events of the topic as a stream."""
+    return parse_json_events(kafka_records(spark, settings, max_offsets_per_trigger), fields)
 
 
 def event_table(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +110,14 @@ def ad_id_of(props: Column) -> Column:
     Unreadable ones become a number no ad has. Were they NULL, the join to the
     campaigns would filter on the parsed value and parse every view twice.
     """
-    return F.coalesce(F.from_json(props, "k bigint")["k"], F.lit(UNREADABLE_AD))
+    number = F.try_variant_get(F.try_parse_json(props), "$.k", "bigint")
+    return F.coalesce(number, F.lit(UNREADABLE_AD))
+
+
+def _json_reader(reader, fields: Sequence[str]):
+    return (
+        reader.schema(record_schema(fields)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    )
 
 
 def _paced(reader, files_per_trigger: int | None):

@@ -57,7 +57,8 @@ def start_bounded_counts(
     )
 
     def keep_batch(rows: DataFrame, batch_id: int) -> None:
-        store.upsert(rows.withColumn("time_updated", F.current_timestamp()), batch_id)
+        # The state has many partitions, an update few rows: gather them into full files.
+        store.upsert(rows.hint("rebalance").withColumn("time_updated", F.current_timestamp()), batch_id)
 
     return _start(counts.writeStream.outputMode("update").foreachBatch(keep_batch), store, trigger_millis)
 

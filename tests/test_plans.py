@@ -26,7 +26,7 @@ def test_count_shuffles_once_and_reads_three_columns(spark, small):
     assert "BroadcastHashJoin" in plan and "partial_count" in plan
     assert "EqualTo(event_type,view)" in plan
     assert re.search(r"ReadSchema: struct<ts:timestamp_ntz,event_type:string,props:string>", plan)
-    assert plan.count("from_json") == 1, "each view is parsed once"
+    assert plan.count("parseJson") == 1, "each view is parsed once"
 
 
 def test_large_campaign_table_is_joined_to_counts(spark, small):

@@ -1,19 +1,18 @@
 """The continuous job: same answer as a recount whatever the order, pace and failures."""
 
 import time
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from adtally.operators.campaign_windows import campaign_windows, settled_latency
-from adtally.operators.events import parse_json_events
 from adtally.plans.runs import compare_runs, run_stream
 from adtally.schemas import RESULT_COLUMNS
 from adtally.settings import RunSettings
 from adtally.sources.campaigns import numbered_campaigns
-from adtally.sources.events import event_table, json_record_stream, kafka_options
+from adtally.sources.events import event_table, json_event_stream, kafka_options
 from adtally.streaming.completeness import completeness, differences
 from adtally.streaming.counts import drain, start_bounded_counts, start_campaign_counts
 from adtally.streaming.store import WindowStore
@@ -167,7 +166,7 @@ def test_json_topic_to_results(spark, tmp_path):
     ] + ["not json"]
     (tmp_path / "topic").mkdir()
     (tmp_path / "topic" / "part-0.json").write_text("\n".join(lines))
-    events = parse_json_events(json_record_stream(spark, str(tmp_path / "topic"), 1))
+    events = json_event_stream(spark, str(tmp_path / "topic"), files_per_trigger=1)
     events = events.withColumn("ad_id", F.col("ad_id").try_cast("bigint"))
     store = WindowStore(spark, str(tmp_path / "run"), LongType())
     settings = RunSettings(nodes=2, system="spark", test=3)

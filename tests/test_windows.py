@@ -10,7 +10,7 @@ from adtally.operators.campaign_windows import campaign_windows, settled_latency
 from adtally.operators.events import REQUIRED, parse_json_events, read_json_events
 from adtally.operators.lookup import SALTS, Lookup, attach, unmatched
 from adtally.sources.campaigns import campaign_table, numbered_campaigns
-from adtally.sources.events import event_table
+from adtally.sources.events import event_table, json_event_files, json_records
 
 START = 1_700_000_000_000
 
@@ -42,6 +42,18 @@ def test_parse_drops_and_counts_what_it_cannot_use(spark):
     assert seen.get["n"] == 6
 
 
+def test_files_and_records_are_read_alike(spark, tmp_path):
+    lines = [record("a", "view", START), record("b", "click", START + 1, user_id="u"), "{not json", "[1, 2]"]
+    lines += [json.dumps({"ad_id": "a", "event_type": "view"}), '{"ad_id": 5, "event_type": "view", "event_time": 7}']
+    (tmp_path / "part-0.json").write_text("\n".join(lines))
+    for fields in (REQUIRED, ("user_id", *REQUIRED)):
+        files = json_event_files(spark, str(tmp_path), fields)
+        records = parse_json_events(json_records(spark, str(tmp_path)), fields)
+        assert files.columns == records.columns == list(fields)
+        assert sorted(map(tuple, files.collect()), key=str) == sorted(map(tuple, records.collect()), key=str)
+        assert files.count() == 3
+
+
 def test_counts_by_hand(spark):
     def at(seconds):
         return START + int(seconds * 1000)  # START is a multiple of ten seconds
