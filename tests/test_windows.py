@@ -10,7 +10,7 @@ from adtally.operators.campaign_windows import campaign_windows, settled_latency
 from adtally.operators.events import REQUIRED, parse_json_events, read_json_events
 from adtally.operators.lookup import SALTS, Lookup, attach, unmatched
 from adtally.sources.campaigns import campaign_table, numbered_campaigns
-from adtally.sources.events import event_table, json_event_files, json_records
+from adtally.sources.events import ad_id_of, event_table, json_event_files, json_records
 
 START = 1_700_000_000_000
 
@@ -80,6 +80,17 @@ def test_counts_by_hand(spark):
         ]
 
 
+def test_ad_numbers(spark):
+    cases = {
+        '{"k": 5}': 5, '{"k":0}': 0, ' {"k": 5}': 5, '{"k": -3}': -3, '{"a": {"k": 1}, "k": 2}': 2,
+        '{"a": "\\"k\\": 1"}': -1, '{"k": 99999999999999999999}': -1, '{"k": null}': -1, "{": -1, "": -1, None: -1,
+        '{"k": 5}\n': 5,
+    }
+    rows = spark.createDataFrame([(i, text) for i, text in enumerate(cases)], "i int, props string")
+    got = {r["i"]: r["ad"] for r in rows.select("i", ad_id_of(F.col("props")).alias("ad")).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_ten_seconds_roll_up_to_hours(spark, small):
     events = event_table(spark, f"{small}/events.parquet")
     campaigns = numbered_campaigns(spark)
