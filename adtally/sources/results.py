@@ -38,10 +38,10 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_results(results: DataFrame, folder: str, mode: str = "append") -> None:
+def write_results(results: DataFrame, folder: str) -> None:
     """Write labelled results, one folder per run, in the same file columns.
 
-    Rows are rebalanced by run before the write: small runs become one file,
+    Writing a run again replaces it and leaves the others. Rows are rebalanced by run before the write: small runs become one file,
     and a run with a third of the rows is split over several.
     """
     run = {"system": "System", "nodes": "NumberOfNodes", "test": "TestNumber"}
@@ -49,7 +49,8 @@ def write_results(results: DataFrame, folder: str, mode: str = "append") -> None
     (
         keyed.toDF(*RESULT_FILE_COLUMNS, *run)
         .hint("rebalance", *run)
-        .write.mode(mode)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("header", True)
         .partitionBy(*run)
         .csv(folder)

@@ -19,17 +19,24 @@ def start_campaign_counts(
     store: WindowStore,
     window: str = WINDOW,
     trigger_millis: int | None = TRIGGER_MILLIS,
+    fold_every: int | None = None,
 ) -> StreamingQuery:
     """Count views per campaign and window, micro-batch by micro-batch.
 
     No state is kept in the engine: each micro-batch is counted as a batch
     would be and its rows go to ``store``, which adds them up. Events may be
     late by any time. ``trigger_millis=None`` works off what is there and ends.
+    ``fold_every`` merges the store's batches after every so many of them.
+
+    ``time_updated`` is the time a micro-batch is taken up, the same for all its
+    rows.
     """
 
     def count_batch(views: DataFrame, batch_id: int) -> None:
         counted = count_views(views, campaigns, window).withColumn("time_updated", F.current_timestamp())
         store.upsert(counted, batch_id)
+        if fold_every and batch_id and batch_id % fold_every == 0:
+            store.fold(batch_id - 1)  # the last one sure not to be repeated
 
     return _start(views_of(events).writeStream.foreachBatch(count_batch), store, trigger_millis)
 

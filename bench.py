@@ -41,6 +41,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     timed(spark, HEADLINE, folder)  # starts the executor threads and the code cache
+    events = spark.read.parquet(f"{folder}/events.parquet").count()
     seconds = {name: round(min(timed(spark, name, folder) for _ in range(runs)), 4) for name in names}
     scale = re.search(r"sf([\d.]+)", folder)
     print(
@@ -50,6 +51,11 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 4),
                 "unit": "sec",
                 "queries": seconds,
+                "events_per_sec": {
+                    name: round(events / seconds[name])
+                    for name in (HEADLINE, f"{HEADLINE}_stream", f"{HEADLINE}_json_stream")
+                    if name in seconds
+                },
                 "sf": float(scale.group(1)) if scale else folder,
             }
         )

@@ -48,7 +48,7 @@ def test_results_are_read_and_labelled(spark, folder):
 
 def test_missing_and_empty_inputs_give_no_rows(spark, folder):
     some = read_results(spark, f"{folder}/spark")
-    none = read_results(spark, f"{folder}/flume")
+    none = read_results(spark, f"{folder}/absent")
     header_only = read_results(spark, f"{folder}/spark/test_Nodes-8_System-spark_Test-2.csv")
     assert none.dtypes == some.dtypes == header_only.dtypes
     assert none.count() == header_only.count() == 0
@@ -61,7 +61,9 @@ def test_results_round_trip_by_run(spark, tmp_path):
     )
     runs = union_runs(tag_run(pairs, 2, 0, "spark"), tag_run(pairs.where("key < 7"), 4, 1, "spark"))
     results = number_results(runs, ["key"])
-    write_results(results, str(tmp_path / "out"))
+    write_results(results.where("TestNumber = 0").limit(3), str(tmp_path / "out"))  # replaced by the next
+    write_results(results.where("TestNumber = 1"), str(tmp_path / "out"))
+    write_results(results.where("TestNumber = 0"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "system=spark" / "nodes=2" / "test=0").is_dir()
     part = next((tmp_path / "out" / "system=spark" / "nodes=4" / "test=1").glob("*.csv"))
     assert part.read_text().splitlines()[0].replace('""', "") == ",0,1,2,3,4"

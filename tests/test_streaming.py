@@ -74,6 +74,15 @@ def test_timed_trigger_goes_on_where_it_stopped(spark, events, store, tmp_path):
     assert differences(store.table(), recount(spark, events)).count() == 0
 
 
+def test_folding_while_it_runs(spark, events, store, tmp_path):
+    write_slices(events, tmp_path / "in", [(1, 6), (19, 24), (7, 12), (25, 31), (13, 18)])
+    start_campaign_counts(
+        replay(spark, tmp_path / "in"), numbered_campaigns(spark), store, "1 hour", trigger_millis=None, fold_every=2
+    ).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "store" / "folded").iterdir()) == ["upto=1", "upto=3"]
+    assert differences(store.table(), recount(spark, events)).count() == 0
+
+
 def rows_of(store):
     return sorted(map(tuple, store.table().collect()))
 
