@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from adtally.llm.features import id_remainder
 from adtally.llm.packing import pack
+from adtally.llm.quality import fit_quality, quality_score
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
+from adtally.llm.toxicity import fit_chain, toxicity_scores
 from adtally.session import fresh_path
 
+#: A document goes if the chain gives it this probability of being toxic, and stays if its quality reaches that score.
+TOXIC_FROM, GOOD_FROM = 0.8, 0.7
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,6 +31,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    chain = fit_chain(docs, table(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), toxicity_scores(chain).alias("scores")
+    )
+    return scored.select("doc_id", "held_out", "scores.*", (F.col("scores.toxic") >= TOXIC_FROM).alias("rejected"))
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = fit_quality(docs, table(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), quality_score(model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
+
+
 @query
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, keep_ids=False)
