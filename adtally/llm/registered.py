@@ -13,6 +13,7 @@ from adtally.llm.packing import pack
 from adtally.llm.quality import fit_quality, quality_score
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
 from adtally.llm.toxicity import fit_chain, toxicity_scores
+from adtally.llm.warc import archive_records, read_warc, write_warc
 from adtally.session import fresh_path
 
 #: A document goes if the chain gives it this probability of being toxic, and stays if its quality reaches that score.
@@ -41,6 +42,14 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "scores.*", (F.col("scores.toxic") >= TOXIC_FROM).alias("rejected"))
 
 
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    write_warc(archive_records(table(spark, folder, "pages")), path)
+    columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return read_warc(spark, path, columns, verify=True)
+
+
 @query
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
