@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.llm.features import id_remainder
+from adtally.llm.mixing import mixed
 from adtally.llm.packing import pack
 from adtally.llm.quality import fit_quality, quality_score
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
@@ -42,6 +43,15 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "scores.*", (F.col("scores.toxic") >= TOXIC_FROM).alias("rejected"))
 
 
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixed(table(spark, folder, "documents"), keep=False)
+    return rows.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        (F.col("_size") * F.size("_shards")).alias("taken"),
+    )
+
+
 @query
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "archives")
