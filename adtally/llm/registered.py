@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adtally.llm.features import id_remainder
 from adtally.llm.mixing import mixed
+from adtally.llm.multi_index import search as multi_index_search
 from adtally.llm.packing import pack
 from adtally.llm.quality import fit_quality, quality_score
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
@@ -33,6 +34,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return multi_index_search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
