@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.llm.features import id_remainder
+from adtally.llm.metric_tree import tree_search
 from adtally.llm.mixing import mixed
 from adtally.llm.multi_index import search as multi_index_search
 from adtally.llm.packing import pack
@@ -67,6 +68,12 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read_warc(spark, path, columns, verify=True)
 
 
+@query
+def op6_metric_tree(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return tree_search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 @query
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
