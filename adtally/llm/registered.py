@@ -12,6 +12,7 @@ from adtally.llm.features import id_remainder
 from adtally.llm.metric_tree import tree_search
 from adtally.llm.mixing import mixed
 from adtally.llm.multi_index import search as multi_index_search
+from adtally.llm.ngram_join import similar_components
 from adtally.llm.packing import pack
 from adtally.llm.quality import fit_quality, quality_score
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
@@ -74,6 +75,12 @@ def op6_metric_tree(spark: SparkSession, folder: str) -> DataFrame:
     return tree_search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+@query
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    rows = similar_components(table(spark, folder, "documents"))
+    return rows.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 @query
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
