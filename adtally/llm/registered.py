@@ -15,6 +15,7 @@ from adtally.llm.multi_index import search as multi_index_search
 from adtally.llm.ngram_join import similar_components
 from adtally.llm.packing import pack
 from adtally.llm.quality import fit_quality, quality_score
+from adtally.llm.recurrent import document_scores
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
 from adtally.llm.toxicity import fit_chain, toxicity_scores
 from adtally.llm.warc import archive_records, read_warc, write_warc
@@ -61,6 +62,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_recurrent(spark: SparkSession, folder: str) -> DataFrame:
+    return document_scores(table(spark, folder, "documents")).withColumnRenamed("_id", "doc_id")
+
+
 @query
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "archives")
