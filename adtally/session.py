@@ -73,3 +73,12 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     path = fresh_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    jvm, conf = frame.sparkSession._jvm, frame.sparkSession._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+        if "/adtally/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
