@@ -130,7 +130,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, tokens: int = 2048, segm
                 ids = example.ids[start : start + length]
                 out.append((
                     example.name, start, length, zlib.crc32(ids.astype("<u4")), len(example.ids),
-                    bins._loss_of(example, start, length), sequence, offset, ids.tolist() if keep_ids else None,
+                    bins._loss_of(example, start, length), sequence, offset, ids if keep_ids else None,
                 ))
                 offset += length
             sequence += bool(placed)
@@ -167,5 +167,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, tokens: int = 2048, segm
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [part.split(" ")[0] for part in PIECE_SCHEMA.split(", ")]
-    kinds = [pa.int64()] * 8 + [pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    *numbers, ids = zip(*rows)
+    columns = [pa.array(column, pa.int64()) for column in numbers]
+    if ids[0] is None:
+        columns.append(pa.nulls(len(ids), pa.list_(pa.int32())))
+    else:
+        ends = np.append(0, np.cumsum([len(own) for own in ids])).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).view(np.int32))))
+    return pa.RecordBatch.from_arrays(columns, names=names)

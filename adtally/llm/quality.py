@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from adtally.llm.features import Sample, TextFeatures, labelled_sample
 
+#: A document is good from this score on.
+GOOD_FROM = 0.7
 FEATURES = {"bits": 22, "bigrams": True, "shapes": True}
 
 

@@ -14,15 +14,13 @@ from adtally.llm.mixing import mixed
 from adtally.llm.multi_index import search as multi_index_search
 from adtally.llm.ngram_join import similar_components
 from adtally.llm.packing import pack
-from adtally.llm.quality import fit_quality, quality_score
+from adtally.llm.quality import GOOD_FROM, fit_quality, quality_score
 from adtally.llm.recurrent import document_scores
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
-from adtally.llm.toxicity import fit_chain, toxicity_scores
+from adtally.llm.toxicity import TOXIC_FROM, fit_chain, toxicity_scores
 from adtally.llm.warc import archive_records, read_warc, write_warc
 from adtally.session import fresh_path
-
-#: A document goes if the chain gives it this probability of being toxic, and stays if its quality reaches that score.
-TOXIC_FROM, GOOD_FROM = 0.8, 0.7
+from corpus_pipeline import run as pipeline_run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +107,8 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     write_token_files(encode_documents(table(spark, folder, "documents"), vocabulary, 0), path)
     return token_digest(read_token_files(spark, path))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return pipeline_run(spark, folder)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from adtally.llm.features import Sample, TextFeatures, labelled_sample
 
+#: A document goes from this probability of being toxic on.
+TOXIC_FROM = 0.8
 FEATURES = {"bits": 22, "bigrams": False, "shapes": False, "bare": True}
 FOLDS = 5
 
