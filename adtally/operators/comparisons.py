@@ -7,26 +7,17 @@ engine's own, so large means do not cancel small spreads.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adtally.functions.columns import is_number
 from adtally.session import materialize
 
-#: A factor-by-factor table up to this size may be solved on the driver.
-DRIVER_CELLS = 250_000
-DRIVER_LEVELS = 2_000
+#: The additive model is solved until its residual has shrunk by this factor.
+SOLVED = 1e-13
 
-# 5 % critical values of the studentized range for 2 to 10 groups and
-# residual degrees of freedom without bound.
-Q_CRITICAL_5_PERCENT = {
-    2: 2.772, 3: 3.314, 4: 3.633, 5: 3.858, 6: 4.030, 7: 4.170, 8: 4.286, 9: 4.387, 10: 4.474,
-}
-
-#: Residual degrees of freedom from which those values hold to three digits.
-LARGE_SAMPLE = 10_000
+#: Shares of the list of groups that pairs are made from.
+PAIR_SHARES = 16
 
 
 def _moments(frame: DataFrame, keys: list[str], y: str) -> DataFrame:
@@ -44,115 +35,86 @@ def anova_two_way(frame: DataFrame, a: str, b: str, y: str) -> DataFrame:
     ``f`` is NULL where a term has no degrees of freedom, as with a factor of
     one level. Designs that fall apart into unconnected blocks are an error.
     """
-    cells = materialize(_moments(frame, [a, b], y), "cells")
+    cells = materialize(_moments(frame, [a, b], y).select(F.col(a).alias("_a"), F.col(b).alias("_b"), "n", "mean", "within"), "cells")
     size = cells.agg(
-        F.count_distinct(a).alias("a"),
-        F.count_distinct(b).alias("b"),
-        F.count(F.lit(1)).alias("cells"),
-        *(end(factor).alias(f"{end.__name__}_{side}")
-          for side, factor in (("a", a), ("b", b)) for end in (F.min, F.max)),
+        F.count_distinct("_a").alias("a"), F.count_distinct("_b").alias("b"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
     ).first()
-    if size["cells"] == 0:
+    if not size["a"]:
         raise ValueError("no rows to compare")
-    if size["b"] <= 2:
-        return _terms(_two_level_sums(cells, a, b, (size["min_b"], size["max_b"])), a, b, a, b)
-    if size["a"] <= 2:
-        return _terms(_two_level_sums(cells, b, a, (size["min_a"], size["max_a"])), b, a, a, b)
-    if size["cells"] > DRIVER_CELLS or size["a"] + size["b"] > DRIVER_LEVELS:
-        raise ValueError(f"{size['a']} x {size['b']} levels is too many when neither factor has just two")
-    return _terms(_many_level_sums(cells, a, b), a, b, a, b)
+    centred = cells.withColumn("mean", F.col("mean") - F.lit(size["mean"]))
+    if size["b"] <= size["a"]:
+        return _terms(_additive_sums(centred, "_a", "_b"), a, b, a, b)
+    return _terms(_additive_sums(centred, "_b", "_a"), b, a, a, b)
 
 
-def _two_level_sums(cells: DataFrame, many: str, two: str, levels: tuple) -> DataFrame:
-    """Sums of squares in closed form, for a factor of two levels against one of any number.
+def _additive_sums(cells: DataFrame, many: str, few: str) -> DataFrame:
+    """Sums of squares of the additive model, for any numbers of levels.
 
-    Within a level of ``many``, let w = n1 n2 / (n1 + n2) and d the difference
-    of its two cell means. The additive model explains (sum w d)^2 / sum w of
-    the sum w d^2 that ``many`` alone leaves between cells.
+    The effects of ``many`` are eliminated level by level. What is left are normal
+    equations in the effects of ``few``, solved by conjugate gradients: a product with
+    their matrix is two grouped sums over the cells, so no matrix is ever made.
     """
-    first = F.col(two) == F.lit(levels[0])
-    last = ~first
-    two_means = cells.groupBy(two).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_level"))
-    gap = F.col("mean") - F.col("_level")
-    per_level = (
-        cells.join(F.broadcast(two_means), two)  # two rows
-        .groupBy(many)
-        .agg(
-            F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("n1"),
-            F.coalesce(F.sum(F.when(last, F.col("n"))), F.lit(0)).alias("n2"),
-            F.sum(F.when(first, F.col("mean"))).alias("m1"),
-            F.sum(F.when(last, F.col("mean"))).alias("m2"),
-            F.sum("within").alias("within"),
-            F.sum(F.col("n") * gap * gap).alias("spread"),
-            F.count(F.lit(1)).alias("cells"),
+    _connected(cells, many, few)
+    weighted = F.sum(F.col("n") * F.col("value")) / F.sum("n")
+    means = cells.withColumn("value", F.col("mean")).groupBy(many).agg(weighted.alias("level"))
+    right = cells.join(means, many).groupBy(few).agg(F.sum(F.col("n") * (F.col("mean") - F.col("level"))).alias("r"))
+    state = materialize(right.select(few, F.lit(0.0).alias("x"), "r", F.col("r").alias("p")), "effects")
+    left = start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    turns = state.count() + 20
+    while start and left > SOLVED**2 * start and turns:
+        spread = cells.join(state.select(few, F.col("p").alias("value")), few)
+        levels = spread.groupBy(many).agg(weighted.alias("level"))
+        product = spread.join(levels, many).groupBy(few).agg(
+            F.sum(F.col("n") * (F.col("value") - F.col("level"))).alias("sp")
+        )
+        step = materialize(state.join(product, few), "effects-step")
+        along = step.agg(F.sum(F.col("p") * F.col("sp"))).first()[0]
+        if not along or along <= 0:
+            break
+        rate = left / along
+        moved = step.select(
+            few, (F.col("x") + rate * F.col("p")).alias("x"), (F.col("r") - rate * F.col("sp")).alias("r"), "p"
         )
+        now = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        state = materialize(moved.select(few, "x", "r", (F.col("r") + (now / left) * F.col("p")).alias("p")), "effects")
+        left, turns = now, turns - 1
+    effects = state.select(few, F.col("x").alias("value"))
+    around_few = cells.groupBy(few).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_few"))
+    fitted = cells.join(effects, few).join(around_few, few)
+    of_many = fitted.groupBy(many).agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_many"), weighted.alias("shift")
     )
-    w = F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))
-    d = F.coalesce(F.col("m2") - F.col("m1"), F.lit(0.0))
-    totals = per_level.agg(
-        F.sum(w).alias("w"),
-        F.sum(w * d).alias("wd"),
-        F.sum(w * d * d).alias("wdd"),
-        F.sum("spread").alias("spread"),
+    gap = F.col("mean") - F.col("value") - (F.col("mean_many") - F.col("shift"))
+    sums = fitted.join(of_many, many).agg(
+        F.sum(F.col("n") * gap * gap).alias("ss_both"),
+        F.sum(F.col("n") * (F.col("mean") - F.col("mean_few")) ** 2).alias("around_few"),
+        F.sum(F.col("n") * (F.col("mean") - F.col("mean_many")) ** 2).alias("around_many"),
         F.sum("within").alias("rss"),
-        F.sum(F.col("n1") + F.col("n2")).alias("n"),
-        F.sum("cells").alias("cells"),
-        F.count(F.lit(1)).alias("first_levels"),
-        F.lit(len(set(levels))).alias("second_levels"),
-    )
-    unconnected = F.raise_error(F.lit("the design is not connected")).cast("double")
-    explained = F.when(F.col("w") > 0, F.col("wd") * F.col("wd") / F.col("w")).when(
-        F.col("second_levels") == 1, F.lit(0.0)
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("cells"),
+        F.count_distinct(many).alias("first_levels"),
+        F.count_distinct(few).alias("second_levels"),
     )
-    interaction = F.col("wdd") - F.col("ss_second")
-    return totals.withColumn("ss_second", F.coalesce(explained, unconnected)).select(
-        "*", (F.col("spread") - interaction).alias("ss_first"), interaction.alias("ss_both")
+    return sums.select(
+        "*", (F.col("around_few") - F.col("ss_both")).alias("ss_first"), (F.col("around_many") - F.col("ss_both")).alias("ss_second")
     )
 
 
-def _many_level_sums(cells: DataFrame, a: str, b: str) -> DataFrame:
-    """The same sums when both factors have many levels: the additive model is solved.
-
-    What reaches the driver is the table of cells, not larger than the
-    product of the two numbers of levels.
-    """
-    table = cells.toPandas()
-    return cells.sparkSession.createDataFrame(pd.DataFrame([additive_sums(table, a, b)]))
-
-
-def additive_sums(table: pd.DataFrame, a: str, b: str) -> dict[str, float]:
-    """Sums of squares of a cell table (``a, b, n, mean, within``) by normal equations."""
-    row, col = pd.factorize(table[a])[0], pd.factorize(table[b])[0]
-    rows, cols = row.max() + 1, col.max() + 1
-    n, mean = table["n"].to_numpy(float), table["mean"].to_numpy(float)
-    centred = mean - (n * mean).sum() / n.sum()
-
-    def around(level: np.ndarray) -> float:
-        means = np.bincount(level, n * centred) / np.bincount(level, n)
-        return float((n * (centred - means[level]) ** 2).sum())
-
-    # Levels of both factors side by side, the last of b held at zero.
-    normal = np.zeros((rows + cols, rows + cols))
-    np.add.at(normal, (row, row), n)
-    np.add.at(normal, (rows + col, rows + col), n)
-    np.add.at(normal, (row, rows + col), n)
-    np.add.at(normal, (rows + col, row), n)
-    right = np.concatenate([np.bincount(row, n * centred, rows), np.bincount(col, n * centred, cols)])
-    effects, _, rank, _ = np.linalg.lstsq(normal[:-1, :-1], right[:-1], rcond=None)
-    if rank < rows + cols - 1:
-        raise ValueError("the design is not connected")
-    effects = np.append(effects, 0.0)
-    both = float((n * (centred - effects[row] - effects[rows + col]) ** 2).sum())
-    return {
-        "ss_first": around(col) - both,
-        "ss_second": around(row) - both,
-        "ss_both": both,
-        "rss": float(table["within"].sum()),
-        "n": int(n.sum()),
-        "cells": len(table),
-        "first_levels": int(rows),
-        "second_levels": int(cols),
-    }
+def _connected(cells: DataFrame, many: str, few: str) -> None:
+    """An error if levels fall apart into blocks that share no cell."""
+    pairs = cells.select(many, few)
+    names = materialize(pairs.select(few).distinct().withColumn("block", F.col(few)), "blocks")
+    while True:
+        through = pairs.join(names, few).groupBy(many).agg(F.min("block").alias("block"))
+        joined = pairs.join(through, many).groupBy(few).agg(F.min("block").alias("least"))
+        step = materialize(names.join(joined, few), "blocks")
+        state = step.agg(F.count_distinct("least").alias("blocks"), F.count_if(F.col("block") != F.col("least")).alias("moved")).first()
+        if state["blocks"] == 1:
+            return
+        if not state["moved"]:
+            raise ValueError("the design is not connected")
+        names = step.select(few, F.col("least").alias("block"))
 
 
 def _terms(sums: DataFrame, first: str, second: str, a: str, b: str) -> DataFrame:
@@ -183,40 +145,33 @@ def _terms(sums: DataFrame, first: str, second: str, a: str, b: str) -> DataFram
     )
 
 
-def tukey_hsd(frame: DataFrame, group: str, y: str, q_critical: float | None = None) -> DataFrame:
+def tukey_hsd(frame: DataFrame, group: str, y: str, q_critical: float) -> DataFrame:
     """Every pair of groups compared: mean difference, interval, and whether it is significant.
 
-    ``q_critical`` is the studentized range's critical value. Left out, the
-    5 % value is used for up to ten groups and large samples; otherwise the
-    interval and the verdict are NULL and ``q`` and ``df`` are there to judge by.
+    ``q_critical`` is the studentized range's critical value for the number of
+    groups, the residual degrees of freedom and the level wanted.
     """
-    groups = _moments(frame, [group], y)
-    # One pass over the data: the result has a row per pair, so the list of groups is short.
-    listed = groups.agg(
-        F.sort_array(F.collect_list(F.struct(F.col(group).alias("name"), "n", "mean"))).alias("list"),
-        F.count(F.lit(1)).alias("k"),
-        (F.sum("n") - F.count(F.lit(1))).alias("df"),
-        F.sum("within").alias("within"),
+    groups = materialize(_moments(frame, [group], y).withColumnRenamed(group, "name"), "groups")
+    totals = groups.agg((F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum("within").alias("within")).first()
+    df = F.lit(totals["df"]).cast("bigint")
+    # Each group is sent once to every share of the groups, so pairs are made by many tasks.
+    one = groups.select(
+        F.struct("name", "n", "mean").alias("one"), F.explode(F.sequence(F.lit(0), F.lit(PAIR_SHARES - 1))).alias("_share")
     )
-    pairs = listed.select("list", "k", "df", "within", F.posexplode("list").alias("at", "one")).select(
-        "k", "df", "within", "one", F.explode(F.expr("slice(list, at + 2, size(list))")).alias("two")
+    two = groups.select(
+        F.struct("name", "n", "mean").alias("two"), F.pmod(F.xxhash64("name"), F.lit(PAIR_SHARES)).cast("int").alias("_share")
     )
-    variance = F.col("within") / F.nullif(F.col("df"), F.lit(0))
+    pairs = one.join(two, "_share").where(F.col("one.name") < F.col("two.name"))
+    variance = F.lit(totals["within"]) / F.nullif(df, F.lit(0))
     scale = F.sqrt(variance / 2 * (1 / F.col("one.n") + 1 / F.col("two.n")))
-    if q_critical is not None:
-        critical = F.lit(float(q_critical))
-    else:
-        by_groups = F.create_map(*[F.lit(x) for pair in Q_CRITICAL_5_PERCENT.items() for x in pair])
-        critical = F.when(F.col("df") >= LARGE_SAMPLE, F.try_element_at(by_groups, F.col("k").cast("int")))
     measured = pairs.select(
         F.col("one.name").alias("group1"),
         F.col("two.name").alias("group2"),
         (F.col("two.mean") - F.col("one.mean")).alias("meandiff"),
         scale.alias("scale"),
-        critical.alias("q_crit"),
-        "df",
+        df.alias("df"),
     ).withColumn("q", F.abs("meandiff") / F.nullif(F.col("scale"), F.lit(0.0)))
-    half = F.col("q_crit") * F.col("scale")
+    half = F.lit(float(q_critical)) * F.col("scale")
     return measured.select(
         "group1",
         "group2",
@@ -225,5 +180,5 @@ def tukey_hsd(frame: DataFrame, group: str, y: str, q_critical: float | None = N
         (F.col("meandiff") + half).alias("upper"),
         "q",
         "df",
-        (F.col("q") > F.col("q_crit")).alias("reject"),
+        (F.col("q") > F.lit(float(q_critical))).alias("reject"),
     )

@@ -14,8 +14,8 @@ def with_row_index(frame: DataFrame, order_by: Sequence[str], within: Sequence[s
     """Add ``idx``: 0, 1, 2, ... in the order given, starting anew for each ``within``.
 
     Rows are range-partitioned by ``within`` and the order together, so a run
-    with a third of all rows is spread over many tasks. ``within`` must not be
-    NULL, and the order should be unique, or equal rows number arbitrarily.
+    with a third of all rows is spread over many tasks. A NULL in ``within`` is a
+    run of its own; the order should be unique, or equal rows number arbitrarily.
     """
     ordered = frame.orderBy(*within, *order_by)
     tagged = ordered.withColumn("_slot", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
@@ -32,8 +32,12 @@ def index_slots(stored: DataFrame, slots: Sequence[str], row: str, within: Seque
     counts = stored.groupBy(*within, *slots).agg(F.count(F.lit(1)).alias("_rows"), F.min(row).alias("_first"))
     earlier = Window.partitionBy(*within).orderBy(*slots).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    keys = [*within, *slots]
+    starts = materialize(starts.withColumnsRenamed({key: f"_start_{key}" for key in keys}), "slot-starts")
+    same = [F.col(key).eqNullSafe(F.col(f"_start_{key}")) for key in keys]
     return (
-        stored.join(materialize(starts, "slot-starts"), [*within, *slots], "inner")
+        stored.join(starts, same, "inner")
+        .drop(*(f"_start_{key}" for key in keys))
         .withColumn("idx", F.col("_before") + F.col(row) - F.col("_first"))
         .drop(*slots, row, "_before", "_first")
     )

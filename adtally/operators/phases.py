@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
-from math import ceil
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adtally.operators.lookup import Lookup, attach
@@ -45,24 +44,33 @@ def phase_table(spark: SparkSession, phases: Sequence[Phase]) -> DataFrame:
 def assign_phase(rows: DataFrame, time: str, phases: Sequence[Phase]) -> DataFrame:
     """Rows with the columns of the phase their ``time`` falls in; others drop out.
 
-    Phases are listed per time bucket as long as the shortest of them, so the
-    range condition becomes an equi-join on the bucket with a check of the few
-    phases that share it. A row in two overlapping phases comes out twice.
+    The starts and ends of all phases cut time into stretches, whatever the
+    phases' lengths. A row's stretch is found by halving, in generated code, and
+    joined to the phases that cover it. A row in two overlapping phases comes out
+    twice.
     """
-    shortest = min((p.end - p.start).total_seconds() for p in phases)
-    if shortest <= 0:
+    if any(p.end <= p.start for p in phases):
         raise ValueError("a phase must end after it starts")
-    width = max(1, ceil(shortest))
-    entries = sum(int((p.end - p.start).total_seconds() // width) + 2 for p in phases)
-    table = phase_table(rows.sparkSession, phases).withColumn(
-        "_bucket",
-        F.explode(F.sequence(F.expr(f"unix_seconds(start) div {width}"), F.expr(f"unix_seconds(end) div {width}"))),
-    )
-    buckets = Lookup.bounded(table, ["_bucket"], rows=entries, row_bytes=32)
-    return (
-        attach(rows.withColumn("_bucket", F.floor(F.unix_seconds(time) / F.lit(width))), buckets)
-        .where((F.col(time) >= F.col("start")) & (F.col(time) < F.col("end")))
-        .drop("_bucket")
+    cuts = sorted({moment for p in phases for moment in (_micros(p.start), _micros(p.end))})
+    covered = [(at, p.phase) for p in phases for at in range(cuts.index(_micros(p.start)), cuts.index(_micros(p.end)))]
+    spark = rows.sparkSession
+    stretches = spark.createDataFrame(covered, "_stretch int, phase int").join(phase_table(spark, phases), "phase")
+    table = Lookup.bounded(stretches, ["_stretch"], rows=len(covered), row_bytes=32)
+    inside = rows.withColumn("_stretch", _stretch(F.unix_micros(time), cuts, -1, len(cuts)))
+    return attach(inside.where(F.col("_stretch") >= 0), table).drop("_stretch")
+
+
+def _micros(moment: datetime) -> int:
+    return round((in_utc(moment) - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))
+
+
+def _stretch(micros: Column, cuts: list[int], low: int, high: int) -> Column:
+    """The place of the last of ``cuts`` not after ``micros``; -1 before all of them."""
+    if high - low == 1:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(micros < F.lit(cuts[middle]), _stretch(micros, cuts, low, middle)).otherwise(
+        _stretch(micros, cuts, middle, high)
     )
 
 

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from adtally.operators.lookup import Lookup, attach
 from adtally.session import materialize
 
-#: Groups up to this many rows are left to the built-in ``percentile``, which
-#: keeps every distinct value of a group in one task's memory.
-IN_MEMORY_ROWS = 100_000
-
 #: Accuracy asked of the sketch that tells where to look for a quantile. The
 #: result is exact whatever it is; a finer sketch leaves fewer rows to sort.
 SKETCH_ACCURACY = 20_000
@@ -28,34 +24,22 @@ def profile_groups(
 ) -> DataFrame:
     """First pass, one row per group: row count, brackets around each quantile, further measures.
 
-    ``rows`` has neither NULL keys nor NULL or NaN ``y``. The result is written
-    down: the passes that follow must all see the same brackets.
+    ``rows`` has neither NULL keys nor NaN ``y``; NULL ``y`` does not count, and a group
+    of nothing else has NULL brackets. The result is written down: the passes
+    that follow must all see the same brackets.
     """
     ends = [min(1.0, max(0.0, p + side * _MARGIN)) for p in probs for side in (-1, 1)]
     brackets = F.percentile_approx(y, F.array(*[F.lit(end) for end in ends]), SKETCH_ACCURACY)
-    profile = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), brackets.alias("brackets"), *measures)
+    profile = rows.groupBy(*keys).agg(F.count(y).alias("rows"), brackets.alias("brackets"), *measures)
     return materialize(profile, "group-profile")
 
 
 def exact_quantiles(
-    rows: DataFrame,
-    keys: Sequence[str],
-    y: str,
-    probs: Sequence[float],
-    profile: DataFrame,
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    rows: DataFrame, keys: Sequence[str], y: str, probs: Sequence[float], profile: DataFrame
 ) -> DataFrame:
-    """``keys..., quantiles`` (an array, one value per probability); a second pass over ``rows``."""
-    keys = list(keys)
-    largest = profile.agg(F.max("rows")).first()[0] or 0
-    if largest <= in_memory_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return rows.groupBy(*keys).agg(F.percentile(y, wanted).alias("quantiles"))
-    return _quantiles_in_brackets(rows.select(*keys, F.col(y).alias("_y")), keys, list(probs), profile)
-
+    """``keys..., quantiles`` (an array, one value per probability) of groups with a value.
 
-def _quantiles_in_brackets(rows: DataFrame, keys: list[str], probs: list[float], profile: DataFrame) -> DataFrame:
-    """Count what lies outside the brackets, keep values inside, look up the wanted ranks.
+    Count what lies outside the brackets, keep values inside, look up the wanted ranks.
 
     The bracket ends cut each group's values into buckets. Rows are counted by
     bucket, and inside a bracket by distinct value too, before anything is
@@ -63,8 +47,10 @@ def _quantiles_in_brackets(rows: DataFrame, keys: list[str], probs: list[float],
     running count inside one bucket finds the value at a rank. Should a rank
     fall outside its bracket, that bucket's values are fetched in a third pass.
     """
+    keys, probs = list(keys), list(probs)
+    rows = rows.where(F.col(y).isNotNull()).select(*keys, F.col(y).alias("_y"))
     ends = [F.col("brackets")[i].alias(f"_end{i}") for i in range(2 * len(probs))]
-    brackets = Lookup.measured(profile.select(*keys, *ends), keys)
+    brackets = Lookup.measured(profile.where("rows > 0").select(*keys, *ends), keys)
     counted = (
         attach(rows, brackets)
         .withColumns({"_bucket": _bucket(len(probs)), "_value": F.when(_in_bracket(len(probs)), F.col("_y"))})
@@ -82,10 +68,8 @@ def _quantiles_in_brackets(rows: DataFrame, keys: list[str], probs: list[float],
             .groupBy(*keys, "_bucket", F.col("_y").alias("_value"))
             .agg(F.count(F.lit(1)).alias("_rows"))
         )
-    running = F.sum("_rows").over(Window.partitionBy(*keys, "_bucket").orderBy("_value"))
     found = (
-        counted.where(F.col("_value").isNotNull())
-        .withColumn("_past", running)
+        _running(counted.where(F.col("_value").isNotNull()), keys)
         .join(targets, [*keys, "_bucket"])
         .where((F.col("_at") < F.col("_past")) & (F.col("_at") >= F.col("_past") - F.col("_rows")))
     )
@@ -96,12 +80,34 @@ def _quantiles_in_brackets(rows: DataFrame, keys: list[str], probs: list[float],
     ]
     values = found.groupBy(*keys).agg(F.max("_n").alias("_n"), *sides)
     between = [
-        F.col(f"_low{i}") + (_position(p) - F.floor(_position(p))) * (F.col(f"_high{i}") - F.col(f"_low{i}"))
+        # Equal neighbours need no interpolation, and infinite ones allow none.
+        F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise(
+            F.col(f"_low{i}") + (_position(p) - F.floor(_position(p))) * (F.col(f"_high{i}") - F.col(f"_low{i}"))
+        )
         for i, p in enumerate(probs)
     ]
     return values.select(*keys, F.array(*between).alias("quantiles"))
 
 
+def _running(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_past``: the rows of a bucket up to and with each of its values.
+
+    Values are sorted over as many tasks as it takes, each task adds up its own, and
+    only one sum per bucket and task is added up further: no bucket is one task's.
+    """
+    ordered = counted.orderBy(*keys, "_bucket", "_value").withColumn("_slot", F.spark_partition_id())
+    ordered = materialize(ordered, "quantile-values")
+    sums = ordered.groupBy(*keys, "_bucket", "_slot").agg(F.sum("_rows").alias("_in_slot"))
+    earlier = Window.partitionBy(*keys, "_bucket").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_before", F.coalesce(F.sum("_in_slot").over(earlier), F.lit(0))).drop("_in_slot")
+    here = Window.partitionBy(*keys, "_bucket", "_slot").orderBy("_value")
+    return (
+        ordered.withColumn("_here", F.sum("_rows").over(here))
+        .join(starts, [*keys, "_bucket", "_slot"])
+        .withColumn("_past", F.col("_before") + F.col("_here"))
+    )
+
+
 def _bucket(probes: int) -> Column:
     """Grows with ``_y``, and changes at each bracket end and just past it."""
     ends = [F.col(f"_end{i}") for i in range(2 * probes)]

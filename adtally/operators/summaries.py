@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adtally.functions.columns import bin_start, is_number
 from adtally.operators.lookup import Lookup, attach
-from adtally.operators.quantiles import IN_MEMORY_ROWS, exact_quantiles, profile_groups
+from adtally.operators.quantiles import exact_quantiles, profile_groups
 from adtally.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -19,17 +19,17 @@ WHISKER_REACH = 1.5
 
 
 def _measured(frame: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
-    """Keys and measure only; rows without a key or a number are not counted."""
-    rows = frame.select(*keys, F.col(y).cast("double").alias(y)).where(is_number(F.col(y)))
+    """Keys and measure only; rows without a key drop out, and a measure that is no number is NULL.
+
+    A group whose measures are all missing stays a group, with a count of 0.
+    """
+    number = F.col(y).cast("double")
+    rows = frame.select(*keys, F.when(is_number(number), number).alias(y))
     return rows.dropna(subset=list(keys))
 
 
 def describe_by_group(
-    frame: DataFrame,
-    keys: Sequence[str],
-    y: str,
-    approximate: bool = False,
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    frame: DataFrame, keys: Sequence[str], y: str, approximate: bool = False
 ) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation) and max per group.
 
@@ -48,7 +48,7 @@ def describe_by_group(
         described = rows.groupBy(*keys).agg(*moments, F.percentile_approx(y, wanted).alias("quantiles"))
     else:
         profile = profile_groups(rows, keys, y, QUARTILES, moments)
-        described = profile.join(exact_quantiles(rows, keys, y, QUARTILES, profile, in_memory_rows), list(keys))
+        described = profile.join(exact_quantiles(rows, keys, y, QUARTILES, profile), list(keys), "left")
     return described.select(
         *keys,
         "count",
@@ -77,12 +77,12 @@ def binned_mean(frame: DataFrame, x: str, y: str, width: float, keys: Sequence[s
 
 
 def box_stats(
-    frame: DataFrame, keys: Sequence[str], y: str, in_memory_rows: int = IN_MEMORY_ROWS
+    frame: DataFrame, keys: Sequence[str], y: str
 ) -> DataFrame:
     """Box plot numbers per group: quartiles, whiskers, how many points lie beyond them."""
-    rows = _measured(frame, keys, y)
+    rows = _measured(frame, keys, y).where(F.col(y).isNotNull())
     profile = profile_groups(rows, keys, y, QUARTILES)
-    quantiles = exact_quantiles(rows, keys, y, QUARTILES, profile, in_memory_rows)
+    quantiles = exact_quantiles(rows, keys, y, QUARTILES, profile)
     q1, median, q3 = (F.col("quantiles")[i] for i in range(3))
     reach = WHISKER_REACH * (q3 - q1)
     fences = quantiles.select(

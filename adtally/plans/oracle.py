@@ -6,7 +6,7 @@ from adtally.settings import LOAD_RATE, REDUCED_LOAD_RATE
 
 _EVENTS = """e AS (
     SELECT event_id, ts AS event_time, user_id, event_type, value,
-           COALESCE(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS ad_id
+           TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS ad_id
     FROM events)"""
 
 # A numbered ad belongs to campaign ad_id // 10; there are a thousand ads.
@@ -60,6 +60,17 @@ SELECT event_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6)
        count(*) FILTER (value NOT BETWEEN low AND high) AS outliers
 FROM events JOIN f USING (event_type) GROUP BY event_type, q1, median, q3"""
 
+# One group of views, one of all else, and one whose values are all missing.
+_KINDS = """k AS (
+    SELECT CASE WHEN event_type = 'view' THEN 'view' ELSE 'other' END AS kind, value FROM events
+    UNION ALL SELECT 'lost', CAST(NULL AS DOUBLE) FROM events WHERE event_type = 'error')"""
+
+
+def _of_kinds(sql: str) -> str:
+    """A summary of events by type, by kind instead."""
+    return sql.replace("event_type", "kind").replace("FROM events", "FROM k")
+
+
 # Type II sums of squares from exact decimal sums, for a second factor of two levels.
 _ANOVA = """WITH y AS (
     SELECT l_returnflag AS a, l_linestatus AS b, CAST(l_extendedprice AS DECIMAL(18, 2)) AS y FROM lineitem),
@@ -93,7 +104,43 @@ SELECT 'l_returnflag:l_linestatus', round(both_ss, -2), df_both, round(both_ss /
 UNION ALL
 SELECT 'Residual', round(rss, -2), df_rest, NULL FROM r"""
 
-# 4.030 is the critical value for the six groups; it is only used for large samples.
+# The factor of three levels is solved for with the other eliminated; the last level's effect is 0.
+_ANOVA_MANY = """WITH y AS (
+    SELECT l_linenumber AS a, l_returnflag AS b, CAST(l_extendedprice AS DECIMAL(18, 2)) AS y FROM lineitem),
+cell AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s, CAST(sum(y * y) AS DOUBLE) AS ss
+         FROM y GROUP BY a, b),
+la AS (SELECT a, sum(n) AS n, sum(s) AS s FROM cell GROUP BY a),
+lb AS (SELECT b, sum(n) AS n, sum(s) AS s FROM cell GROUP BY b),
+w AS (SELECT la.a, la.n, la.s, coalesce(sum(c.n) FILTER (c.b = 'A'), 0) AS p, coalesce(sum(c.n) FILTER (c.b = 'N'), 0) AS q
+      FROM la JOIN cell c ON c.a = la.a GROUP BY ALL),
+m AS (
+    SELECT (SELECT n FROM lb WHERE b = 'A') - sum(p * p / n) AS pp, -sum(p * q / n) AS pq,
+           (SELECT n FROM lb WHERE b = 'N') - sum(q * q / n) AS qq,
+           (SELECT s FROM lb WHERE b = 'A') - sum(p * s / n) AS rp,
+           (SELECT s FROM lb WHERE b = 'N') - sum(q * s / n) AS rq FROM w),
+t AS (
+    SELECT (SELECT sum(ss - s * s / n) FROM cell) AS rss,
+           (SELECT sum(s * s / n) FROM cell) AS between_cells,
+           (SELECT sum(s * s / n) FROM la) AS between_a,
+           (SELECT sum(s * s / n) FROM lb) AS between_b,
+           (SELECT (rp * (qq * rp - pq * rq) + rq * (pp * rq - pq * rp)) / (pp * qq - pq * pq) FROM m) AS b_given_a,
+           (SELECT CAST(sum(n) AS BIGINT) FROM cell) AS n,
+           (SELECT count(*) FROM cell) AS cells,
+           (SELECT count(*) FROM la) AS levels_a,
+           (SELECT count(*) FROM lb) AS levels_b),
+r AS (
+    SELECT *, between_cells - between_a - b_given_a AS both_ss,
+           n - cells AS df_rest, cells - levels_a - levels_b + 1 AS df_both FROM t)
+SELECT 'l_linenumber' AS term, round((between_cells - between_b) - both_ss, -2) AS sum_sq, levels_a - 1 AS df,
+       round(((between_cells - between_b) - both_ss) / (levels_a - 1) / (rss / df_rest), 6) AS f FROM r
+UNION ALL
+SELECT 'l_returnflag', round(b_given_a, -2), levels_b - 1, round(b_given_a / (levels_b - 1) / (rss / df_rest), 6) FROM r
+UNION ALL
+SELECT 'l_linenumber:l_returnflag', round(both_ss, -2), df_both, round(both_ss / df_both / (rss / df_rest), 6) FROM r
+UNION ALL
+SELECT 'Residual', round(rss, -2), df_rest, NULL FROM r"""
+
+# 4.030 is the critical value for the six groups.
 _TUKEY = """WITH g AS (
     SELECT concat(l_returnflag, l_linestatus) AS g, count(*) AS n, avg(l_extendedprice) AS m,
            var_pop(l_extendedprice) * count(*) AS within
@@ -101,7 +148,7 @@ _TUKEY = """WITH g AS (
 t AS (SELECT CAST(sum(n) - count(*) AS BIGINT) AS df, sum(within) / (sum(n) - count(*)) AS mse FROM g),
 p AS (
     SELECT x.g AS group1, y.g AS group2, y.m - x.m AS meandiff, sqrt(mse / 2 * (1.0 / x.n + 1.0 / y.n)) AS scale,
-           CASE WHEN df >= 10000 THEN CAST(4.030 AS DOUBLE) END AS q_crit, df
+           CAST(4.030 AS DOUBLE) AS q_crit, df
     FROM g x JOIN g y ON x.g < y.g, t)
 SELECT group1, group2, round(meandiff, 5) AS meandiff, round(meandiff - q_crit * scale, 5) AS lower,
        round(meandiff + q_crit * scale, 5) AS upper, round(abs(meandiff) / scale, 5) AS q, df,
@@ -122,7 +169,8 @@ ORACLE: dict[str, str] = {
     "source_campaigns": f"WITH {_EVENTS} SELECT DISTINCT ad_id, ad_id // 10 AS campaign_id FROM e WHERE ad_id >= 0",
     "scan_result_csv": f"""{_TEN}, {_run('r', 'w', 0)}
 SELECT "testIndex" AS _index, "countOfEvent" AS "0", "latencyTime" AS "1", "NumberOfNodes" AS "2",
-       "TestNumber" AS "3", "System" AS "4" FROM r""",
+       "TestNumber" AS "3", "System" AS "4", CAST(2 AS INTEGER) AS file_nodes, 'spark' AS file_system,
+       CAST(0 AS INTEGER) AS file_test FROM r""",
     "scan_metric_text": f'{_TEN}, {_run("r", "w", 0)} SELECT "testIndex" AS idx, "latencyTime" AS value FROM r',
     "scan_metric_pairs": f'{_TEN}, {_run("r", "w", 0)} SELECT "testIndex" AS idx, "countOfEvent", "latencyTime" FROM r',
     "sink_window_upsert": f"{_TEN} {_COUNTS}",
@@ -154,7 +202,7 @@ SELECT idx, seen, updated FROM s FULL JOIN u USING (idx)""",
     "join_campaign_measured": _JOINED,
     "join_campaign_large_table": _JOINED,
     "join_campaign_unknown_ads": f"""WITH {_EVENTS} SELECT ad_id, count(*) AS events FROM e
-WHERE event_type = 'view' AND ad_id NOT BETWEEN 0 AND 89 GROUP BY ad_id""",
+WHERE event_type = 'view' AND (ad_id IS NULL OR ad_id NOT BETWEEN 0 AND 89) GROUP BY ad_id""",
     "campaign_window_count": f"{_TEN} {_COUNTS}",
     "campaign_window_count_hourly": f"{_HOUR} {_COUNTS}",
     "campaign_window_count_large_table": f"{_HOUR} {_COUNTS}",
@@ -179,15 +227,32 @@ SELECT phase, count(*) AS windows, CAST(sum(seen_count) AS BIGINT) AS views, rou
        max({_lag()}) AS max_latency_ms
 FROM w JOIN phases ON window_start >= start_at AND window_start < end_at GROUP BY phase""",
     "describe_by_group": _DESCRIBE,
-    "describe_by_group_large_groups": _DESCRIBE,
+    "describe_by_group_large_groups": f"WITH {_KINDS} {_of_kinds(_DESCRIBE)}",
     "variance_by_group": "SELECT event_type, round(var_samp(value), 6) AS variance FROM events GROUP BY event_type",
+    "variance_by_group_missing": f"WITH {_KINDS} SELECT kind, round(var_samp(value), 6) AS variance FROM k GROUP BY kind",
     "anova_two_way": _ANOVA,
+    "anova_two_way_many_levels": _ANOVA_MANY,
     "tukey_hsd": _TUKEY,
     "binned_mean": """SELECT floor(l_quantity / 5.0) * 5.0 AS bin_start, count(*) AS rows,
        round(avg(l_extendedprice), 5) AS mean FROM lineitem GROUP BY 1""",
     "box_stats": _BOX,
-    "box_stats_large_groups": _BOX,
+    "box_stats_large_groups": f"WITH {_KINDS}, {_of_kinds(_BOX).removeprefix('WITH ')}".replace(
+        "FROM k GROUP BY kind)", "FROM k WHERE value IS NOT NULL GROUP BY kind)"
+    ),
     "head_rows": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5",
-    "union_runs": """SELECT event_id, event_type, value FROM events WHERE event_type = 'view'
-UNION ALL SELECT event_id, event_type, NULL FROM events WHERE event_type = 'click'""",
+    "union_runs": """SELECT event_id, event_type, value FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, event_type, NULL FROM events WHERE event_id % 2 <> 0""",
+    "compare_runs": f"""{_HOUR},
+r AS (SELECT CASE WHEN campaign_id % 2 = 0 THEN 2 ELSE 4 END AS nodes,
+             CASE WHEN campaign_id // 2 % 2 = 0 THEN 'spark' ELSE 'spark2' END AS system,
+             CAST({_lag()} AS DOUBLE) AS y FROM w)
+SELECT system AS "System", CAST(nodes AS INTEGER) AS "NumberOfNodes", count(*) AS "count", round(avg(y), 6) AS mean,
+       round(stddev_samp(y), 6) AS std, round(min(y), 6) AS min, round(quantile_cont(y, 0.25), 6) AS p25,
+       round(quantile_cont(y, 0.5), 6) AS p50, round(quantile_cont(y, 0.75), 6) AS p75, round(max(y), 6) AS max,
+       round(var_samp(y), -2) AS variance, count(*) FILTER (y / 1000 NOT BETWEEN low AND high) AS outliers
+FROM r JOIN (SELECT system, nodes, quantile_cont(y, 0.25) / 1000 AS q1, quantile_cont(y, 0.75) / 1000 AS q3,
+                    q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM r GROUP BY ALL) USING (system, nodes)
+GROUP BY system, nodes""",
+    "window_latency_stream": f"""{_TEN} SELECT campaign_id, window_start, seen_count, TRUE AS after_last_event,
+       TRUE AS after_start FROM w""",
 }

@@ -29,7 +29,7 @@ from adtally.operators.results import (
     with_latency_seconds,
 )
 from adtally.operators.summaries import binned_mean, box_stats, describe_by_group, variance_by_group
-from adtally.plans.runs import run_results
+from adtally.plans.runs import compare_runs, run_results
 from adtally.schemas import RESULT_COLUMNS, RESULT_FILE_COLUMNS
 from adtally.session import fresh_path, materialize, use_utc
 from adtally.settings import LOAD_RATE, REDUCED_LOAD_RATE, RunSettings
@@ -43,6 +43,9 @@ from adtally.streaming.store import WindowStore
 
 HOURLY = "1 hour"
 
+# 5 % critical values of the studentized range for 6 and 4 groups and many residual degrees of freedom.
+Q_SIX_GROUPS, Q_FOUR_GROUPS = 4.030, 3.633
+
 #: January 2024, the month of the test events, cut into three load phases.
 PHASES = [
     Phase(1, datetime(2024, 1, 1), datetime(2024, 1, 11), LOAD_RATE),
@@ -144,13 +147,11 @@ def _source_campaigns(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("scan_result_csv")
 def _scan_result_csv(spark: SparkSession, folder: str) -> DataFrame:
-    return read_results(spark, _flat_results(spark, folder)).drop(
-        "file_path", "file_nodes", "file_system", "file_test"
-    )
+    return read_results(spark, _flat_results(spark, folder)).drop("file_path")
 
 
 def _flat_results(spark: SparkSession, folder: str) -> str:
-    path = fresh_path(spark, "results")
+    path = f"{fresh_path(spark, 'results')}/test_Nodes-2_System-spark_Test-0.csv"
     _numbered_run(spark, folder).select(*RESULT_COLUMNS).toDF(*RESULT_FILE_COLUMNS).write.option("header", True).csv(
         path
     )
@@ -187,8 +188,7 @@ def _sink_window_upsert(spark: SparkSession, folder: str) -> DataFrame:
     store = _store(spark)
     replay, files = _shuffled_replay(spark, folder)
     events = spark.readStream.schema(_REPLAY_SCHEMA).option("maxFilesPerTrigger", max(1, files // 4)).parquet(replay)
-    start_campaign_counts(events, numbered_campaigns(spark), store, trigger_millis=None).awaitTermination()
-    store.fold(1)
+    start_campaign_counts(events, numbered_campaigns(spark), store, trigger_millis=None, fold_every=2).awaitTermination()
     return _counts(store.table())
 
 
@@ -349,7 +349,8 @@ def _store(spark: SparkSession, totals: bool = False) -> WindowStore:
 
 def _streamed(spark: SparkSession, folder: str, campaigns: Lookup, window: str = WINDOW) -> WindowStore:
     store = _store(spark)
-    events = event_table_stream(spark, f"{folder}/events.parquet")
+    replay, files = _shuffled_replay(spark, folder)
+    events = spark.readStream.schema(_REPLAY_SCHEMA).option("maxFilesPerTrigger", max(1, files // 3)).parquet(replay)
     start_campaign_counts(events, campaigns, store, window, trigger_millis=None).awaitTermination()
     return store
 
@@ -383,8 +384,17 @@ def _campaign_window_count_json_stream(spark: SparkSession, folder: str) -> Data
 
 @_query("window_latency_stream")
 def _window_latency_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Latency by the clock: differs from run to run."""
-    return _plain(settled_latency(_streamed(spark, folder, numbered_campaigns(spark)).table()))
+    """Latency by the clock: what holds of it whenever the stream runs."""
+    began = spark.sql("SELECT unix_millis(current_timestamp())").first()[0]
+    settled = settled_latency(_streamed(spark, folder, numbered_campaigns(spark)).table())
+    lags = _lags(spark, folder).select("campaign_id", "window_start", "last_event_lag_ms")
+    return _plain(
+        settled.join(lags, ["campaign_id", "window_start"]).select(
+            "campaign_id", "window_start", "seen_count",
+            (F.col("latency_ms") >= F.col("last_event_lag_ms")).alias("after_last_event"),
+            (F.col("latency_ms") + F.unix_millis("window_start") >= F.lit(began)).alias("after_start"),
+        )
+    )
 
 
 @_query("late_merge")
@@ -439,6 +449,15 @@ def _value_by_type(spark: SparkSession, folder: str) -> tuple[DataFrame, Sequenc
     return _events(spark, folder).select("event_type", "value"), ["event_type"], "value"
 
 
+def _value_by_hot_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Views are one group, all else another, and the values of a third are missing."""
+    events = _events(spark, folder).select("event_type", "value")
+    kind = F.when(F.col("event_type") == "view", "view").otherwise("other")
+    kinds = events.select(kind.alias("kind"), "value")
+    lost = events.where("event_type = 'error'").select(F.lit("lost").alias("kind"), F.lit(None).cast("double").alias("value"))
+    return kinds.union(lost)
+
+
 @_query("describe_by_group")
 def _describe_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(describe_by_group(*_value_by_type(spark, folder)))
@@ -446,8 +465,8 @@ def _describe_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("describe_by_group_large_groups")
 def _describe_large_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """The way taken when a group is too large for one task's memory."""
-    return _plain(describe_by_group(*_value_by_type(spark, folder), in_memory_rows=0))
+    """One group holds four fifths of all rows, another has no value at all."""
+    return _plain(describe_by_group(_value_by_hot_type(spark, folder), ["kind"], "value"))
 
 
 @_query("variance_by_group")
@@ -455,6 +474,11 @@ def _variance_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(variance_by_group(*_value_by_type(spark, folder)))
 
 
+@_query("variance_by_group_missing")
+def _variance_missing(spark: SparkSession, folder: str) -> DataFrame:
+    return _plain(variance_by_group(_value_by_hot_type(spark, folder), ["kind"], "value"))
+
+
 def _priced_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _lineitem(spark, folder).select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
 
@@ -470,7 +494,15 @@ def _anova(spark: SparkSession, folder: str) -> DataFrame:
 @_query("tukey_hsd")
 def _tukey(spark: SparkSession, folder: str) -> DataFrame:
     lines = _priced_lines(spark, folder).withColumn("groups", F.concat("l_returnflag", "l_linestatus"))
-    return _plain(tukey_hsd(lines, "groups", "l_extendedprice"), digits=5)
+    return _plain(tukey_hsd(lines, "groups", "l_extendedprice", Q_SIX_GROUPS), digits=5)
+
+
+@_query("anova_two_way_many_levels")
+def _anova_many_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven line numbers against three return flags."""
+    lines = _lineitem(spark, folder).select("l_linenumber", "l_returnflag", "l_extendedprice")
+    table = anova_two_way(lines, "l_linenumber", "l_returnflag", "l_extendedprice")
+    return table.select("term", F.round("sum_sq", -2).alias("sum_sq"), "df", F.round("f", 6).alias("f"))
 
 
 @_query("binned_mean")
@@ -485,7 +517,7 @@ def _box_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("box_stats_large_groups")
 def _box_large_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return _plain(box_stats(*_value_by_type(spark, folder), in_memory_rows=0))
+    return _plain(box_stats(_value_by_hot_type(spark, folder), ["kind"], "value"))
 
 
 # ---------------------------------------------------------------- sorts and unions
@@ -499,9 +531,25 @@ def _head(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("union_runs")
 def _union_of_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Views and clicks as two runs, the second without a value column."""
+    """All events as two runs, the second without a value column."""
     events = _events(spark, folder).select("event_id", "event_type", "value")
-    return union_runs(
-        events.where(F.col("event_type") == "view"),
-        events.where(F.col("event_type") == "click").drop("value"),
-    )
+    return union_runs(events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0").drop("value"))
+
+
+@_query("compare_runs")
+def _compare_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Four runs, of two systems on two and four nodes, described side by side."""
+    lags = _lags(spark, folder, HOURLY)
+    runs = [
+        run_results(
+            lags.where((F.col("campaign_id") % 2 == even) & (F.expr("campaign_id div 2 % 2") == first)),
+            "last_event_lag_ms",
+            RunSettings(nodes=nodes, test=0, system=system),
+        )
+        for even, nodes in ((0, 2), (1, 4))
+        for first, system in ((0, "spark"), (1, "spark2"))
+    ]
+    tables = compare_runs(union_runs(*runs), 5.0, Q_FOUR_GROUPS)
+    keys = ["System", "NumberOfNodes"]
+    table = tables["describe"].join(tables["variance"], keys).join(tables["box"].select(*keys, "outliers"), keys)
+    return _plain(table.drop("variance")).join(table.select(*keys, F.round("variance", -2).alias("variance")), keys)

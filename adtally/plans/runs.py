@@ -35,7 +35,7 @@ def run_results(windows: DataFrame, latency: str, settings: RunSettings) -> Data
     return number_results(pairs, ["campaign_id", "window_start"])
 
 
-def compare_runs(results: DataFrame, bin_width: float) -> dict[str, DataFrame]:
+def compare_runs(results: DataFrame, bin_width: float, q_critical: float) -> dict[str, DataFrame]:
     """Everything the analysis of one experiment reports, as tables."""
     labelled = with_group_label(with_latency_seconds(results))
     by_nodes = ["System", "NumberOfNodes"]
@@ -43,7 +43,7 @@ def compare_runs(results: DataFrame, bin_width: float) -> dict[str, DataFrame]:
         "describe": describe_by_group(labelled, by_nodes, "latencyTime"),
         "variance": variance_by_group(labelled, by_nodes, "latencyTime"),
         "anova": anova_two_way(labelled, "NumberOfNodes", "System", "latencyTime"),
-        "tukey": tukey_hsd(labelled, "groups", "latencyTime"),
+        "tukey": tukey_hsd(labelled, "groups", "latencyTime", q_critical),
         "binned": binned_mean(labelled, "countOfEvent", "latencyTime(s)", bin_width, by_nodes),
         "box": box_stats(labelled, by_nodes, "latencyTime(s)"),
     }

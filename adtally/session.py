@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+_WRITTEN: defaultdict[str, list[str]] = defaultdict(list)
 
 
 def build_session(app: str = "adtally", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,9 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
     used in local mode alone; on a cluster an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if named:
+        scheme = urlparse(named).scheme or urlparse(context._jsc.hadoopConfiguration().get("fs.defaultFS")).scheme
+        if scheme == "file" and not context.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir ({named}) is a folder of one machine; name one all executors share")
         return named.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _LOCAL_FOLDERS:
@@ -60,8 +66,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/adtally/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses, until :func:`clear_intermediates`."""
+    path = f"{shared_folder(spark)}/adtally/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[spark.sparkContext.applicationId].append(path)
+    return path
+
+
+def clear_intermediates(spark: SparkSession) -> int:
+    """Delete everything this session has put in the shared folder; how many paths there were.
+
+    For when all results have been read or written elsewhere.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        _delete(spark, name)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(frame: DataFrame, name: str) -> DataFrame:
@@ -77,8 +101,6 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
 
 def discard(frame: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
-    jvm, conf = frame.sparkSession._jvm, frame.sparkSession._jsc.hadoopConfiguration()
     for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
         if "/adtally/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(frame.sparkSession, folder)

@@ -14,9 +14,6 @@ from adtally.settings import RunSettings
 
 _ONLY_AD_NUMBER = r'^\{\s*"k"\s*:\s*(-?(?:0|[1-9][0-9]*))\s*\}$'
 
-#: Stands for an ad number that could not be read.
-UNREADABLE_AD = -1
-
 _LINES = StructType([StructField("value", StringType())])
 
 
@@ -26,6 +23,7 @@ def kafka_options(settings: RunSettings, max_offsets_per_trigger: int | None = N
         "subscribe": settings.topic,
         "startingOffsets": "earliest",
         "failOnDataLoss": "true",
+        "minPartitions": str(settings.topic_partitions),
     }
     if max_offsets_per_trigger is not None:
         options["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
@@ -110,12 +108,11 @@ def ad_id_of(props: Column) -> Column:
     """The ad number an event carries as ``k`` in its JSON properties.
 
     Properties that are just that number match a pattern, which costs a quarter
-    of a JSON parser; any others go to the parser. Unreadable ones become a
-    number no ad has: were they NULL, the join to the campaigns would filter on
-    the value and have every view read twice.
+    of a JSON parser; any others go to the parser.
+    Unreadable ones are NULL.
     """
     alone = F.regexp_extract(props, _ONLY_AD_NUMBER, 1).try_cast("bigint")
-    return F.coalesce(alone, F.from_json(props, "k bigint")["k"], F.lit(UNREADABLE_AD))
+    return F.coalesce(alone, F.from_json(props, "k bigint")["k"])
 
 
 def _json_reader(reader, fields: Sequence[str]):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtally.operators.numbering import index_slots, pair_by_position
+from adtally.operators.numbering import index_slots, pair_by_position, with_row_index
 from adtally.session import materialize
 
 # Names of the two vectors' files.
@@ -18,17 +18,21 @@ UPDATED_FILE = "updated.txt"
 def write_metric_vectors(
     frame: DataFrame, folder: str, seen: str, updated: str, order_by: Sequence[str]
 ) -> None:
-    """Write both vectors in the given order, which must be unique to pair them again."""
-    ordered = frame.orderBy(*order_by)
-    ordered.select(F.col(seen).cast("string")).write.text(f"{folder}/{SEEN_FILE}")
-    ordered.select(F.col(updated).cast("string")).write.text(f"{folder}/{UPDATED_FILE}")
+    """Write both vectors in the given order, numbered once so that lines stay pairs.
+
+    A NULL is written as ``nan``, to keep its line.
+    """
+    numbered = with_row_index(frame.select(*dict.fromkeys([*order_by, seen, updated])), order_by)
+    ordered = materialize(numbered, "metric-pairs").orderBy("idx")
+    for column, name in ((seen, SEEN_FILE), (updated, UPDATED_FILE)):
+        ordered.select(F.coalesce(F.col(column).cast("string"), F.lit("nan"))).write.text(f"{folder}/{name}")
 
 
 def read_metric_vector(spark: SparkSession, path: str) -> DataFrame:
     """``idx, value`` of a text file, or of a folder of parts in name order.
 
-    Blank lines and ``#`` lines do not count; anything else that is not a
-    number is an error. Each task numbers the lines of the file blocks it
+    Blank lines and ``#`` lines do not count, ``nan`` is NULL; anything else
+    that is not a number is an error. Each task numbers the lines of the file blocks it
     reads; how the file was cut is written down with the lines, so that later
     reads cannot cut it differently.
     """
@@ -42,7 +46,7 @@ def read_metric_vector(spark: SparkSession, path: str) -> DataFrame:
         .where((F.col("line") != "") & ~F.col("line").startswith("#"))
     )
     tagged = lines.select(
-        F.col("line").cast("double").alias("value"), "_file", "_block", F.monotonically_increasing_id().alias("_row")
+        F.when(F.lower("line") != "nan", F.col("line").cast("double")).alias("value"), "_file", "_block", F.monotonically_increasing_id().alias("_row")
     )
     return index_slots(materialize(tagged, "metric-lines"), ["_file", "_block"], "_row").select("idx", "value")
 

@@ -11,7 +11,8 @@ from adtally.operators.results import label_result_columns
 from adtally.schemas import RESULT_COLUMNS, RESULT_FILE, RESULT_FILE_COLUMNS
 
 # Name pattern of a run's file.
-RUN_FILE_PATTERN = r"test_Nodes-(\d+)_System-([^_/]+)_Test-(\d+)\.csv$"
+# A folder of that name with parts in it will do as well.
+RUN_FILE_PATTERN = r"test_Nodes-(\d+)_System-([^_/]+)_Test-(\d+)\.csv(?:/[^/]+)?$"
 
 _RUN_FIELDS = (("file_nodes", 1, IntegerType()), ("file_system", 2, StringType()), ("file_test", 3, IntegerType()))
 
@@ -20,11 +21,12 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the files at ``path`` (a file, a folder or a pattern), positional names.
 
     Folders are not searched below the first level. What the file name says
-    about the run is added. No such path gives no rows, with the same schema.
+    about the run is added. No such path gives no rows, with the same schema. A field
+    that does not fit its column, or a row with too few, is an error.
     """
     extra = StructType([StructField("file_path", StringType()), *(StructField(n, t) for n, _, t in _RUN_FIELDS)])
     try:
-        rows = spark.read.schema(RESULT_FILE).option("header", True).csv(path)
+        rows = spark.read.schema(RESULT_FILE).option("header", True).option("mode", "FAILFAST").csv(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -12,6 +12,9 @@ from adtally.operators.lookup import Lookup, attach
 from adtally.settings import TRIGGER_MILLIS
 from adtally.streaming.store import WindowStore
 
+#: Micro-batches from one fold of the store to the next.
+FOLD_EVERY = 50
+
 
 def start_campaign_counts(
     events: DataFrame,
@@ -19,24 +22,23 @@ def start_campaign_counts(
     store: WindowStore,
     window: str = WINDOW,
     trigger_millis: int | None = TRIGGER_MILLIS,
-    fold_every: int | None = None,
+    fold_every: int | None = FOLD_EVERY,
 ) -> StreamingQuery:
     """Count views per campaign and window, micro-batch by micro-batch.
 
     No state is kept in the engine: each micro-batch is counted as a batch
     would be and its rows go to ``store``, which adds them up. Events may be
     late by any time. ``trigger_millis=None`` works off what is there and ends.
-    ``fold_every`` merges the store's batches after every so many of them.
+    ``fold_every`` has the store merge its batches after every so many of them, in a
+    thread beside the stream, so that a trigger never waits for it.
 
-    ``time_updated`` is the time a micro-batch is taken up, the same for all its
-    rows.
+    ``time_updated`` is the time a micro-batch's rows have been written.
     """
 
     def count_batch(views: DataFrame, batch_id: int) -> None:
-        counted = count_views(views, campaigns, window).withColumn("time_updated", F.current_timestamp())
-        store.upsert(counted, batch_id)
+        store.upsert(count_views(views, campaigns, window), batch_id)
         if fold_every and batch_id and batch_id % fold_every == 0:
-            store.fold(batch_id - 1)  # the last one sure not to be repeated
+            store.fold_later(batch_id - 1)  # the last one sure not to be repeated
 
     return _start(views_of(events).writeStream.foreachBatch(count_batch), store, trigger_millis)
 
@@ -65,7 +67,7 @@ def start_bounded_counts(
 
     def keep_batch(rows: DataFrame, batch_id: int) -> None:
         # The state has many partitions, an update few rows: gather them into full files.
-        store.upsert(rows.hint("rebalance").withColumn("time_updated", F.current_timestamp()), batch_id)
+        store.upsert(rows.hint("rebalance"), batch_id)
 
     return _start(counts.writeStream.outputMode("update").foreachBatch(keep_batch), store, trigger_millis)
 

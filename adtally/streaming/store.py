@@ -3,20 +3,24 @@
 Each micro-batch writes its rows to a folder named after its batch id, in
 overwrite mode: doing a batch again replaces what it wrote, so nothing counts
 twice. The table is the merge of all batches. Merging is additive, so rows may
-arrive in any order and any time late. :meth:`WindowStore.fold` merges old
-batches into one table now and then.
+arrive in any order and any time late. :meth:`WindowStore.fold` merges finished
+batches into a table kept by day, of which only the days they touch are
+rewritten, and deletes what the fold before it had replaced.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType, TimestampType
 
 from adtally.schemas import window_rows
 
 _LEDGER = StructType([StructField("upto", LongType())])
+_COMMIT = StructType([StructField("batch_id", LongType()), StructField("committed", TimestampType())])
 
 
 class WindowStore:
@@ -24,15 +28,20 @@ class WindowStore:
 
     ``totals=False``: batches hold parts of a window's count, which add up.
     ``totals=True``: batches hold a window's count so far; the newest counts.
+    ``keep_days``: days further back than that from the newest are dropped when folding.
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, campaign_type: DataType = StringType(), totals: bool = False
+        self, spark: SparkSession, folder: str, campaign_type: DataType = StringType(), totals: bool = False,
+        keep_days: int | None = None,
     ) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.totals = totals
+        self.keep_days = keep_days
         self._rows = window_rows(campaign_type)
+        self._folder_thread = ThreadPoolExecutor(1, thread_name_prefix="fold")
+        self._folding: Future | None = None
 
     @property
     def checkpoint(self) -> str:
@@ -44,53 +53,122 @@ class WindowStore:
         return f"{self.folder}/batches"
 
     def upsert(self, rows: DataFrame, batch_id: int) -> None:
-        """Write one micro-batch's rows; a repeated batch id replaces its rows."""
+        """Write one micro-batch's rows; a repeated batch id replaces its rows.
+
+        Rows without a ``time_updated`` get the time their batch was first written in
+        full: it is noted after the write, and a repeated batch leaves the note alone.
+        """
+        if "time_updated" not in rows.columns:
+            rows = rows.withColumn("time_updated", F.lit(None).cast("timestamp"))
         rows.select(*self._rows.fieldNames()).write.mode("overwrite").parquet(f"{self._batches}/batch_id={batch_id}")
+        note = self.spark.range(batch_id, batch_id + 1, numPartitions=1).toDF("batch_id")
+        note.withColumn("committed", F.current_timestamp()).write.mode("ignore").json(
+            f"{self.folder}/commits/batch={batch_id}"
+        )
 
     def table(self) -> DataFrame:
         """One row per campaign and window. Read it once the job has drained."""
+        self.settle()
         return self._merged(self._all_rows())
 
+    def fold_later(self, upto: int) -> None:
+        """Fold beside the running job, unless a fold is still going on."""
+        if self._folding is None or self._folding.done():
+            self.settle()
+            self._folding = self._folder_thread.submit(self.fold, upto)
+
+    def settle(self) -> None:
+        """Wait for a fold that goes on; its error, if it had one, is raised here."""
+        if self._folding is not None:
+            folding, self._folding = self._folding, None
+            folding.result()
+
     def fold(self, upto: int) -> None:
-        """Merge all finished batches with ids up to ``upto`` into one table.
+        """Merge all finished batches with ids up to ``upto`` into the table kept by day.
 
-        Readers go over to it when the ledger names it, after it is written.
+        Readers go over to it when the ledger names it, after it is written. What the
+        fold before had replaced is deleted, so readers of that state have a whole fold's time.
         """
         done = self._folded_upto()
         if done is not None and done >= upto:
             return
-        merged = self._merged(self._all_rows().where(F.col("batch_id") <= upto))
-        merged.write.mode("overwrite").parquet(f"{self.folder}/folded/upto={upto}")
+        fresh = self._batch_rows(done).where(F.col("batch_id") <= upto).withColumn("day", F.to_date("window_start"))
+        # A fold's batches touch few days.
+        days = sorted(str(row["day"]) for row in fresh.select("day").distinct().collect())
+        folded = self._folded_paths(done)
+        rows = fresh
+        touched = [folded[day] for day in days if day in folded]
+        if touched:
+            rows = rows.unionByName(
+                self._read(touched, self._rows).withColumns(
+                    {"batch_id": F.lit(done).cast("long"), "day": F.to_date("window_start")}
+                )
+            )
+        merged = self._merged(rows).withColumn("day", F.to_date("window_start"))
+        merged.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/folded/upto={upto}")
         self.spark.range(upto, upto + 1, numPartitions=1).toDF("upto").write.mode("append").json(
             f"{self.folder}/ledger"
         )
+        self._forget(done)
 
-    def forget_folded(self) -> None:
-        """Delete batches and earlier tables the last fold has replaced.
-
-        For use while nobody reads the store: a reader that started earlier
-        may still need them.
-        """
-        done = self._folded_upto()
+    def _forget(self, done: int | None) -> None:
+        """Delete batches up to ``done`` and the days' tables that were no longer read at ``done``."""
         if done is None:
             return
-        path_class = self.spark._jvm.org.apache.hadoop.fs.Path
-        for parent, last in ((self._batches, done), (f"{self.folder}/folded", done - 1)):
-            path = path_class(parent)
-            files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            for status in files.listStatus(path) if files.exists(path) else ():
-                name = status.getPath().getName()
-                if "=" in name and int(name.split("=")[1]) <= last:
-                    files.delete(status.getPath(), True)
+        for parent in (self._batches, f"{self.folder}/commits"):
+            for name in self._names(parent):
+                if "=" in name and int(name.split("=")[1]) <= done:
+                    self._delete(f"{parent}/{name}")
+        wanted = set(self._folded_paths(done).values())
+        newest = max((path.rsplit("day=", 1)[1] for path in wanted), default=None)
+        for version in self._versions():
+            if version > done:
+                continue
+            parent = f"{self.folder}/folded/upto={version}"
+            for name in self._names(parent):
+                path = f"{parent}/{name}"
+                if name.startswith("day=") and (path not in wanted or self._too_old(name[4:], newest)):
+                    self._delete(path)
+            if not any(name.startswith("day=") for name in self._names(parent)):
+                self._delete(parent)
+
+    def _too_old(self, day: str, newest: str | None) -> bool:
+        from datetime import date
+
+        if self.keep_days is None or newest is None:
+            return False
+        return (date.fromisoformat(newest) - date.fromisoformat(day)).days > self.keep_days
+
+    def _versions(self) -> list[int]:
+        return sorted(int(name.split("=")[1]) for name in self._names(f"{self.folder}/folded") if name.startswith("upto="))
+
+    def _folded_paths(self, done: int | None) -> dict[str, str]:
+        """For each day its newest table of a fold up to ``done``: as many entries as days kept."""
+        paths = {}
+        for version in self._versions() if done is not None else ():
+            if version <= done:
+                for name in self._names(f"{self.folder}/folded/upto={version}"):
+                    if name.startswith("day="):
+                        paths[name[4:]] = f"{self.folder}/folded/upto={version}/{name}"
+        return paths
 
     def _all_rows(self) -> DataFrame:
         """What the last fold left, and the batches after it, by batch id."""
         done = self._folded_upto()
+        paths = list(self._folded_paths(done).values())
+        rows = self._batch_rows(done)
+        if not paths:
+            return rows
+        return rows.unionByName(self._read(paths, self._rows).withColumn("batch_id", F.lit(done).cast("long")))
+
+    def _batch_rows(self, done: int | None) -> DataFrame:
         batches = self._read(self._batches, StructType([*self._rows.fields, StructField("batch_id", LongType())]))
-        if done is None:
-            return batches
-        folded = self._read(f"{self.folder}/folded/upto={done}", self._rows)
-        return batches.where(F.col("batch_id") > done).unionByName(folded.withColumn("batch_id", F.lit(done)))
+        commits = self._read(f"{self.folder}/commits/*", _COMMIT, "json")
+        if done is not None:
+            batches = batches.where(F.col("batch_id") > done)
+        # One row per batch that is not folded yet.
+        noted = batches.join(F.broadcast(commits.groupBy("batch_id").agg(F.min("committed").alias("committed"))), "batch_id", "left")
+        return noted.withColumn("time_updated", F.coalesce("time_updated", "committed")).drop("committed")
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         count = F.max_by("seen_count", "batch_id") if self.totals else F.sum("seen_count")
@@ -101,7 +179,19 @@ class WindowStore:
     def _folded_upto(self) -> int | None:
         return self._read(f"{self.folder}/ledger", _LEDGER, "json").agg(F.max("upto")).first()[0]
 
-    def _read(self, path: str, schema: StructType, source: str = "parquet") -> DataFrame:
+    def _files(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path, files = self._files(folder)
+        return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+
+    def _delete(self, folder: str) -> None:
+        path, files = self._files(folder)
+        files.delete(path, True)
+
+    def _read(self, path: str | list[str], schema: StructType, source: str = "parquet") -> DataFrame:
         try:
             return self.spark.read.schema(schema).format(source).load(path)
         except AnalysisException as error:

@@ -3,19 +3,19 @@
 import pytest
 
 import __spark_entry__ as contract
+from adtally.plans.oracle import ORACLE
+from adtally.plans.registered import QUERIES
 from oracle_check import compare, connect
 
-NO_SQL = {"window_latency_stream"}  # depends on the clock
-
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == NO_SQL
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, small, name):
-    problem = compare(spark, contract.queries()[name], contract.oracle_sql().get(name), small, connect(small))
+    problem = compare(spark, QUERIES[name], ORACLE[name], small, connect(small))
     assert problem is None
 
 

@@ -63,6 +63,15 @@ def test_phase_latency(spark):
     assert got == [(1, 2, 12, 200.0, 300), (2, 1, 1, 50.0, 50)]
 
 
+def test_a_short_phase_beside_a_long_one(spark):
+    """The table of stretches grows with the number of phases, not with their lengths."""
+    plan = [Phase(1, T0, T0 + timedelta(seconds=1), 1.0), Phase(2, T0, T0 + timedelta(days=365), 1.0)]
+    rows = spark.createDataFrame(at(*range(0, 3_000, 3)), "event_time timestamp")
+    got = {r["phase"]: r["events"] for r in phase_rates(rows, plan).collect()}
+    assert got == {1: 1, 2: 1000}
+    assert spark.createDataFrame([(None,)], "t timestamp").transform(lambda f: assign_phase(f, "t", plan)).count() == 0
+
+
 def test_a_phase_must_have_length(spark):
     events = spark.createDataFrame(at(0), "event_time timestamp")
     with pytest.raises(ValueError):

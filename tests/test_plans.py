@@ -1,15 +1,17 @@
 """What the plans look like: pushed filters, pruned columns, one shuffle, no Python."""
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from adtally import session
 from adtally.operators.campaign_windows import campaign_windows
-from adtally.operators.lookup import Lookup
+from adtally.operators.lookup import Lookup, attach
 from adtally.operators.phases import phase_rates
 from adtally.plans.registered import PHASES, QUERIES
-from adtally.session import fresh_path, shared_folder
+from adtally.session import clear_intermediates, fresh_path, shared_folder
 from adtally.sources.campaigns import numbered_campaigns
 from adtally.sources.events import event_table
 from adtally.streaming.completeness import differences
@@ -61,7 +63,7 @@ def test_completeness_moves_neither_side_again(spark, small):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cartesian_product(spark, small, name):
-    if name in {"campaign_window_count_watermark", "late_merge", "sink_window_upsert"}:
+    if name in {"campaign_window_count_watermark", "late_merge", "sink_window_upsert", "compare_runs"}:
         pytest.skip("runs a stream to build its plan; its result is a scan and a merge")
     plan = plan_of(QUERIES[name](spark, small))
     for slow in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct",
@@ -74,7 +76,9 @@ class FakeSession:
 
     def __init__(self, master, named=None):
         self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: named or default)})
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": master})
+        hadoop = type("Hadoop", (), {"get": staticmethod(lambda key: "hdfs://cluster" if master == "yarn" else "file:///")})
+        java = type("Java", (), {"hadoopConfiguration": staticmethod(lambda: hadoop)})
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": master, "_jsc": java})
 
 
 def test_shared_folder_is_the_one_the_cluster_names():
@@ -82,6 +86,45 @@ def test_shared_folder_is_the_one_the_cluster_names():
     assert shared_folder(FakeSession("local[2]", "/mnt/shared")) == "/mnt/shared"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(FakeSession("yarn"))
+    assert shared_folder(FakeSession("yarn", "/shared")) == "/shared"
+    for local in ("file:///tmp/x", "file:/tmp/x"):
+        with pytest.raises(RuntimeError, match="one machine"):
+            shared_folder(FakeSession("yarn", local))
+
+
+def test_intermediates_can_be_cleared(spark, small):
+    clear_intermediates(spark)
+    assert QUERIES["scan_metric_pairs"](spark, small).count() > 0
+    paths = [Path(p.removeprefix("file:")) for p in session._WRITTEN[spark.sparkContext.applicationId]]
+    assert paths and all(p.exists() for p in paths)
+    assert clear_intermediates(spark) == len(paths)
+    assert not any(p.exists() for p in paths)
+
+
+def test_large_lookup_is_a_shuffle_join_that_copies_hot_keys_only(spark, small):
+    facts = spark.range(3_000).selectExpr("IF(id % 3 = 0, 7, id) AS k", "id AS v")
+    table = spark.range(3_000).selectExpr("id AS k", "id * 2 AS w")
+    joined = attach(facts, Lookup(table, ("k",), small=False))
+    plan = plan_of(joined)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == 3_000 and joined.where("w <> 2 * k").count() == 0
+    events = event_table(spark, f"{small}/events.parquet").where("event_type = 'view'").select("event_id", "ad_id", "event_time")
+    campaigns = numbered_campaigns(spark)
+    assert plan_of(attach(events, Lookup(campaigns.frame, campaigns.keys, False))).count("from_json") == 1
+
+
+def test_lookups_must_have_one_row_per_key(spark):
+    twice = spark.createDataFrame([(1, 1), (1, 2)], "ad_id long, campaign_id long")
+    with pytest.raises(ValueError, match="different keys"):
+        Lookup.measured(twice, ["ad_id"])
+
+
+def test_an_unreadable_number_meets_no_key(spark):
+    facts = spark.createDataFrame([(1, 1), (None, 2), (-1, 3)], "k long, v long")
+    table = spark.createDataFrame([(1, "a"), (-1, "b"), (None, "c")], "k long, w string")
+    for small in (True, False):
+        got = attach(facts, Lookup(table, ("k",), small)).select("k", "v", "w").collect()
+        assert sorted(map(tuple, got)) == [(-1, 3, "b"), (1, 1, "a")]
 
 
 def test_paths_are_never_used_twice(spark):

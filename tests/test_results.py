@@ -153,3 +153,24 @@ def test_union_fills_missing_columns(spark):
     two = spark.createDataFrame([("y", 2)], "b string, a int")
     three = spark.createDataFrame([(3,)], "a int")
     assert sorted(map(tuple, union_runs(one, two, three).collect()), key=str) == [(1, "x"), (2, "y"), (3, None)]
+
+
+def test_a_missing_number_keeps_its_line(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 1, 10.0), (2, None, 20.0), (3, 3, 30.0)], "k int, seen int, updated double")
+    write_metric_vectors(frame, str(tmp_path / "v"), "seen", "updated", ["k"])
+    got = [tuple(r) for r in read_metric_pairs(spark, str(tmp_path / "v")).orderBy("idx").collect()]
+    assert got == [(0, 1.0, 10.0), (1, None, 20.0), (2, 3.0, 30.0)]
+
+
+def test_rows_without_a_run_key_are_numbered_too(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), (None, 1)], "run string, v int")
+    got = sorted(((r["run"] or "", r["v"], r["idx"]) for r in with_row_index(rows, ["v"], ["run"]).collect()))
+    assert got == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
+
+
+@pytest.mark.parametrize("line", ["0,abc,1.0,2,0,spark", "0,1.0,1.0,2,0"])
+def test_malformed_result_rows_are_an_error(spark, tmp_path, line):
+    path = tmp_path / "test_Nodes-2_System-spark_Test-0.csv"
+    path.write_text(f",0,1,2,3,4\n{line}\n")
+    with pytest.raises(Exception, match="MALFORMED|CSV"):
+        read_results(spark, str(path)).collect()
