@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -64,7 +65,7 @@ class PieceEncoder:
     space or drops it; one that drops it also lower-cases.
     """
 
-    def __init__(self, vocabulary: str, end_id: int, held: int = 600_000) -> None:
+    def __init__(self, vocabulary: str, end_id: int, held: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -76,7 +77,7 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self._numbers = _Numbers()
-        self._tokens: dict[str, list[int]] = {}
+        self._tokens: dict[str, bytes] = {}
         self._flat = np.zeros(1 << 16, np.uint32)
         self._flat[0], self._used = self._end_id, 1
         self._starts = np.zeros(1 << 14, np.int64)
@@ -84,16 +85,16 @@ class PieceEncoder:
         self._lengths[0], self._known = 1, 1
         self._numbers[None] = _END
 
-    def _token_ids(self, part: str) -> list[int]:
+    def _token_ids(self, part: str) -> bytes:
         ids = self._tokens.get(part)
         if ids is None:
             letters = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = self._tokens[part] = [token.id for token in self._model.tokenize(letters)]
+            ids = self._tokens[part] = _packed([token.id for token in self._model.tokenize(letters)])
         return ids
 
-    def _piece(self, text: str) -> list[int]:
+    def _piece(self, text: str) -> bytes:
         if _BEYOND.search(text):
-            return self._tokenizer.encode(text, add_special_tokens=False).ids
+            return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
         if not self._keeps_space:
             text = text.lower()
         core = text[1:] if self._keeps_space and text[:1] == " " else text
@@ -101,16 +102,13 @@ class PieceEncoder:
             return self._token_ids(text)
         if core[-1:] in _STOPS and core[:-1].isalpha():
             return self._token_ids(text[:-1]) + self._token_ids(text[-1])
-        found: list[int] = []
-        for part in (_SPACED if self._keeps_space else _BARE).findall(text):
-            found += self._token_ids(part)
-        return found
+        return b"".join(map(self._token_ids, (_SPACED if self._keeps_space else _BARE).findall(text)))
 
     def _learn(self) -> None:
         parts = [self._piece(piece) for piece in self._numbers.new]
         self._numbers.new.clear()
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        ids = np.fromiter(chain.from_iterable(parts), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), np.uint32)
         self._flat = _room(self._flat, self._used + len(ids))
         self._starts = _room(self._starts, self._known + len(parts))
         self._lengths = _room(self._lengths, self._known + len(parts))
@@ -163,6 +161,10 @@ class PieceEncoder:
             at = stop
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def _room(values: np.ndarray, needed: int) -> np.ndarray:
     if needed <= len(values):
         return values
