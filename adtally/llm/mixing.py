@@ -13,6 +13,8 @@ from adtally.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document's place in its source's order is a number of so many bits.
 POINT_BITS = 48
+#: Blocks in which documents are looked for that fill what whole blocks leave of a target.
+FILLING_BLOCKS = 8
 
 
 def word_count(text: str) -> Column:
@@ -64,7 +66,7 @@ def source_plan(sizes: DataFrame, targets: DataFrame, block_words: int, most_blo
 
     A source's documents lie in blocks by their points, which are a random order. The rest of
     the target beyond whole passes is made of the first blocks, and of some documents of the
-    block where it ends (``edge``): those up to a point (``cuts``) and, round by round, later
+    block where it ends (``edge``) and a few after it: those up to a point (``cuts``) and, round by round, later
     ones small enough for the words that are still lacking (``gaps``).
     """
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -80,10 +82,12 @@ def source_plan(sizes: DataFrame, targets: DataFrame, block_words: int, most_blo
         "place", F.col("block").alias("edge"), (F.col("rest") - F.col("before")).alias("gap")
     )
     edges = materialize(edges, "mix-edges")
-    inside = placed.select("place", "block", "point", "size").join(edges, "place").where("block = edge")
+    inside = placed.select("place", "block", "point", "size").join(edges, "place").where(
+        (F.col("block") >= F.col("edge")) & (F.col("block") < F.col("edge") + FILLING_BLOCKS)
+    )
     inside = materialize(inside.select("place", "point", "size", "gap"), "mix-edge-documents")
     state = inside.withColumns({"cuts": F.array(F.lit(-1).cast("long")), "gaps": F.array("gap")})
-    # A block is about block_words long whatever the source's size, up to most_blocks blocks.
+    # These blocks are about block_words long each whatever the source's size, up to most_blocks blocks.
     by_point = Window.partitionBy("place").orderBy("point").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     all_inside = Window.partitionBy("place")
     for _ in range(rounds):
@@ -110,8 +114,8 @@ def once_more(rounds: int) -> Column:
         & (F.col("point") <= F.element_at("cuts", n + 1))
         for n in range(1, rounds + 1)
     ]
-    in_edge = (F.col("block") == F.col("edge")) & reduce(lambda a, b: a | b, picks)
-    return F.coalesce((F.col("block") < F.col("edge")) | in_edge, F.lit(False))
+    in_edge = (F.col("block") >= F.col("edge")) & reduce(lambda a, b: a | b, picks)
+    return F.coalesce((F.col("size") > 0) & ((F.col("block") < F.col("edge")) | in_edge), F.lit(False))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -235,7 +239,7 @@ def block_shards(plan: DataFrame, depth: int, seed: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block_words: int = 50_000,
-          most_blocks: int = 4096, depth: int = 6, rounds: int = 3, seed: int = 1, id_column: str = "doc_id",
+          most_blocks: int = 4096, depth: int = 6, rounds: int = 4, seed: int = 1, id_column: str = "doc_id",
           text_column: str = "text", source_column: str = "source", keep: bool = True) -> DataFrame:
     """All rows of ``docs`` with ``_size, _source_size, _target, _point`` and ``_shards``, one shard per time taken.
 
