@@ -13,6 +13,7 @@ from adtally.llm.metric_tree import tree_search
 from adtally.llm.mixing import mixed
 from adtally.llm.multi_index import search as multi_index_search
 from adtally.llm.ngram_join import similar_components
+from adtally.llm.oracle import ORACLE
 from adtally.llm.packing import pack
 from adtally.llm.quality import GOOD_FROM, fit_quality, quality_score
 from adtally.llm.recurrent import document_scores
@@ -22,8 +23,9 @@ from adtally.llm.warc import archive_records, read_warc, write_warc
 from adtally.session import fresh_path
 from corpus_pipeline import run as pipeline_run
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(build):

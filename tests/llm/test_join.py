@@ -95,3 +95,12 @@ def test_shingles_of_texts():
     sets = [s for part in Shingler().slices(pa.array(texts), 10) for s in part]
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
     assert (sets[0] == sets[1]).all()
+
+
+@pytest.mark.parametrize("name", ["op6_metric_tree", "op7_ngram_join"])
+def test_queries_equal_their_sql(spark, small, name):
+    from oracle_check import compare, connect
+
+    from adtally.llm.registered import ORACLE
+
+    assert compare(spark, QUERIES[name], ORACLE[name], small, connect(small)) is None
