@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adtally.llm.components import join_components
-from adtally.session import materialize
+from adtally.session import discard, materialize
+
+#: Ids sent to every task at most: 24 bytes each, so about 50 MB.
+BROADCAST_IDS = 2_000_000
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -91,14 +94,13 @@ def _mixed(numbers: np.ndarray) -> np.ndarray:
     return numbers ^ numbers >> np.uint64(32)
 
 
-def common_ngrams(texts: DataFrame, words: int, sample: int, least: int, most: int) -> np.ndarray:
-    """N-grams found in at least ``least`` of about ``sample`` texts, at most ``most`` of them, sorted.
+def common_ngrams(texts: DataFrame, words: int, share: float, least: int, most: int) -> np.ndarray:
+    """N-grams found in at least ``least`` texts of a part ``share`` of all, at most ``most`` of them, sorted.
 
     They only decide the order of the matrix's columns, so they decide what a join costs and
-    never what it finds.
+    never what it finds. A column of the others has about ``least / share`` entries at most,
+    however many texts there are.
     """
-    rows = max(1, texts.count())
-    share = min(1.0, sample / rows)
     drawn = texts.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("_text")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,7 @@ def _near_enough(i: str, j: str, m: str, n: str, parts: tuple[int, int]):
     return (under + over) * rest >= over * (F.col(m) + F.col(n))
 
 
-def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (4, 5), sample: int = 8_000,
+def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (4, 5), share: float = 1 / 8,
                        stars: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``_id, n_shingles, component_id`` per row of ``docs``; rows link when similar to ``parts`` or more.
 
@@ -173,7 +175,7 @@ def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] =
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     over, under = parts
     texts = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
-    common = common_ngrams(texts, words, sample, 4, 1 << 16)
+    common = common_ngrams(texts, words, share, 4, 1 << 20)
     read = materialize(signatures(texts, words, common, parts, with_set=False), "ngram-leads")
     rows = read.where(F.col("_id").isNotNull() & (F.col("n") > 0))
     # Equal sets have one node: the least id. A set that a third of all rows share is reduced in each task.
@@ -185,33 +187,52 @@ def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] =
     rare = entries.where("at < rare").withColumn("met", F.count("*").over(alone)).where("met > 1")
     shared = rare.select("node", "n", "at", "ngram").union(entries.where("at >= rare").select("node", "n", "at", "ngram"))
     shared = materialize(shared, "ngram-shared")
-    # Full sets of the rows that share a leading entry; all others are alone.
-    wanted = materialize(shared.groupBy("node").agg(F.count("*").alias("entries")), "ngram-nodes")
-    own_texts = texts.join(wanted.select(F.col("node").alias("_id")), "_id", "left_semi")
-    sets = materialize(
-        signatures(own_texts, words, common, parts, with_set=True).select(F.col("_id").alias("node"), "n", "ngrams"), "ngram-sets"
-    )
-    labels = materialize(wanted.select("node", F.col("node").alias("comp")), "ngram-labels")
+    # The row that the others of a group were made from shares more of its entries than they do.
+    centred = shared.groupBy("node").agg((F.count("*") / F.max("n")).alias("central"))
+    centred = materialize(centred, "ngram-central")
+    labels = materialize(centred.select("node", F.col("node").alias("comp")), "ngram-labels")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """``a, b, linked``: overlaps of the pairs' whole sets against the bound of their sizes."""
-        x = sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("ngrams").alias("x"))
-        y = sets.select(F.col("node").alias("b"), "n", F.col("ngrams").alias("y"))
-        both = pairs.select("a", "b").join(x, "a").join(y, "b")
+        """``a, b, linked``: pairs whose leads leave the bound of their sizes in reach, by their whole sets.
+
+        All that two leads share is among the shared entries. Beyond a lead of a row of size m
+        there are ``ceil(m * over / under) - 1`` entries, so that much more can be shared at most.
+        """
+        mine = shared.select(F.col("node").alias("a"), F.col("n").alias("m"), "ngram")
+        other = shared.select(F.col("node").alias("b"), "n", "ngram")
+        counted = pairs.select("a", "b").join(mine, "a").join(other, ["b", "ngram"]).groupBy("a", "b").agg(
+            F.count("*").alias("c"), F.first("m").alias("m"), F.first("n").alias("n")
+        )
+        beyond = F.ceil(F.greatest("m", "n") * over / under) - 1
+        hopeful = counted.where((under + over) * (F.col("c") + beyond) >= over * (F.col("m") + F.col("n")))
+        hopeful = materialize(hopeful.select("a", "b"), f"{name}-pairs")
+        wanted = materialize(hopeful.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), f"{name}-wanted")
+        # Few ids go to the texts; many are joined by a shuffle, with the same rows.
+        few = wanted.count() <= BROADCAST_IDS
+        own_texts = texts.join(F.broadcast(wanted) if few else wanted, "_id", "left_semi")
+        sets = signatures(own_texts, words, common, parts, with_set=True).select("_id", "n", "ngrams")
+        sets = materialize(sets, f"{name}-sets")
+        x = sets.select(F.col("_id").alias("a"), F.col("n").alias("m"), F.col("ngrams").alias("x"))
+        y = sets.select(F.col("_id").alias("b"), "n", F.col("ngrams").alias("y"))
+        both = hopeful.join(x, "a").join(y, "b")
         overlap = F.size(F.array_intersect("x", "y"))
         linked = (under + over) * overlap >= over * (F.col("m") + F.col("n"))
-        return materialize(both.select("a", "b", linked.alias("linked")).groupBy("a", "b").agg(F.max("linked").alias("linked")), name)
+        checked = both.select("a", "b", linked.alias("linked")).groupBy("a", "b").agg(F.max("linked").alias("linked"))
+        checked = materialize(checked, name)
+        discard(sets)
+        return checked
 
     tried = spark.createDataFrame([], "a long, b long, linked boolean")
     band = F.floor(F.log(F.col("n")) / float(np.log(under / over))).cast("int")
     for _ in range(stars):
-        # Each column's entries of one size band against its first entry of the least and of the greatest component.
-        placed = shared.join(labels, "node").withColumn("band", band)
+        # Each column's entries of one size band against its most central entry and one of the least and greatest component.
+        placed = shared.join(labels, "node").join(centred, "node").withColumn("band", band)
         heads = placed.groupBy("ngram", "band").agg(
-            F.min(F.struct("comp", "node", "n", "at")).alias("low"), F.max(F.struct("comp", "node", "n", "at")).alias("high")
+            F.min(F.struct("comp", "node", "n", "at")).alias("low"), F.max(F.struct("comp", "node", "n", "at")).alias("high"),
+            F.max_by(F.struct("comp", "node", "n", "at"), F.struct("central", "node")).alias("best"),
         ).where("low.comp <> high.comp")
         met = placed.join(heads, ["ngram", "band"]).select(
-            "node", "n", "at", "comp", F.explode(F.array("low", "high")).alias("head")
+            "node", "n", "at", "comp", F.explode(F.array("best", "low", "high")).alias("head")
         ).where("comp <> head.comp").select(
             "node", "n", "at", F.col("head.node").alias("other"), F.col("head.n").alias("m"), F.col("head.at").alias("place")
         ).where(_near_enough("at", "place", "n", "m", parts))
@@ -220,9 +241,9 @@ def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] =
         pairs = counted.withColumn("turn", F.row_number().over(first)).where("turn <= 2").select(
             F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
         ).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "ngram-star-pairs")
         checked = verified(pairs, "ngram-stars")
-        tried = tried.union(checked)
+        tried = tried.union(pairs.select("a", "b", F.lit(False).alias("linked")))
         labels = join_components(labels, checked.where("linked").select("a", "b"))
     # What is left: entries of one column that lie in different components.
     placed = shared.join(labels, "node")
