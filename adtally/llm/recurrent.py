@@ -17,7 +17,7 @@ from adtally.session import materialize
 
 #: Place of the end mark and of all words outside the model's list.
 END, OTHER = 0, 1
-NAMES = ("embed", "wz", "uz", "bz", "wr", "ur", "br", "wh", "uh", "bh", "vc", "ac", "vw", "aw")
+NAMES = ("embed", "w", "b", "u", "uh", "vc", "ac", "vw", "aw")
 
 
 @dataclass
@@ -31,8 +31,10 @@ class Vocabulary:
     distinct: int
 
     @property
-    def members(self) -> list[np.ndarray]:
-        return [np.flatnonzero(self.classes == c) for c in range(self.classes.max() + 1)]
+    def members(self) -> list[slice]:
+        """Each class's words, which stand side by side."""
+        edges = np.searchsorted(self.classes, np.arange(self.classes.max() + 2)).tolist()
+        return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
 def class_sizes(count: int, first: int = 8, growth: float = 1.25) -> list[int]:
@@ -62,28 +64,31 @@ class Gru:
     def __init__(self, vocabulary: Vocabulary, embed: int, hidden: int, seed: int = 5) -> None:
         self.v, self.hidden = vocabulary, hidden
         self.members = vocabulary.members
-        self.place = np.zeros(len(vocabulary.classes), int)
-        for own in self.members:
-            self.place[own] = np.arange(len(own))
+        self.place = np.arange(len(vocabulary.classes)) - np.array([own.start for own in self.members])[vocabulary.classes]
         r = np.random.default_rng(seed)
         count, classes = len(vocabulary.classes), len(self.members)
         smooth = vocabulary.counts + 0.5
         by_class = np.array([smooth[m].sum() for m in self.members])
         shapes = {"embed": (count, embed), "vc": (hidden, classes), "vw": (count, hidden)}
-        shapes |= {f"w{g}": (embed, hidden) for g in "zrh"} | {f"u{g}": (hidden, hidden) for g in "zrh"}
+        # Update gate, reset gate and candidate side by side.
+        shapes |= {"w": (embed, 3 * hidden), "u": (hidden, 2 * hidden), "uh": (hidden, hidden)}
         self.p = {n: (r.normal(0, 0.3 if n == "embed" else 0.5 / math.sqrt(s[0]) if n[0] in "wu" else 0.02, s)).astype(np.float32) for n, s in shapes.items()}
-        self.p |= {f"b{g}": np.zeros(hidden, np.float32) for g in "zrh"}
+        self.p["b"] = np.zeros(3 * hidden, np.float32)
         # Without a state the output is the corpus's own distribution.
         self.p["ac"] = np.log(by_class / by_class.sum()).astype(np.float32)
         self.p["aw"] = np.log(smooth / by_class[vocabulary.classes]).astype(np.float32)
 
-    def step(self, h: np.ndarray, x: np.ndarray):
-        p = self.p
-        e = p["embed"][x]
-        z = _gate(e @ p["wz"] + h @ p["uz"] + p["bz"])
-        r = _gate(e @ p["wr"] + h @ p["ur"] + p["br"])
-        c = np.tanh(e @ p["wh"] + (r * h) @ p["uh"] + p["bh"])
-        return h + z * (c - h), (e, z, r, c, h)
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """What words add to the gates and the candidate, for any number of words at once."""
+        return self.p["embed"][x] @ self.p["w"] + self.p["b"]
+
+    def step(self, h: np.ndarray, added: np.ndarray):
+        n = self.hidden
+        gates = _gate(added[:, : 2 * n] + h @ self.p["u"])
+        z, r = gates[:, :n], gates[:, n:]
+        reset = r * h
+        c = np.tanh(added[:, 2 * n :] + reset @ self.p["uh"])
+        return h + z * (c - h), (z, r, c, h, reset)
 
     def chances(self, states: np.ndarray, targets: np.ndarray):
         """Natural log-probabilities of targets, and what the backward pass needs."""
@@ -96,7 +101,7 @@ class Gru:
         edges = np.searchsorted(kinds[order], np.arange(len(self.members) + 1))
         for kind, own in enumerate(self.members):
             rows = order[edges[kind] : edges[kind + 1]]
-            if len(rows) and len(own) > 1:
+            if len(rows) and own.stop - own.start > 1:
                 b = states[rows] @ p["vw"][own].T + p["aw"][own]
                 b -= b.max(axis=1, keepdims=True)
                 b -= np.log(np.exp(b).sum(axis=1, keepdims=True))
@@ -106,11 +111,12 @@ class Gru:
 
     def gradients(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray):
         """Gradients of the summed loss over a window (streams by steps), and the state after it."""
-        p, steps = self.p, inputs.shape[1]
-        g = {n: np.zeros_like(v) for n, v in p.items()}
+        p, steps, n = self.p, inputs.shape[1], self.hidden
+        g = {name: np.zeros_like(v) for name, v in p.items()}
+        added = self.inputs(inputs.T)
         trace, states = [], []
         for t in range(steps):
-            after, kept = self.step(h, inputs[:, t])
+            after, kept = self.step(h, added[t])
             h = np.where(real[:, t, None], after, h)
             trace.append(kept)
             states.append(after)
@@ -131,19 +137,24 @@ class Gru:
             dstates[rows] += db @ p["vw"][own]
         dstates = dstates.reshape(steps, len(h), -1)
         carried = np.zeros_like(h)
+        deltas = np.zeros((steps, len(h), 3 * n), h.dtype)
         for t in range(steps - 1, -1, -1):
-            e, z, r, c, before = trace[t]
+            z, r, c, before, _ = trace[t]
             own = real[:, t, None]
-            d = np.where(own, dstates[t] + carried, 0)
-            dc, dz = d * z * (1 - c * c), d * (c - before) * z * (1 - z)
-            drh = dc @ p["uh"].T
-            dr = drh * before * r * (1 - r)
-            for gate, delta, left in (("z", dz, before), ("r", dr, before), ("h", dc, r * before)):
-                g["w" + gate] += e.T @ delta
-                g["u" + gate] += left.T @ delta
-                g["b" + gate] += delta.sum(axis=0)
-            np.add.at(g["embed"], inputs[:, t], dz @ p["wz"].T + dr @ p["wr"].T + dc @ p["wh"].T)
-            carried = np.where(own, d * (1 - z) + drh * r + dz @ p["uz"].T + dr @ p["ur"].T, carried)
+            d = (dstates[t] + carried) * own
+            delta = deltas[t]
+            delta[:, 2 * n :] = d * z * (1 - c * c)
+            through = delta[:, 2 * n :] @ p["uh"].T
+            delta[:, :n] = d * (c - before) * z * (1 - z)
+            delta[:, n : 2 * n] = through * before * r * (1 - r)
+            carried = np.where(own, d * (1 - z) + through * r + delta[:, : 2 * n] @ p["u"].T, carried)
+        # Sums over all steps at once.
+        rows = deltas.reshape(-1, 3 * n)
+        words = inputs.T.ravel()
+        g["w"], g["b"] = p["embed"][words].T @ rows, rows.sum(axis=0)
+        g["u"] = np.concatenate([k[3] for k in trace]).T @ rows[:, : 2 * n]
+        g["uh"] = np.concatenate([k[4] for k in trace]).T @ rows[:, 2 * n :]
+        np.add.at(g["embed"], words, rows @ p["w"].T)
         return g, h, -float((log * mask).sum())
 
 
@@ -175,10 +186,16 @@ def train_windows(model: Gru, windows: list[np.ndarray], length: int, streams: i
                 g, h, _ = model.gradients(h, inputs[:, part], tokens[:, part], real[:, part])
                 seen, step = max(1, int(real[:, part].sum())), step + 1
                 for n, d in g.items():
-                    d = np.clip(d / seen * 32, -1, 1)
-                    m[n] = 0.9 * m[n] + 0.1 * d
-                    v[n] = 0.99 * v[n] + 0.01 * d * d
-                    model.p[n] -= rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-6)
+                    d *= 32 / seen
+                    np.clip(d, -1, 1, out=d)
+                    m[n] *= 0.9
+                    m[n] += 0.1 * d
+                    d *= d
+                    v[n] *= 0.99
+                    v[n] += 0.01 * d
+                    root = np.sqrt(v[n] / (1 - 0.99**step))
+                    root += 1e-6
+                    model.p[n] -= rate / (1 - 0.9**step) * m[n] / root
 
 
 def packed(model: Gru) -> bytes:
@@ -224,6 +241,8 @@ def score_texts(model: Gru, texts: list[np.ndarray], window: int = 64, streams:
     window to the next, so a text of any length is scored whole.
     """
     totals = np.zeros(len(texts))
+    # Every word's share of the next step, once for all texts.
+    added = model.inputs(np.arange(len(model.v.classes)))
     order = np.array(sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)), int)
     lengths = np.array([len(texts[i]) for i in order], int)
     for first in range(0, len(order), streams):
@@ -241,7 +260,7 @@ def score_texts(model: Gru, texts: list[np.ndarray], window: int = 64, streams:
             for t in range(stop - start):
                 live = int((sizes > start + t).sum())
                 h = h[:live]
-                h, _ = model.step(h, last[:live])
+                h, _ = model.step(h, added[last[:live]])
                 last = tokens[:live, t]
                 states.append(h)
                 targets.append(last)
