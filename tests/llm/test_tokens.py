@@ -1,5 +1,6 @@
 """Encoding, packing and token files against plain one-by-one versions."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -23,8 +24,11 @@ ODD = [
 SCHEMA = "doc_id long, text string, shard int, tie string"
 
 
+tokenizer = functools.cache(Tokenizer.from_file)
+
+
 def plain(vocabulary, text, end):
-    return Tokenizer.from_file(vocabulary).encode(text or "", add_special_tokens=False).ids + [end]
+    return tokenizer(vocabulary).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
