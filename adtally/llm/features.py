@@ -34,12 +34,15 @@ class TextFeatures:
 
     A shape is a word's runs of letters, digits and signs; a word that repeats the one before
     it has a shape of its own. Words are parted by ASCII white space and lower-cased, and
-    stripped of marks at their edges if ``bare``. About ``held`` words are remembered at most.
+    stripped of marks at their edges if ``bare``. Each length in ``stems`` adds two features a
+    beginning of that many letters: that words of the text begin so, and that two or more do.
+    About ``held`` words are remembered at most.
     """
 
     def __init__(self, bits: int = 22, bigrams: bool = True, shapes: bool = True, bare: bool = False,
-                 held: int = 400_000) -> None:
+                 stems: tuple[int, ...] = (), held: int = 400_000) -> None:
         self.bits, self.bigrams, self.shapes, self.bare, self._held = bits, bigrams, shapes, bare, held
+        self.stems = stems
         self._kinds = _Shapes()
         self._forget()
 
@@ -47,6 +50,8 @@ class TextFeatures:
         self._known: dict[str, int] = {}
         self._words = np.zeros(1 << 14, np.uint64)
         self._forms = np.zeros(1 << 14, np.uint64)
+        # Hashes of a word's beginnings; 0 where it is too short.
+        self._begins = np.zeros((1 << 14, len(self.stems)), np.uint64)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self._known) > self._held:
@@ -58,8 +63,13 @@ class TextFeatures:
                 if at >= len(self._words):
                     self._words = np.concatenate([self._words, np.zeros_like(self._words)])
                     self._forms = np.concatenate([self._forms, np.zeros_like(self._forms)])
+                    self._begins = np.concatenate([self._begins, np.zeros_like(self._begins)])
                 lower = word.lower()
-                self._words[at] = xxhash.xxh64_intdigest((lower.strip(_EDGES) or lower) if self.bare else lower, 1)
+                lower = (lower.strip(_EDGES) or lower) if self.bare else lower
+                self._words[at] = xxhash.xxh64_intdigest(lower, 1)
+                for place, length in enumerate(self.stems):
+                    if len(lower) >= length:
+                        self._begins[at, place] = xxhash.xxh64_intdigest(lower[:length], 3) or 1
                 if self.shapes:
                     self._forms[at] = xxhash.xxh64_intdigest(_RUNS.sub(r"\1", word.translate(self._kinds)), 2)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -69,8 +79,10 @@ class TextFeatures:
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = cut.flatten().dictionary_encode()
         numbers = self._numbers(coded.dictionary.to_pylist())
-        words = numbers[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        codes = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
+        words = numbers[codes]
         texts_of = np.repeat(np.arange(len(cut)), np.diff(cut.offsets.to_numpy()))
+        begun = self._stem_pairs(numbers, codes, texts_of, keep)
         # ASCII splitting leaves empty strings at the edges of a text.
         empty = self._known.get("")
         if empty is not None:
@@ -94,9 +106,27 @@ class TextFeatures:
         if keep is not None:
             wanted = keep[features]
             features, of = features[wanted], of[wanted]
-        both = np.unique(of << self.bits | features)
+        both = np.unique(np.concatenate([of << self.bits | features, *begun]))
         return both >> self.bits, both & (1 << self.bits) - 1
 
+    def _stem_pairs(self, numbers: np.ndarray, codes: np.ndarray, texts_of: np.ndarray, keep: np.ndarray | None) -> list[np.ndarray]:
+        """Text and feature in one number, for words' beginnings and for those that a text repeats."""
+        size, pairs = (1 << self.bits) - 1, []
+        for place in range(len(self.stems)):
+            hashes = self._begins[numbers, place]
+            with np.errstate(over="ignore"):
+                once = (hashes * _FIRST >> np.uint64(64 - self.bits)).astype(np.int64)
+            again = once * 0x9E3779B1 + 0x27D4EB4F & size
+            used = hashes != 0
+            if keep is not None:
+                used &= keep[once] | keep[again]
+            here = used[codes]
+            both, times = np.unique(texts_of[here] << self.bits | once[codes[here]], return_counts=True)
+            twice = both[times > 1]
+            twice = twice & ~size | (twice & size) * 0x9E3779B1 + 0x27D4EB4F & size
+            pairs += [both, twice] if keep is None else [both[keep[both & size]], twice[keep[twice & size]]]
+        return pairs
+
     def slices(self, texts: pa.Array, slice_bytes: int = 4 << 20) -> Iterator[pa.Array]:
         sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
         at = 0

@@ -13,13 +13,14 @@ from adtally.llm.features import Sample, TextFeatures, labelled_sample
 
 #: A document goes from this probability of being toxic on.
 TOXIC_FROM = 0.8
-FEATURES = {"bits": 22, "bigrams": False, "shapes": False, "bare": True}
+#: Beginnings of words beside whole ones: where endings vary, no single word is frequent.
+FEATURES = {"bits": 22, "bigrams": False, "shapes": False, "bare": True, "stems": (4, 5, 6, 7)}
 FOLDS = 5
 
 
 @dataclass
 class Link:
-    """One category's linear model: weights of known words, of the earlier links' log odds, an offset."""
+    """One category's linear model: weights of known words and beginnings, of the earlier links' log odds, an offset."""
 
     known: np.ndarray
     weights: np.ndarray
@@ -43,11 +44,14 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 
 def telling_words(sample: Sample, labels: np.ndarray, rows: np.ndarray, least_surety: float, most: int) -> np.ndarray:
-    """The at most ``most`` words that tell the classes apart by a likelihood ratio of ``least_surety``.
+    """The at most ``most`` words or beginnings that tell the classes apart by a likelihood ratio.
 
     Labels are noisy and most words rare: a word seen in a few rows of one class only by
-    chance has a small ratio, however lopsided its share.
+    chance has a small ratio, however lopsided its share. The ratio asked for is
+    ``least_surety``, and less when few rows are marked: a word can be in no more than these,
+    and what is there by chance is left to the penalty.
     """
+    least_surety = min(least_surety, 7 + (labels[rows] == 1).sum() / 50)
     among = np.isin(sample.row_numbers(), rows)
     marked, found = labels[sample.row_numbers()[among]] == 1, sample.features[among]
     size = 1 << FEATURES["bits"]
@@ -75,35 +79,45 @@ def _table(sample: Sample, rows: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _fit_link(x: np.ndarray, labels: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights of least penalised logistic loss, by accelerated gradient steps; classes weigh alike."""
     n, width = x.shape
+    # Most words are in few rows: sums over what is there.
+    rows, places = np.nonzero(x)
+    values = x[rows, places].astype(float)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, values * v[places], n)
+
+    def turned(u: np.ndarray) -> np.ndarray:
+        return np.bincount(places, values * u[rows], width)
+
     share = np.where(labels == 1, (labels == 1).mean(), (labels == 0).mean())
     each = 0.5 / share / n
     # The greatest curvature, from a few rounds of the power method.
     v = np.ones(width + 1)
     top = 1.0
     for _ in range(20):
-        xv = x @ v[:-1] + v[-1]
-        u = np.append(x.T @ (each * xv), (each * xv).sum()) / 4
+        xv = times(v[:-1]) + v[-1]
+        u = np.append(turned(each * xv), (each * xv).sum()) / 4
         top = np.linalg.norm(u) / max(np.linalg.norm(v), 1e-12)
         v = u / max(np.linalg.norm(u), 1e-12)
     rate = 1 / (1.1 * top + penalty)
     w, last = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(steps):
         ahead = w + t / (t + 3) * (w - last)
-        error = each * (_logistic(x @ ahead[:-1] + ahead[-1]) - labels)
-        gradient = np.append(x.T @ error + penalty * ahead[:-1], error.sum())
+        error = each * (_logistic(times(ahead[:-1]) + ahead[-1]) - labels)
+        gradient = np.append(turned(error) + penalty * ahead[:-1], error.sum())
         w, last = ahead - rate * gradient, w
     return w[:-1], float(w[-1])
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", degrees: tuple[str, ...] = ("severe",),
-              rows: int = 6_000, words: int = 512, least_surety: float = 25.0, penalty: float = 1e-4, steps: int = 300,
+              rows: int = 6_000, words: int = 1_024, least_surety: float = 12.0, penalty: float = 1e-4, steps: int = 300,
               held_out: tuple[int, int] = (4, 2), id_column: str = "doc_id", text_column: str = "text") -> Chain:
     """Learn the categories ``label`` and then each of ``degrees`` from at most ``rows`` labelled documents.
 
     The label table only tells toxic from clean, so each further category is the half of the
     one before with the most marker words (words that tell it from the rest, counted on the
-    sample). A link sees the presence of the ``words`` most telling words and, for every
-    earlier category, the log odds given to the row by models of the *other* folds, so it
+    sample). A link sees the presence of the ``words`` most telling words and beginnings
+    of words and, for every earlier category, the log odds given to the row by models of the *other* folds, so it
     learns from probabilities as inexact as those it will meet. With no labels, or of one
     class, the probability is the class's smoothed share.
     """

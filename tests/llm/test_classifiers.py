@@ -56,6 +56,29 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(r.severe <= r.toxic + 0.6 and r.rejected == (r.toxic >= TOXIC_FROM) for r in rows)
 
 
+def test_toxic_documents_of_every_language_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = QUERIES["op2_toxicity"](spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
+    rows = rows.join(table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("truth")), "doc_id").where("held_out").collect()
+    for lang in ("en", "fr", "de", "es"):
+        assert np.mean([r.rejected for r in rows if r.lang == lang and r.truth == 1]) > 0.8, lang
+        assert np.mean([r.rejected for r in rows if r.lang == lang and r.truth == 0]) < 0.02, lang
+
+
+def test_beginnings_of_words_are_counted_once_and_twice():
+    import pyarrow as pa
+
+    reader = TextFeatures(bits=22, bigrams=False, shapes=False, bare=True, stems=(4,))
+    once, twice, other = (set(reader.pairs(pa.array([t]))[1]) for t in ("Badoner!", "badoner badoxe", "xyz abc"))
+    assert len(once) == 2 and len(twice) == 4 and len(other) == 2 and once < twice
+    keep = np.zeros(1 << 22, bool)
+    for feature in twice:
+        keep[:] = False
+        keep[feature] = True
+        of, found = reader.pairs(pa.array(["badoner", None, "badoner badoxe", "badoner"]), keep)
+        assert set(found) == {feature} and 2 in of
+
+
 def test_a_chain_feeds_earlier_probabilities_on(spark):
     chain = fit_chain(table(spark, LARGER, "documents"), table(spark, LARGER, "labels"))
     assert chain.categories == ["toxic", "severe"]
