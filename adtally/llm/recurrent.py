@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -63,6 +64,8 @@ class Gru:
 
     def __init__(self, vocabulary: Vocabulary, embed: int, hidden: int, seed: int = 5) -> None:
         self.v, self.hidden = vocabulary, hidden
+        #: Tokens the weights were trained on.
+        self.seen = 0
         self.members = vocabulary.members
         self.place = np.arange(len(vocabulary.classes)) - np.array([own.start for own in self.members])[vocabulary.classes]
         r = np.random.default_rng(seed)
@@ -109,13 +112,18 @@ class Gru:
                 inner.append((rows, own, b))
         return log, a, kinds, inner
 
-    def gradients(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray):
-        """Gradients of the summed loss over a window (streams by steps), and the state after it."""
+    def gradients(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, fresh: np.ndarray | None = None):
+        """Gradients of the summed loss over a window (streams by steps), and the state after it.
+
+        Before steps marked ``fresh`` the state is zero again: a text starts.
+        """
         p, steps, n = self.p, inputs.shape[1], self.hidden
         g = {name: np.zeros_like(v) for name, v in p.items()}
         added = self.inputs(inputs.T)
         trace, states = [], []
         for t in range(steps):
+            if fresh is not None and fresh[:, t].any():
+                h = np.where(fresh[:, t, None], np.zeros_like(h), h)
             after, kept = self.step(h, added[t])
             h = np.where(real[:, t, None], after, h)
             trace.append(kept)
@@ -148,6 +156,8 @@ class Gru:
             delta[:, :n] = d * (c - before) * z * (1 - z)
             delta[:, n : 2 * n] = through * before * r * (1 - r)
             carried = np.where(own, d * (1 - z) + through * r + delta[:, : 2 * n] @ p["u"].T, carried)
+            if fresh is not None:
+                carried *= ~fresh[:, t, None]
         # Sums over all steps at once.
         rows = deltas.reshape(-1, 3 * n)
         words = inputs.T.ravel()
@@ -162,40 +172,82 @@ def _gate(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def train_windows(model: Gru, windows: list[np.ndarray], length: int, streams: int, rate: float, rounds: int) -> None:
-    """Adam steps over stretches of documents; a stretch is read in windows and its state goes from one to the next."""
-    m, v, step = {n: np.zeros_like(x) for n, x in model.p.items()}, {n: np.zeros_like(x) for n, x in model.p.items()}, 0
+def windows_of(texts: list[np.ndarray], streams: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Inputs, targets, which of them are real, where texts start, and how many streams still run, window by window.
+
+    Each text stands whole in one stream, from its first word to its end; streams are of like
+    length, and the longest come first, so those that are at their end are the last.
+    """
     order = np.random.default_rng(11)
-    for _ in range(rounds):
-        # Stretches of like length side by side, batches in random order.
-        by_length = sorted(range(len(windows)), key=lambda i: (len(windows[i]), i))
-        groups = [by_length[i : i + streams] for i in range(0, len(by_length), streams)]
-        for at in order.permutation(len(groups)):
-            group = [windows[i] for i in groups[at]]
-            longest = max(map(len, group))
-            tokens, real = np.full((len(group), longest), END), np.zeros((len(group), longest), bool)
-            for row, own in enumerate(group):
-                tokens[row, : len(own)], real[row, : len(own)] = own, True
-            inputs = np.concatenate([np.full((len(group), 1), END), tokens[:, :-1]], axis=1)
-            h = np.zeros((len(group), model.hidden), np.float32)
-            for start in range(0, longest, length):
-                part = slice(start, start + length)
-                if not real[:, part].any():
-                    break
-                # Backward within the window only; forward the state goes on.
-                g, h, _ = model.gradients(h, inputs[:, part], tokens[:, part], real[:, part])
-                seen, step = max(1, int(real[:, part].sum())), step + 1
-                for n, d in g.items():
-                    d *= 32 / seen
-                    np.clip(d, -1, 1, out=d)
-                    m[n] *= 0.9
-                    m[n] += 0.1 * d
-                    d *= d
-                    v[n] *= 0.99
-                    v[n] += 0.01 * d
-                    root = np.sqrt(v[n] / (1 - 0.99**step))
-                    root += 1e-6
-                    model.p[n] -= rate / (1 - 0.9**step) * m[n] / root
+    loads, own = [(0, n) for n in range(streams)], [[] for _ in range(streams)]
+    for at in sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)):
+        load, n = heapq.heappop(loads)
+        own[n].append(at)
+        heapq.heappush(loads, (load + len(texts[at]), n))
+    rows = []
+    for mine in sorted((o for o in own if o), key=lambda o: -sum(len(texts[i]) for i in o)):
+        mine = [texts[i] for i in order.permutation(mine)]
+        starts = np.zeros(sum(map(len, mine)), bool)
+        starts[np.cumsum([0, *map(len, mine[:-1])])] = True
+        rows.append((np.concatenate(mine), starts))
+    sizes = np.array([len(row) for row, _ in rows], int)
+    for start in range(0, int(sizes.max(initial=0)), length):
+        live = int((sizes > start).sum())
+        steps = min(length, int(sizes[0]) - start)
+        inputs, targets = np.full((live, steps), END), np.full((live, steps), END)
+        real, fresh = np.zeros((live, steps), bool), np.zeros((live, steps), bool)
+        for n, (row, starts) in enumerate(rows[:live]):
+            part = row[start : start + steps]
+            targets[n, : len(part)], real[n, : len(part)] = part, True
+            fresh[n, : len(part)] = starts[start : start + steps]
+            # What stands before a text is the end of another, or nothing.
+            before = row[max(0, start - 1) : start + len(part) - 1]
+            inputs[n, len(part) - len(before) : len(part)] = before
+        yield inputs, targets, real, fresh
+
+
+def train_texts(model: Gru, texts: Iterator[np.ndarray], length: int, streams: int, rate: float, steps: int = 256) -> int:
+    """Adam steps over every token of whole texts, and their number.
+
+    The state goes on from window to window, the backward pass ends within one. Some texts at a
+    time are held, at most ``streams`` windows wide and about ``steps`` long; of few texts the
+    steps are narrower instead of fewer.
+    """
+    m, v, step = {n: np.zeros_like(x) for n, x in model.p.items()}, {n: np.zeros_like(x) for n, x in model.p.items()}, 0
+    held, size, total = [], 0, 0
+
+    def learn() -> None:
+        nonlocal step
+        wide = max(8, min(streams, size // (length * steps)))
+        h = np.zeros((wide, model.hidden), np.float32)
+        for inputs, targets, real, fresh in windows_of(held, wide, length):
+            # Backward within the window only; forward the state goes on.
+            g, h, _ = model.gradients(h[: len(inputs)], inputs, targets, real, fresh)
+            seen, step = int(real.sum()), step + 1
+            # Windows at the end of long texts hold few streams, and move the weights less.
+            own = rate * math.sqrt(min(1.0, seen / (wide * length)))
+            for n, d in g.items():
+                d *= 32 / seen
+                np.clip(d, -1, 1, out=d)
+                m[n] *= 0.9
+                m[n] += 0.1 * d
+                d *= d
+                v[n] *= 0.99
+                v[n] += 0.01 * d
+                root = np.sqrt(v[n] / (1 - 0.99**step))
+                root += 1e-6
+                model.p[n] -= own / (1 - 0.9**step) * m[n] / root
+
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        total += len(text)
+        if size >= streams * length * steps:
+            learn()
+            held, size = [], 0
+    if held:
+        learn()
+    return total
 
 
 def packed(model: Gru) -> bytes:
@@ -270,57 +322,61 @@ def score_texts(model: Gru, texts: list[np.ndarray], window: int = 64, streams:
     return totals
 
 
-def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidden: int, share: float, stretch: int,
-                  window: int, streams: int, rate: float, rounds: int, workers: int) -> Gru:
-    """Train on stretches of the training texts, in rounds of parallel workers whose weights are averaged.
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a part's weights, averaged by the tokens they come from."""
+    n, total = 0, 0.0
+    for batch in batches:
+        for k, w in zip(batch.column("n").to_pylist(), batch.column("weights")):
+            n, total = n + k, total + np.frombuffer(w.as_buffer(), "<f4").astype(float) * k
+    if n:
+        weights = (total / n).astype("<f4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([weights], pa.binary())], names=["n", "weights"])
 
-    One stretch of ``stretch`` words is taken from the share ``share`` of the documents, chosen
-    with the place in them by a hash of the id: what is learned from grows with the corpus.
-    Each round every worker starts from the last average and reads its part, of 256 stretches
-    at least; the driver gets at most ``workers`` sets of weights, whose size does not depend
-    on the corpus.
-    """
-    chance = F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(1 << 20))
-    chosen = training.where(chance < int(share * (1 << 20)) + 1).select("_id", "_text", chance.alias("_chance"))
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(vocabulary)
-        for batch in batches:
-            if batch.num_rows:
-                texts, chances = coder.code(batch.column("_text"))[0], batch.column("_chance").to_pylist()
-                starts = [(c * 7919) % max(1, len(t) - stretch + 1) for t, c in zip(texts, chances)]
-                cut = [t[s : s + stretch].tolist() for t, s in zip(texts, starts)]
-                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.list_(pa.int32()))], names=["tokens"])
+def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidden: int, window: int, streams: int,
+                  rate: float, rounds: int) -> Gru:
+    """Train on every training text whole, once, in rounds of parallel workers whose weights are averaged.
 
-    pieces = materialize(chosen.mapInArrow(stretches, "tokens array<int>"), "recurrent-stretches")
-    model = Gru(vocabulary, embed, hidden)
-    workers = max(1, min(workers, pieces.count() // 256))
+    A hash of the id parts the texts by rounds. In each round every part of the table is a
+    worker: it starts from the last average and reads its texts of the round from their first
+    word to their end. Workers grow with the table, and small parts are put together. Averages
+    are taken in two steps, so the driver gets about the square root of the workers' number.
+    """
+    model, seen = Gru(vocabulary, embed, hidden), 0
+    workers = max(1, vocabulary.tokens // (rounds << 16))
+    turn = F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(rounds))
 
     def worked(number: int):
         start = packed(model)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = [np.asarray(x.values) for b in batches for x in b.column("tokens")]
-            if own:
-                mine = unpacked(Gru(vocabulary, embed, hidden), start)
-                train_windows(mine, own, window, streams, rate * 0.7**number, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, own))]), pa.array([packed(mine)], pa.binary())],
-                                                 names=["n", "weights"])
+            coder, mine = Coder(vocabulary), unpacked(Gru(vocabulary, embed, hidden), start)
+            texts = (
+                text.astype(np.int32)
+                for batch in batches
+                for at in range(0, batch.num_rows, 1_024)
+                for text in coder.code(batch.column("_text").slice(at, 1_024))[0]
+            )
+            n = train_texts(mine, texts, window, streams, rate * 0.7**number)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed(mine)], pa.binary())], names=["n", "weights"])
 
         return work
 
     for number in range(rounds):
-        parts = pieces.repartition(workers, F.xxhash64(F.lit(number), "tokens")).mapInArrow(worked(number), "n long, weights binary").toArrow()
-        if parts.num_rows:
-            n = np.asarray(parts.column("n"), float)
-            total = sum(np.frombuffer(w.as_py(), "<f4").astype(float) * k for w, k in zip(parts.column("weights"), n))
-            unpacked(model, (total / n.sum()).astype("<f4").tobytes())
+        own = training.where(turn == number).select("_text").coalesce(workers)
+        parts = own.mapInArrow(worked(number), "n long, weights binary").repartition(math.isqrt(workers))
+        parts = parts.mapInArrow(_mean, "n long, weights binary").toArrow()
+        for mean in _mean(parts.combine_chunks().to_batches()):
+            unpacked(model, mean.column("weights")[0].as_py())
+            seen += mean.column("n")[0].as_py()
+    model.seen = seen
     return model
 
 
 def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed: int = 4_096, known: int = 1 << 16,
-                    embed: int = 16, hidden: int = 24, share: float = 1 / 8, stretch: int = 128, window: int = 32,
-                    streams: int = 8, rate: float = 0.015, rounds: int = 4, workers: int = 16, id_column: str = "doc_id",
+                    embed: int = 16, hidden: int = 24, window: int = 32, streams: int = 128, rate: float = 0.015,
+                    rounds: int = 4, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """Whole-document log10 probabilities of each row under the recurrent model, and under word counts alone.
 
@@ -328,8 +384,8 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
     The model spells the ``listed`` most frequent words; any other is its class's event, made
     a word by the counts: ``(c + 0.1) / Z`` over the words outside the list, with one 0.1 for all
     words never seen. Counts of the ``known`` most frequent words go to every task; those of
-    the rarer words are joined. The recurrent weights are trained on one stretch of ``stretch``
-    words of the share ``share`` of the training documents.
+    the rarer words are joined. The recurrent weights are trained on every token of these
+    documents, too, each read once from its start to its end.
 
     A null text is an empty one: its only token is the end. A null id counts as an empty id
     text. Repeated rows are scored each. An empty table gives no rows.
@@ -359,7 +415,7 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
     counts = training.select("_text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "recurrent-counts")
     vocabulary = build_vocabulary(counts, listed)
-    model = fit_recurrent(training, vocabulary, embed, hidden, share, stretch, window, streams, rate, rounds, workers)
+    model = fit_recurrent(training, vocabulary, embed, hidden, window, streams, rate, rounds)
     # A bounded part of the counts; the rest stays a table.
     often = counts.where(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(known).toArrow()
     often = dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist()))

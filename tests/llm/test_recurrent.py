@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from adtally.llm import recurrent
 from adtally.llm.recurrent import END, Gru, Vocabulary, class_sizes, document_scores, packed, score_texts, unpacked
 from adtally.llm.registered import table
 
@@ -54,6 +55,46 @@ def test_state_is_carried_over_windows_of_any_length():
     assert class_sizes(100)[0] == 8 and sum(class_sizes(100)) == 100
 
 
+def test_windows_hold_every_token_of_whole_texts():
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(1, 12, n), END) for n in (0, 300, 2, 40, 7, 7, 90)]
+    got, h = [], {}
+    for inputs, targets, real, fresh in recurrent.windows_of(texts, 3, 8):
+        for row in range(len(targets)):
+            for t in np.flatnonzero(real[row]):
+                if fresh[row, t]:
+                    h[row] = []
+                    got.append(h[row])
+                assert inputs[row, t] == (h[row][-1] if h[row] else END)
+                h[row].append(targets[row, t])
+    assert sorted(map(list, got)) == sorted(t.tolist() for t in texts)
+
+
+def test_a_fresh_state_parts_texts_in_a_stream():
+    model = Gru(vocabulary(), 4, 5)
+    model.p = {n: p.astype(float) for n, p in model.p.items()}
+    texts = [np.append(np.random.default_rng(n).integers(1, 12, n), END) for n in (3, 6, 2)]
+    total, loss = {n: 0 for n in model.p}, 0
+    for text in texts:
+        inputs = np.append(END, text[:-1])[None]
+        g, _, own = model.gradients(np.zeros((1, 5)), inputs, text[None], np.ones((1, len(text)), bool))
+        total, loss = {n: total[n] + g[n] for n in g}, loss + own
+    (inputs, targets, real, fresh), = recurrent.windows_of(texts, 1, 100)
+    g, _, own = model.gradients(np.zeros((1, 5)), inputs, targets, real, fresh)
+    assert own == pytest.approx(loss)
+    for name in g:
+        np.testing.assert_allclose(g[name], total[name], atol=1e-9)
+
+
+def test_the_weights_learn_from_every_training_token(spark, monkeypatch):
+    fit, fitted = recurrent.fit_recurrent, []
+    monkeypatch.setattr(recurrent, "fit_recurrent", lambda *own: fitted.append(fit(*own)) or fitted[-1])
+    data = [(n, "a b c " * (n * n)) for n in range(60)] + [(None, "a b"), (61, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    rows = document_scores(docs).collect()
+    assert fitted[0].seen == sum(r.n_tokens for r in rows if not r.held_out) == rows[0].train_tokens
+
+
 def test_scores_of_a_table(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rows = {r.doc_id: r.text or "" for r in docs.collect()}
