@@ -15,8 +15,11 @@ from adtally.llm.multi_index import search as multi_index_search
 from adtally.llm.ngram_join import similar_components
 from adtally.llm.oracle import ORACLE
 from adtally.llm.packing import pack
+from adtally.llm.ptolemy import clusters
 from adtally.llm.quality import GOOD_FROM, fit_quality, quality_score
 from adtally.llm.recurrent import document_scores
+from adtally.llm.resampling import importance_resample
+from adtally.llm.resharding import even_shards
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
 from adtally.llm.toxicity import TOXIC_FROM, fit_chain, toxicity_scores
 from adtally.llm.warc import archive_records, read_warc, write_warc
@@ -111,6 +114,25 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digest(read_token_files(spark, path))
 
 
+@query
+def op11_ptolemaic_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters(table(spark, folder, "embeddings")).drop("computed")
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    rows = even_shards(table(spark, folder, "documents"))
+    return rows.select(
+        "doc.doc_id", "size", F.crc32(F.coalesce("doc.text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline_run(spark, folder)

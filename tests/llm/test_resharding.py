@@ -1,0 +1,148 @@
+"""Resharding: least flows, files that stay, and every document once."""
+
+import itertools
+import os
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from adtally.llm.registered import QUERIES
+from adtally.llm.resharding import (
+    even_capacities,
+    even_shards,
+    least_moves,
+    plan_moves,
+    read_shards,
+    reshard,
+    text_bytes,
+    write_shards,
+)
+
+
+def check_flow(sizes, room, flow):
+    assert all(n > 0 for n in flow.values())
+    assert [sum(n for (i, _), n in flow.items() if i == k) for k in range(len(sizes))] == list(sizes)
+    assert all(sum(n for (_, j), n in flow.items() if j == k) <= most for k, most in enumerate(room))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fewest_bytes_move(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(0, 100, rng.integers(1, 8)).tolist()
+    new = int(rng.integers(1, 8))
+    room = even_capacities(sum(sizes) + int(rng.integers(0, 20)), new)
+    flow = least_moves(sizes, room)
+    check_flow(sizes, room, flow)
+    moved = sum(n for (i, j), n in flow.items() if i != j)
+    # No plan keeps more than a shard holds and may hold.
+    assert moved == sum(s - min(s, room[i] if i < new else 0) for i, s in enumerate(sizes))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_least_cost_by_trying_all(seed):
+    """Any prices: single bytes placed in every way."""
+    rng = np.random.default_rng(seed)
+    sizes, new = rng.integers(0, 3, 3).tolist(), 3
+    cost = rng.integers(0, 9, (3, new)).tolist()
+    room = rng.integers(1, 4, new).tolist()
+    owners = [i for i, s in enumerate(sizes) for _ in range(s)]
+    ways = [w for w in itertools.product(range(new), repeat=len(owners)) if all(w.count(j) <= room[j] for j in range(new))]
+    if not ways:
+        with pytest.raises(ValueError, match="too small"):
+            least_moves(sizes, room, cost)
+        return
+    best = min(sum(cost[i][j] for i, j in zip(owners, w)) for w in ways)
+    flow = least_moves(sizes, room, cost)
+    check_flow(sizes, room, flow)
+    assert sum(cost[i][j] * n for (i, j), n in flow.items()) == best
+
+
+def test_paths_go_back_through_transfers():
+    """A greedy plan fills the wrong shard first."""
+    assert least_moves([5, 5], [5, 5], [[1, 2], [1, 9]]) == {(0, 1): 5, (1, 0): 5}
+    assert least_moves([], [1]) == {} and least_moves([0, 7], [3, 4]) == {(1, 0): 3, (1, 1): 4}
+
+
+def check_shards(rows, docs, shards, slack):
+    """Every document once, gapless slots, sizes near each other."""
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc["doc_id"], r.doc["text"]) for r in rows), key=key) == sorted(docs, key=key)
+    by_shard = {}
+    for r in rows:
+        assert r.size == len((r.doc["text"] or "").encode()) + 1
+        by_shard.setdefault(r.shard, []).append(r)
+    assert set(by_shard) <= set(range(shards))
+    assert all(sorted(r.slot for r in each) == list(range(len(each))) for each in by_shard.values())
+    totals = [sum(r.size for r in by_shard.get(j, [])) for j in range(shards)]
+    assert max(totals) - min(totals) <= slack, totals
+
+
+def test_every_document_in_even_shards(spark):
+    """A third of all rows have one id, some texts are long, and columns have the operator's own names."""
+    docs = [(n, "w" * (n * 37 % 400)) for n in range(600)] + [(7, "same text")] * 300
+    docs += [(None, None)] * 5 + [(None, "x" * 15_000), (1000, ""), (1001, "é" * 7_000)]
+    frame = spark.createDataFrame([(n, t, 5, "s", 2, 9) for n, t in docs], "doc_id long, text string, size int, shard string, slot int, _key int")
+    rows = even_shards(frame.repartition(9)).collect()
+    check_shards(rows, docs, 8, slack=100)
+    assert {r.doc["shard"] for r in rows} == {"s"} and {r.doc["size"] for r in rows} == {5}
+    assert even_shards(frame.limit(0)).count() == 0
+    assert [(r.shard, r.slot) for r in even_shards(frame.limit(1)).collect()][0][1] == 0
+
+
+def test_documents_longer_than_a_shard(spark):
+    docs = [(n, "x" * 90_000 if n in (3, 4) else "y" * (n % 300)) for n in range(500)]
+    rows = even_shards(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    totals = sorted(sum(r.size for r in rows if r.shard == j) for j in range(8))
+    assert sum(totals) == sum(len(t) + 1 for _, t in docs)
+    assert totals[-2:] == [90_001, 90_001] and totals[-3] - totals[0] <= 100
+
+
+def test_capacities():
+    assert even_capacities(10, 3) == [4, 3, 3] and even_capacities(0, 2) == [0, 0]
+    assert even_capacities(100, 4, [70, 0, 5]) == [70, 10, 10, 10] and even_capacities(100, 2, [90, 90]) == [50, 50]
+
+
+def files(folder):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def test_files_that_stay_are_not_touched(spark, tmp_path):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text")).repartition(16)
+    first, second = str(tmp_path / "a"), str(tmp_path / "b")
+    layout = write_shards(docs, F.col("doc_id") % 4, text_bytes(), first)
+    before = files(first)
+    schema = docs.select(F.struct("*").alias("doc"), F.lit(0).cast("long").alias("size")).schema
+    total = layout.agg(F.sum("bytes")).first()[0]
+    changed = reshard(layout, even_capacities(total, 5), second, schema)
+    assert files(first) == before
+    named = {r.path for r in changed.collect()}
+    stay = {p for p in named if p.startswith(first)}
+    assert 0.5 * len(before) < len(stay) < len(before) and {p for p in named - stay} == set(files(second))
+    rows = read_shards(changed, schema).collect()
+    check_shards(rows, [(r.doc_id, r.text) for r in docs.collect()], 5, slack=60)
+    # A fifth of the bytes moves; beyond that only divided files are written, one for each cut.
+    rewritten = sum(r.bytes for r in changed.collect() if r.path.startswith(second))
+    largest = max(r.bytes for r in layout.collect())
+    assert total / 5 - 60 <= rewritten <= total / 5 + 4 * largest
+    again = reshard(changed, even_capacities(total, 5), str(tmp_path / "c"), schema)
+    assert sum(r.bytes for r in again.collect() if r.path.startswith(str(tmp_path / "c"))) <= 5 * largest
+
+
+def test_planned_bytes_are_those_of_the_flow(spark):
+    layout = spark.createDataFrame([(i % 3, f"/x/shard={i % 3}/part-{i}", 1, 10 + i, 10 + i) for i in range(30)], "shard int, path string, rows long, bytes long, longest long")
+    sizes = [sum(10 + i for i in range(30) if i % 3 == s) for s in range(3)]
+    moves = {}
+    for r in plan_moves(layout, even_capacities(sum(sizes), 4)).collect():
+        moves[r.old, r.shard] = moves.get((r.old, r.shard), 0) + r.amount
+    assert moves == least_moves(sizes, even_capacities(sum(sizes), 4))
+
+
+def test_registered_query(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = QUERIES["op13_resharding"](spark, small).collect()
+    assert len(rows) == len(docs) and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+    assert all(r.text_crc32 == zlib.crc32((docs[r.doc_id] or "").encode()) and r["size"] == len((docs[r.doc_id] or "").encode()) + 1 for r in rows)
+    totals = [sum(r["size"] for r in rows if r.shard == j) for j in range(8)]
+    assert max(totals) - min(totals) <= 0.02 * max(totals)
