@@ -33,16 +33,31 @@ def count_views(views: DataFrame, campaigns: Lookup, window: str = WINDOW) -> Da
             .groupBy("campaign_id", "window_start")
             .agg(F.count(F.lit(1)).alias("seen_count"), F.max("event_time").alias("last_event_time"))
         )
-    by_ad = timed.groupBy("ad_id", "window_start").agg(
-        F.count(F.lit(1)).alias("ad_count"), F.max("event_time").alias("ad_time")
-    )
     return (
-        by_ad.join(campaigns.frame, list(campaigns.keys), "inner")
+        _by_ad(timed, campaigns)
         .groupBy("campaign_id", "window_start")
         .agg(F.sum("ad_count").alias("seen_count"), F.max("ad_time").alias("last_event_time"))
     )
 
 
+def _by_ad(timed: DataFrame, campaigns: Lookup) -> DataFrame:
+    by_ad = timed.groupBy("ad_id", "window_start").agg(
+        F.count(F.lit(1)).alias("ad_count"), F.max("event_time").alias("ad_time")
+    )
+    return by_ad.join(campaigns.frame, list(campaigns.keys), "inner")
+
+
+def matched_views(views: DataFrame, campaigns: Lookup, window: str = WINDOW) -> DataFrame:
+    """``campaign_id, window_start, seen_count`` rows that add up to the counts, not yet added up.
+
+    One row per view with a small campaign table, one per ad and window with a large one.
+    """
+    timed = views.withColumn("window_start", tumbling_start("event_time", window))
+    if campaigns.small:
+        return attach(timed, campaigns).select("campaign_id", "window_start", F.lit(1).cast("long").alias("seen_count"))
+    return _by_ad(timed, campaigns).select("campaign_id", "window_start", F.col("ad_count").alias("seen_count"))
+
+
 def event_lag(windows: DataFrame) -> DataFrame:
     """How long after its start each window saw its last event, window length included.
 

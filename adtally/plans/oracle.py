@@ -203,6 +203,24 @@ SELECT idx, seen, updated FROM s FULL JOIN u USING (idx)""",
     "join_campaign_large_table": _JOINED,
     "join_campaign_unknown_ads": f"""WITH {_EVENTS} SELECT ad_id, count(*) AS events FROM e
 WHERE event_type = 'view' AND (ad_id IS NULL OR ad_id NOT BETWEEN 0 AND 89) GROUP BY ad_id""",
+    "stream_parity_by_day": f"""{_TEN},
+d AS (SELECT CAST(window_start AS DATE) AS day, CAST(sum(seen_count) AS BIGINT) AS n FROM w GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS day, CASE WHEN day = DATE '2024-01-10' THEN 0 ELSE n END AS streamed_views, n AS recounted_views,
+       day <> DATE '2024-01-10' AS same FROM d""",
+    "late_merge_closed_days": f"""{_HOUR},
+h AS (SELECT CAST(window_start AS DATE) AS day, hour(window_start) % 2 = 0 AS early, seen_count FROM w),
+o AS (SELECT max(day) FILTER (early) - 10 AS first, max(day) - 10 AS last FROM h),
+s AS (SELECT day, CAST(sum(seen_count) AS BIGINT) AS views FROM h, o WHERE day >= last GROUP BY day),
+r AS (SELECT day, CAST(sum(seen_count) AS BIGINT) AS refused_views FROM h, o WHERE day < first AND NOT early GROUP BY day)
+SELECT CAST(day AS VARCHAR) AS day, views, refused_views FROM s FULL JOIN r USING (day)""",
+    "latency_percentiles": f"""{_HOUR},
+l AS (SELECT CAST(window_start AS DATE) AS day, {_lag()} AS ms FROM w),
+b AS (SELECT day, CASE WHEN ms = 0 THEN NULL ELSE ceil(ln(ms) / ln(1.005 / CAST(0.995 AS DOUBLE))) END AS place, count(*) AS n FROM l GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY day ORDER BY place NULLS FIRST) AS past, sum(n) OVER (PARTITION BY day) AS all_n FROM b),
+v AS (SELECT *, CASE WHEN place IS NULL THEN 0.0
+             ELSE pow(1.005 / CAST(0.995 AS DOUBLE), place - 1) * (2 * 1.005 / 0.995) / (1.005 / CAST(0.995 AS DOUBLE) + 1) END AS value FROM c)
+SELECT CAST(day AS VARCHAR) AS day, CAST(any_value(all_n) AS BIGINT) AS windows, round(min(value) FILTER (past > floor(CAST(0.5 AS DOUBLE) * (all_n - 1))), 6) AS p50_ms,
+       round(min(value) FILTER (past > floor(CAST(0.99 AS DOUBLE) * (all_n - 1))), 6) AS p99_ms FROM v GROUP BY day""",
     "campaign_window_count": f"{_TEN} {_COUNTS}",
     "campaign_window_count_hourly": f"{_HOUR} {_COUNTS}",
     "campaign_window_count_large_table": f"{_HOUR} {_COUNTS}",

@@ -37,7 +37,7 @@ from adtally.sources.campaigns import campaign_table, campaigns_of, numbered_cam
 from adtally.sources.events import event_table, event_table_stream, json_event_files, json_event_stream
 from adtally.sources.metric_text import UPDATED_FILE, read_metric_pairs, read_metric_vector, write_metric_vectors
 from adtally.sources.results import read_results, read_written_results, write_results
-from adtally.streaming.completeness import completeness, differences
+from adtally.streaming.completeness import parity_by_day, store_completeness, store_differences
 from adtally.streaming.counts import start_bounded_counts, start_campaign_counts
 from adtally.streaming.store import WindowStore
 
@@ -343,6 +343,11 @@ def _window_latency(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(_lags(spark, folder).drop("last_event_time"))
 
 
+def event_windows(events: DataFrame, campaigns: Lookup, window: str = WINDOW) -> DataFrame:
+    """Windows as a store takes them, last updated by their last event."""
+    return campaign_windows(events, campaigns, window).withColumnRenamed("last_event_time", "time_updated")
+
+
 def _store(spark: SparkSession, totals: bool = False) -> WindowStore:
     return WindowStore(spark, fresh_path(spark, "store"), LongType(), totals)
 
@@ -407,6 +412,32 @@ def _late_merge(spark: SparkSession, folder: str) -> DataFrame:
     return _counts(store.table())
 
 
+@_query("late_merge_closed_days")
+def _late_merge_closed_days(spark: SparkSession, folder: str) -> DataFrame:
+    """With ten days kept, rows that come for the days before are refused and counted."""
+    store = WindowStore(spark, fresh_path(spark, "store"), LongType(), keep_days=10)
+    windows = event_windows(_events(spark, folder), numbered_campaigns(spark), HOURLY)
+    # Every second hour comes first and moves the horizon; the rest comes late.
+    for batch in (0, 1):
+        store.upsert(windows.where(F.hour("window_start") % 2 == batch), batch)
+        store.fold(batch)
+    shown = store.table().groupBy(F.to_date("window_start").alias("day")).agg(F.sum("seen_count").alias("views"))
+    refused = store.refused().select("day", F.col("views").alias("refused_views"))
+    return shown.join(refused, "day", "full_outer").select(F.col("day").cast("string").alias("day"), "views", "refused_views")
+
+
+@_query("latency_percentiles")
+def _latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and 99th percentile of latency per day, from the sketches a store keeps."""
+    store = _store(spark)
+    windows = event_windows(_events(spark, folder), numbered_campaigns(spark), HOURLY)
+    for batch in (0, 1):
+        store.upsert(windows.where(F.dayofmonth("window_start") % 2 == batch), batch)
+    store.fold(0)
+    found = store.latency_quantiles([0.5, 0.99], by_day=True)
+    return _plain(found.select(F.col("day").cast("string").alias("day"), F.col("rows").alias("windows"), F.col("quantiles")[0].alias("p50_ms"), F.col("quantiles")[1].alias("p99_ms")))
+
+
 @_query("campaign_window_count_watermark")
 def _late_merge_bounded_state(spark: SparkSession, folder: str) -> DataFrame:
     """The watermark mode with a delay no event exceeds."""
@@ -421,15 +452,28 @@ def _late_merge_bounded_state(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("stream_batch_parity")
 def _stream_batch_parity(spark: SparkSession, folder: str) -> DataFrame:
-    streamed = _streamed(spark, folder, numbered_campaigns(spark)).table()
-    return completeness(streamed, _windows(spark, folder))
+    """Day by day fingerprints against one pass over the events."""
+    store = _streamed(spark, folder, numbered_campaigns(spark))
+    return store_completeness(store, _events(spark, folder), numbered_campaigns(spark))
+
+
+@_query("stream_parity_by_day")
+def _stream_parity_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the stream is folded and the events of one day are missing from it."""
+    events, campaigns, store = _events(spark, folder), numbered_campaigns(spark), _store(spark)
+    kept = event_windows(events.where(F.to_date("event_time") != F.lit("2024-01-10").cast("date")), campaigns)
+    for batch in (0, 1):
+        store.upsert(kept.where(F.dayofmonth("window_start") % 2 == batch), batch)
+    store.fold(0)
+    days = parity_by_day(store.day_marks(), events, campaigns)
+    return days.drop("windows").withColumn("day", F.col("day").cast("string"))
 
 
 @_query("stream_batch_differences")
 def _stream_batch_differences(spark: SparkSession, folder: str) -> DataFrame:
     """What is found when the stream knew nine campaigns and the recount knows all."""
-    streamed = _streamed(spark, folder, numbered_campaigns(spark, campaigns=9), HOURLY).table()
-    return _plain(differences(streamed, _windows(spark, folder, HOURLY)))
+    store = _streamed(spark, folder, numbered_campaigns(spark, campaigns=9), HOURLY)
+    return _plain(store_differences(store, _events(spark, folder), numbered_campaigns(spark), HOURLY))
 
 
 @_query("load_phase_rate")

@@ -22,7 +22,7 @@ def start_campaign_counts(
     store: WindowStore,
     window: str = WINDOW,
     trigger_millis: int | None = TRIGGER_MILLIS,
-    fold_every: int | None = FOLD_EVERY,
+    fold_every: int = FOLD_EVERY,
 ) -> StreamingQuery:
     """Count views per campaign and window, micro-batch by micro-batch.
 
@@ -37,7 +37,7 @@ def start_campaign_counts(
 
     def count_batch(views: DataFrame, batch_id: int) -> None:
         store.upsert(count_views(views, campaigns, window), batch_id)
-        if fold_every and batch_id and batch_id % fold_every == 0:
+        if batch_id and batch_id % fold_every == 0:
             store.fold_later(batch_id - 1)  # the last one sure not to be repeated
 
     return _start(views_of(events).writeStream.foreachBatch(count_batch), store, trigger_millis)

@@ -1,26 +1,51 @@
 """The window result table a running job keeps up to date.
 
-Each micro-batch writes its rows to a folder named after its batch id, in
-overwrite mode: doing a batch again replaces what it wrote, so nothing counts
-twice. The table is the merge of all batches. Merging is additive, so rows may
-arrive in any order and any time late. :meth:`WindowStore.fold` merges finished
-batches into a table kept by day, of which only the days they touch are
-rewritten, and deletes what the fold before it had replaced.
+Each micro-batch writes its rows to a folder named after its batch id and then notes when it had
+written them, so a batch done again counts once. The table is the merge of all noted batches.
+Merging is additive, so rows may arrive in any order and any time late. :meth:`WindowStore.fold`
+merges finished batches into a table kept by day, of which only the days they touch are rewritten.
+
+What the table is made of stands in a manifest: one small file, replaced as a whole. It names each
+day's files, with the day's counts, fingerprint and latency sketch, the last folded batch, and the
+day before which the table is closed. Files that neither the manifest nor the one before it names are
+deleted by the fold, so what a reader lists depends on the days kept and not on the folds gone by.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import Future, ThreadPoolExecutor
+import json
+import threading
+import time
+from dataclasses import asdict, dataclass, field
+from datetime import date, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
+from adtally.functions.columns import lag_millis
+from adtally.operators.sketches import SKETCH, sketch_of, sketch_quantiles
 from adtally.schemas import window_rows
+from adtally.streaming.completeness import DAY_MARKS, day_marks
+from adtally.streaming.files import Files
 
-_LEDGER = StructType([StructField("upto", LongType())])
-_COMMIT = StructType([StructField("batch_id", LongType()), StructField("committed", TimestampType())])
+#: Refused rows are counted by day for so many days back from the horizon; what is older is one sum.
+REFUSED_DAYS = 400
+_EARLIER = "earlier"
+
+
+@dataclass
+class Manifest:
+    """One state of the folded table."""
+
+    version: int = 0
+    upto: int | None = None
+    #: For each day: the fold that wrote its files, and its counts and fingerprint.
+    days: dict[str, dict[str, int]] = field(default_factory=dict)
+    #: The first day that still takes rows; None takes all.
+    horizon: str | None = None
+    #: For each closed day: how many rows came for it, and their views.
+    refused: dict[str, list[int]] = field(default_factory=dict)
 
 
 class WindowStore:
@@ -28,7 +53,9 @@ class WindowStore:
 
     ``totals=False``: batches hold parts of a window's count, which add up.
     ``totals=True``: batches hold a window's count so far; the newest counts.
-    ``keep_days``: days further back than that from the newest are dropped when folding.
+    ``keep_days``: a fold closes days further back than that from the newest one (days ahead of the
+    clock do not count). A closed day's windows leave the table, and rows that come for it later
+    are refused and counted (:meth:`refused`): they never start a window's count anew.
     """
 
     def __init__(
@@ -40,8 +67,9 @@ class WindowStore:
         self.totals = totals
         self.keep_days = keep_days
         self._rows = window_rows(campaign_type)
-        self._folder_thread = ThreadPoolExecutor(1, thread_name_prefix="fold")
-        self._folding: Future | None = None
+        self._files = Files(spark)
+        self._folding: threading.Thread | None = None
+        self._failed: BaseException | None = None
 
     @property
     def checkpoint(self) -> str:
@@ -52,123 +80,219 @@ class WindowStore:
     def _batches(self) -> str:
         return f"{self.folder}/batches"
 
+    @property
+    def _commits(self) -> str:
+        return f"{self.folder}/commits"
+
+    @property
+    def _manifests(self) -> str:
+        return f"{self.folder}/manifests"
+
+    # ------------------------------------------------------------ writing
+
     def upsert(self, rows: DataFrame, batch_id: int) -> None:
-        """Write one micro-batch's rows; a repeated batch id replaces its rows.
+        """Write one micro-batch's rows, unless that batch is noted as written.
 
-        Rows without a ``time_updated`` get the time their batch was first written in
-        full: it is noted after the write, and a repeated batch leaves the note alone.
+        Rows without a ``time_updated`` get the time their batch was written in full. It is
+        in the name of an empty file, made after the write and never replaced.
         """
+        if batch_id in self._noted():
+            return
         if "time_updated" not in rows.columns:
             rows = rows.withColumn("time_updated", F.lit(None).cast("timestamp"))
         rows.select(*self._rows.fieldNames()).write.mode("overwrite").parquet(f"{self._batches}/batch_id={batch_id}")
-        note = self.spark.range(batch_id, batch_id + 1, numPartitions=1).toDF("batch_id")
-        note.withColumn("committed", F.current_timestamp()).write.mode("ignore").json(
-            f"{self.folder}/commits/batch={batch_id}"
-        )
+        self._files.write_new(self._commits, f"{batch_id}-{time.time_ns() // 1000}")
+
+    def _noted(self) -> dict[int, int]:
+        """When each batch that is still kept was written, in microseconds."""
+        notes = [name.split("-") for name in self._files.names(self._commits) if name[:1].isdigit()]
+        return {int(batch): int(micros) for batch, micros in notes}
+
+    # ------------------------------------------------------------ reading
 
     def table(self) -> DataFrame:
         """One row per campaign and window. Read it once the job has drained."""
         self.settle()
-        return self._merged(self._all_rows())
+        state = self._state()
+        return self._merged(self._all_rows(state))
+
+    def refused(self) -> DataFrame:
+        """``day, windows, views``: rows that came for days already closed; NULL: long ago."""
+        self.settle()
+        state = self._state()
+        late = self._unfolded(state).where(~self._open(state)).groupBy("day")
+        late = late.agg(F.count(F.lit(1)).alias("windows"), F.sum("seen_count").alias("views"))
+        counted = [(None if day == _EARLIER else day, *n) for day, n in state.refused.items()]
+        counted = self.spark.createDataFrame(counted, "day string, windows long, views long").withColumn("day", F.to_date("day"))
+        return counted.unionByName(late).groupBy("day").agg(F.sum("windows").alias("windows"), F.sum("views").alias("views"))
+
+    def day_marks(self) -> DataFrame:
+        """``day, windows, views`` and the fingerprint of each day's counts.
+
+        Days without unfolded rows have theirs in the manifest: no window is read for them.
+        """
+        self.settle()
+        state, fresh = self._state(), self._fresh_days()
+        kept = [(date.fromisoformat(day), *(entry[name] for name in DAY_MARKS)) for day, entry in state.days.items() if day not in fresh]
+        marks = self.spark.createDataFrame(kept, f"day date, {', '.join(f'{name} long' for name in DAY_MARKS)}")
+        return marks.unionByName(day_marks(self._of_days(state, fresh))) if fresh else marks
+
+    def latency_sketch(self) -> DataFrame:
+        """``day, side, place, rows``: how long windows took to settle, as a sketch per day that adds up.
+
+        Days without unfolded rows are read from the sketches their fold left.
+        """
+        self.settle()
+        state, fresh = self._state(), self._fresh_days()
+        paths = [self._sketch(state, day) for day in state.days if day not in fresh]
+        kept = self._read(paths, f"{SKETCH}, day date", base=f"{self.folder}/sketches").select("day", "side", "place", "rows")
+        return kept.unionByName(_latency_sketch(self._of_days(state, fresh))) if fresh else kept
+
+    def latency_quantiles(self, probs: list[float], by_day: bool = False) -> DataFrame:
+        """``rows, quantiles`` of settled latency in ms over the whole table, or per day, within the sketch's accuracy."""
+        keys = ["day"] if by_day else []
+        return sketch_quantiles(self.latency_sketch(), keys, probs)
+
+    # ------------------------------------------------------------ folding
 
     def fold_later(self, upto: int) -> None:
         """Fold beside the running job, unless a fold is still going on."""
-        if self._folding is None or self._folding.done():
+        if self._folding is None or not self._folding.is_alive():
             self.settle()
-            self._folding = self._folder_thread.submit(self.fold, upto)
+            self._folding = threading.Thread(target=self._fold_apart, args=(upto,), name="fold", daemon=True)
+            self._folding.start()
+
+    def _fold_apart(self, upto: int) -> None:
+        try:
+            self.fold(upto)
+        except BaseException as error:  # told by settle()
+            self._failed = error
 
     def settle(self) -> None:
         """Wait for a fold that goes on; its error, if it had one, is raised here."""
-        if self._folding is not None:
-            folding, self._folding = self._folding, None
-            folding.result()
+        if self._folding is not None and self._folding is not threading.current_thread():
+            self._folding.join()
+            self._folding = None
+        failed, self._failed = self._failed, None
+        if failed is not None:
+            raise failed
 
     def fold(self, upto: int) -> None:
-        """Merge all finished batches with ids up to ``upto`` into the table kept by day.
+        """Merge all noted batches with ids up to ``upto`` into the table kept by day.
 
-        Readers go over to it when the ledger names it, after it is written. What the
-        fold before had replaced is deleted, so readers of that state have a whole fold's time.
+        Readers go over to it with the manifest, after all is written. Files of the state before
+        stay until the next fold, so readers of that state have a whole fold's time.
         """
-        done = self._folded_upto()
-        if done is not None and done >= upto:
+        state = self._state()
+        if state.upto is not None and state.upto >= upto:
             return
-        fresh = self._batch_rows(done).where(F.col("batch_id") <= upto).withColumn("day", F.to_date("window_start"))
+        fresh = self._unfolded(state, upto)
         # A fold's batches touch few days.
-        days = sorted(str(row["day"]) for row in fresh.select("day").distinct().collect())
-        folded = self._folded_paths(done)
-        rows = fresh
-        touched = [folded[day] for day in days if day in folded]
+        found = fresh.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("seen_count").alias("views")).collect()
+        came = {str(row["day"]): [row["n"], row["views"]] for row in found}
+        late = {day: n for day, n in came.items() if state.horizon is not None and day < state.horizon}
+        horizon = self._horizon(state, {*state.days, *came} - {*late})
+        touched = sorted(day for day in came if horizon is None or day >= horizon)
+        days = {day: entry for day, entry in state.days.items() if horizon is None or day >= horizon}
         if touched:
-            rows = rows.unionByName(
-                self._read(touched, self._rows).withColumns(
-                    {"batch_id": F.lit(done).cast("long"), "day": F.to_date("window_start")}
-                )
+            merged = self._merged(self._of_days_rows(state, touched, upto)).withColumn("day", F.to_date("window_start"))
+            path = f"{self.folder}/folded/upto={upto}"
+            merged.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+            written = self._read([f"{path}/day={day}" for day in touched], self._rows)
+            marks = day_marks(written).collect()  # one row per day touched
+            _latency_sketch(written).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
+                f"{self.folder}/sketches/upto={upto}"
             )
-        merged = self._merged(rows).withColumn("day", F.to_date("window_start"))
-        merged.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/folded/upto={upto}")
-        self.spark.range(upto, upto + 1, numPartitions=1).toDF("upto").write.mode("append").json(
-            f"{self.folder}/ledger"
-        )
-        self._forget(done)
-
-    def _forget(self, done: int | None) -> None:
-        """Delete batches up to ``done`` and the days' tables that were no longer read at ``done``."""
-        if done is None:
-            return
-        for parent in (self._batches, f"{self.folder}/commits"):
-            for name in self._names(parent):
-                if "=" in name and int(name.split("=")[1]) <= done:
-                    self._delete(f"{parent}/{name}")
-        wanted = set(self._folded_paths(done).values())
-        newest = max((path.rsplit("day=", 1)[1] for path in wanted), default=None)
-        for version in self._versions():
-            if version > done:
-                continue
-            parent = f"{self.folder}/folded/upto={version}"
-            for name in self._names(parent):
-                path = f"{parent}/{name}"
-                if name.startswith("day=") and (path not in wanted or self._too_old(name[4:], newest)):
-                    self._delete(path)
-            if not any(name.startswith("day=") for name in self._names(parent)):
-                self._delete(parent)
-
-    def _too_old(self, day: str, newest: str | None) -> bool:
-        from datetime import date
-
+            days |= {str(row["day"]): {"fold": upto, **{name: row[name] for name in DAY_MARKS}} for row in marks}
+        refused = {day: [n + m for n, m in zip(state.refused.get(day, [0, 0]), late.get(day, [0, 0]))] for day in {*state.refused, *late}}
+        now = Manifest(state.version + 1, upto, dict(sorted(days.items())), horizon, _shortened(refused, horizon))
+        if not self._files.write_new(self._manifests, f"{now.version:012d}.json", json.dumps(asdict(now))):
+            raise RuntimeError(f"another job folds {self.folder}")
+        self._forget(state, now)
+
+    def _horizon(self, state: Manifest, days: set[str]) -> str | None:
+        """The first day that stays open; it never goes back."""
+        ahead = str(date.today() + timedelta(days=1))
+        newest = max((day for day in days if day <= ahead), default=None)
         if self.keep_days is None or newest is None:
-            return False
-        return (date.fromisoformat(newest) - date.fromisoformat(day)).days > self.keep_days
-
-    def _versions(self) -> list[int]:
-        return sorted(int(name.split("=")[1]) for name in self._names(f"{self.folder}/folded") if name.startswith("upto="))
-
-    def _folded_paths(self, done: int | None) -> dict[str, str]:
-        """For each day its newest table of a fold up to ``done``: as many entries as days kept."""
-        paths = {}
-        for version in self._versions() if done is not None else ():
-            if version <= done:
-                for name in self._names(f"{self.folder}/folded/upto={version}"):
-                    if name.startswith("day="):
-                        paths[name[4:]] = f"{self.folder}/folded/upto={version}/{name}"
-        return paths
-
-    def _all_rows(self) -> DataFrame:
+            return state.horizon
+        first = str(date.fromisoformat(newest) - timedelta(days=self.keep_days))
+        return max(first, state.horizon or first)
+
+    def _forget(self, before: Manifest, now: Manifest) -> None:
+        """Delete what only older states name: batches, notes, day folders, manifests."""
+        files = self._files
+        if before.upto is not None:
+            for name in files.names(self._batches):
+                if name.startswith("batch_id=") and int(name.split("=")[1]) <= before.upto:
+                    files.delete(f"{self._batches}/{name}")
+            for name in files.names(self._commits):
+                if name[:1].isdigit() and int(name.split("-")[0]) <= before.upto:
+                    files.delete(f"{self._commits}/{name}")
+        wanted = {(entry["fold"], day) for state in (before, now) for day, entry in state.days.items()}
+        folds = {fold for fold, _ in wanted}
+        for parent in (f"{self.folder}/folded", f"{self.folder}/sketches"):
+            for version in files.names(parent):
+                fold = int(version.split("=")[1])
+                if fold not in folds:
+                    files.delete(f"{parent}/{version}")
+                    continue
+                for name in files.names(f"{parent}/{version}"):
+                    if name.startswith("day=") and (fold, name[4:]) not in wanted:
+                        files.delete(f"{parent}/{version}/{name}")
+        for name in files.names(self._manifests):
+            if name[:1].isdigit() and int(name.split(".")[0]) < before.version:
+                files.delete(f"{self._manifests}/{name}")
+
+    # ------------------------------------------------------------ what a state holds
+
+    def _state(self) -> Manifest:
+        names = sorted(name for name in self._files.names(self._manifests) if name[:1].isdigit())
+        return Manifest(**json.loads(self._files.read(f"{self._manifests}/{names[-1]}"))) if names else Manifest()
+
+    def _folded(self, state: Manifest, day: str) -> str:
+        return f"{self.folder}/folded/upto={state.days[day]['fold']}/day={day}"
+
+    def _sketch(self, state: Manifest, day: str) -> str:
+        return f"{self.folder}/sketches/upto={state.days[day]['fold']}/day={day}"
+
+    def _unfolded(self, state: Manifest, upto: int | None = None) -> DataFrame:
+        """Rows of noted batches that are not folded, with ``batch_id`` and ``day``.
+
+        As many batches as lie between two folds; one note for each.
+        """
+        noted = {b: t for b, t in self._noted().items() if (state.upto is None or b > state.upto) and (upto is None or b <= upto)}
+        schema = StructType([*self._rows.fields, StructField("batch_id", LongType())])
+        rows = self._read([f"{self._batches}/batch_id={b}" for b in sorted(noted)], schema, base=self._batches)
+        if noted:
+            written = F.create_map(*[F.lit(x).cast("long") for pair in sorted(noted.items()) for x in pair])
+            rows = rows.withColumn("time_updated", F.coalesce("time_updated", F.timestamp_micros(written[F.col("batch_id")])))
+        return rows.withColumn("day", F.to_date("window_start"))
+
+    @staticmethod
+    def _open(state: Manifest):
+        return F.lit(True) if state.horizon is None else F.col("day") >= F.lit(state.horizon).cast("date")
+
+    def _all_rows(self, state: Manifest) -> DataFrame:
         """What the last fold left, and the batches after it, by batch id."""
-        done = self._folded_upto()
-        paths = list(self._folded_paths(done).values())
-        rows = self._batch_rows(done)
-        if not paths:
-            return rows
-        return rows.unionByName(self._read(paths, self._rows).withColumn("batch_id", F.lit(done).cast("long")))
-
-    def _batch_rows(self, done: int | None) -> DataFrame:
-        batches = self._read(self._batches, StructType([*self._rows.fields, StructField("batch_id", LongType())]))
-        commits = self._read(f"{self.folder}/commits/*", _COMMIT, "json")
-        if done is not None:
-            batches = batches.where(F.col("batch_id") > done)
-        # One row per batch that is not folded yet.
-        noted = batches.join(F.broadcast(commits.groupBy("batch_id").agg(F.min("committed").alias("committed"))), "batch_id", "left")
-        return noted.withColumn("time_updated", F.coalesce("time_updated", "committed")).drop("committed")
+        fresh = self._unfolded(state).where(self._open(state)).drop("day")
+        return self._kept(state, list(state.days)).unionByName(fresh)
+
+    def _kept(self, state: Manifest, days: list[str]) -> DataFrame:
+        folded = self._read([self._folded(state, day) for day in days], self._rows)
+        return folded.withColumn("batch_id", F.lit(-1 if state.upto is None else state.upto).cast("long"))
+
+    def _of_days_rows(self, state: Manifest, days: list[str], upto: int | None = None) -> DataFrame:
+        fresh = self._unfolded(state, upto).where(F.col("day").isin([date.fromisoformat(day) for day in days])).drop("day")
+        return self._kept(state, [day for day in days if day in state.days]).unionByName(fresh)
+
+    def _of_days(self, state: Manifest, days: list[str]) -> DataFrame:
+        return self._merged(self._of_days_rows(state, days))
+
+    def _fresh_days(self) -> list[str]:
+        """Days with rows that are not folded yet."""
+        state = self._state()
+        return sorted(str(row["day"]) for row in self._unfolded(state).where(self._open(state)).select("day").distinct().collect())
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         count = F.max_by("seen_count", "batch_id") if self.totals else F.sum("seen_count")
@@ -176,25 +300,26 @@ class WindowStore:
             count.alias("seen_count"), F.max("time_updated").alias("time_updated")
         )
 
-    def _folded_upto(self) -> int | None:
-        return self._read(f"{self.folder}/ledger", _LEDGER, "json").agg(F.max("upto")).first()[0]
-
-    def _files(self, folder: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        path, files = self._files(folder)
-        return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
-
-    def _delete(self, folder: str) -> None:
-        path, files = self._files(folder)
-        files.delete(path, True)
-
-    def _read(self, path: str | list[str], schema: StructType, source: str = "parquet") -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).format(source).load(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+    def _read(self, paths: list[str], schema: StructType | str, base: str | None = None) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema)
+        return (reader.option("basePath", base) if base else reader).parquet(*paths)
+
+
+def _latency_sketch(windows: DataFrame) -> DataFrame:
+    """``day, side, place, rows`` of how long after their start windows were last updated."""
+    timed = windows.select(F.to_date("window_start").alias("day"), lag_millis(F.col("time_updated"), F.col("window_start")).alias("ms"))
+    return sketch_of(timed, ["day"], "ms")
+
+
+def _shortened(refused: dict[str, list[int]], horizon: str | None) -> dict[str, list[int]]:
+    """Refused counts by day, with all but the last ``REFUSED_DAYS`` days in one sum."""
+    if horizon is None:
+        return refused
+    first = str(date.fromisoformat(horizon) - timedelta(days=REFUSED_DAYS))
+    out: dict[str, list[int]] = {}
+    for day, n in sorted(refused.items()):
+        key = day if day != _EARLIER and day >= first else _EARLIER
+        out[key] = [a + b for a, b in zip(out.get(key, [0, 0]), n)]
+    return out

@@ -49,7 +49,7 @@ def compare(spark, build, sql: str | None, folder: str, connection) -> str | Non
             return f"{left} != {right}"
     types = {
         "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-        "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+        "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE",
     }
     theirs_by_name = dict(zip(relation.columns, map(str, relation.types)))
     odd = {n: (t, theirs_by_name[n]) for n, t in frame.dtypes if types.get(t, t) != theirs_by_name[n]}

@@ -133,8 +133,8 @@ def test_two_hundred_batches_stay_bounded(spark, store, tmp_path):
         })
         (folder / f"batches/batch_id={batch}").mkdir(parents=True)
         pq.write_table(rows, folder / f"batches/batch_id={batch}/part.parquet")
-        (folder / f"commits/batch={batch}").mkdir(parents=True)
-        (folder / f"commits/batch={batch}/part.json").write_text(f'{{"batch_id":{batch},"committed":"2024-02-01T00:00:{batch % 60:02d}.000Z"}}\n')
+        (folder / "commits").mkdir(exist_ok=True)
+        (folder / f"commits/{batch}-{1706745600000000 + batch}").touch()
         if batch and batch % 20 == 0:
             store.fold(batch - 1)
             listed.append(len(list((folder / "batches").iterdir())))
