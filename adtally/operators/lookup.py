@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adtally.operators.hot_keys import KeyTally
 from adtally.session import materialize
 
 #: Largest lookup table that is broadcast: raw bytes plus an allowance per row.
@@ -52,24 +53,23 @@ class Lookup:
         return cls(frame, tuple(keys), rows * (row_bytes + ROW_ALLOWANCE) <= BROADCAST_BYTES)
 
 
-def attach(facts: DataFrame, table: Lookup) -> DataFrame:
+def attach(facts: DataFrame, table: Lookup, tally: KeyTally | None = None) -> DataFrame:
     """Inner join of ``facts`` to ``table``; rows without a match drop out.
 
     A small table is broadcast, so ``facts`` does not move. A large one is
-    joined by shuffle. Keys with over ``HOT_PART`` of all facts, of which there are few,
-    are counted first: their facts are put in ``SALTS`` shares, by a hash of the
-    whole row so that a retried task gives the same one, and only their rows of
-    the table are copied to every share.
+    joined by shuffle, with keys that have over ``HOT_PART`` of all facts, of which there are few,
+    put in ``SALTS`` shares: by a hash of the whole row, so that a retried task gives the same
+    one, and only their rows of the table are copied to every share. Which keys these are is
+    counted first, or known from a ``tally`` of facts seen before. A stream cannot be counted: it
+    goes by its tally, and without one no key is salted.
     """
     keys = list(table.keys)
-    left, right, on = _keyed(facts, table.frame, keys)
     if table.small:
+        left, right, on = _keyed(facts, table.frame, keys)
         return left.join(F.broadcast(right), on, "inner").drop(*on)
-    counted = facts.groupBy(F.xxhash64(*keys).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    counted = materialize(counted, "key-counts")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    # At most 1 / HOT_PART keys.
-    hot = [row["key"] for row in counted.where(F.col("n") > HOT_PART * total).collect()]
+    if tally is None and facts.isStreaming:
+        tally = KeyTally()
+    hot = _counted_hot(facts, keys) if tally is None else tally.hot(HOT_PART)
     is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
     share = F.when(is_hot, F.xxhash64(*facts.columns).bitwiseAND(SALTS - 1)).otherwise(F.lit(0).cast("bigint"))
     shares = F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(
@@ -80,6 +80,14 @@ def attach(facts: DataFrame, table: Lookup) -> DataFrame:
     return left.join(right.hint("merge"), [*on, "_salt"], "inner").drop(*on, "_salt")
 
 
+def _counted_hot(facts: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of at most 1 / ``HOT_PART`` keys."""
+    counted = facts.groupBy(F.xxhash64(*keys).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted, "key-counts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return [row["key"] for row in counted.where(F.col("n") > HOT_PART * total).collect()]
+
+
 def _keyed(facts: DataFrame, table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with join columns that are never NULL where keys are whole numbers.
 

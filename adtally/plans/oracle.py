@@ -201,6 +201,7 @@ SELECT idx, seen, updated FROM s FULL JOIN u USING (idx)""",
     "join_campaign": _JOINED,
     "join_campaign_measured": _JOINED,
     "join_campaign_large_table": _JOINED,
+    "join_campaign_stream": _JOINED,
     "join_campaign_unknown_ads": f"""WITH {_EVENTS} SELECT ad_id, count(*) AS events FROM e
 WHERE event_type = 'view' AND (ad_id IS NULL OR ad_id NOT BETWEEN 0 AND 89) GROUP BY ad_id""",
     "stream_parity_by_day": f"""{_TEN},
@@ -228,6 +229,7 @@ SELECT CAST(day AS VARCHAR) AS day, CAST(any_value(all_n) AS BIGINT) AS windows,
     "campaign_window_count_stream": f"{_TEN} {_COUNTS}",
     "campaign_window_count_json_stream": f"{_TEN} {_COUNTS}",
     "campaign_window_count_watermark": f"{_HOUR} {_COUNTS}",
+    "campaign_window_count_watermark_large_table": f"{_HOUR} {_COUNTS}",
     "late_merge": f"{_HOUR} {_COUNTS}",
     "stream_batch_parity": f"""{_TEN} SELECT count(*) AS windows, CAST(0 AS BIGINT) AS differing,
        CAST(sum(seen_count) AS BIGINT) AS streamed_views, CAST(sum(seen_count) AS BIGINT) AS recounted_views FROM w""",

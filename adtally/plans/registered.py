@@ -39,6 +39,7 @@ from adtally.sources.metric_text import UPDATED_FILE, read_metric_pairs, read_me
 from adtally.sources.results import read_results, read_written_results, write_results
 from adtally.streaming.completeness import parity_by_day, store_completeness, store_differences
 from adtally.streaming.counts import start_bounded_counts, start_campaign_counts
+from adtally.streaming.joins import start_attached
 from adtally.streaming.store import WindowStore
 
 HOURLY = "1 hour"
@@ -450,6 +451,29 @@ def _late_merge_bounded_state(spark: SparkSession, folder: str) -> DataFrame:
     return _counts(store.table())
 
 
+@_query("campaign_window_count_watermark_large_table")
+def _bounded_state_large_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The watermark mode with a campaign table too large to broadcast; it is stopped and started once."""
+    store, campaigns = _store(spark, totals=True), _too_large(numbered_campaigns(spark))
+    replay, files = _shuffled_replay(spark, folder)
+    events = spark.readStream.schema(_REPLAY_SCHEMA).option("maxFilesPerTrigger", max(1, files // 2)).parquet(replay)
+    for _ in range(2):
+        start_bounded_counts(events, campaigns, store, "40 days", HOURLY, trigger_millis=None).awaitTermination()
+    return _counts(store.table())
+
+
+@_query("join_campaign_stream")
+def _join_campaign_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Views joined as they stream in, with a campaign table too large to broadcast."""
+    path, files = fresh_path(spark, "views"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _view_rows(spark, folder).repartition(files).write.parquet(path)
+    views = spark.readStream.schema("event_id long, ad_id long, event_time timestamp")
+    views = views.option("maxFilesPerTrigger", max(1, files // 3)).parquet(path)
+    joined = fresh_path(spark, "joined")
+    start_attached(views, _too_large(numbered_campaigns(spark)), joined, trigger_millis=None).awaitTermination()
+    return _plain(spark.read.parquet(f"{joined}/rows").drop("batch_id"))
+
+
 @_query("stream_batch_parity")
 def _stream_batch_parity(spark: SparkSession, folder: str) -> DataFrame:
     """Day by day fingerprints against one pass over the events."""
