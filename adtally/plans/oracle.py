@@ -246,6 +246,19 @@ SELECT phase, events, round(seconds, 9) AS seconds, target_rate, round(events /
 SELECT phase, count(*) AS windows, CAST(sum(seen_count) AS BIGINT) AS views, round(avg({_lag()}), 6) AS mean_latency_ms,
        max({_lag()}) AS max_latency_ms
 FROM w JOIN phases ON window_start >= start_at AND window_start < end_at GROUP BY phase""",
+    "load_phase_latency_stream": f"""{_HOUR}, {_PHASES}
+SELECT phase, count(*) AS windows, CAST(sum(seen_count) AS BIGINT) AS views, round(avg({_lag()}), 6) AS mean_latency_ms,
+       max({_lag()}) AS max_latency_ms
+FROM w JOIN phases ON window_start >= start_at AND window_start < end_at GROUP BY phase""",
+    "load_phase_rate_hours": f"""WITH {_EVENTS},
+phases AS (
+    SELECT CAST(h AS INTEGER) AS phase, TIMESTAMP '2024-01-01' + to_hours(h) AS start_at, 3600 AS length, {LOAD_RATE} AS target
+    FROM range(744) r(h)
+    UNION ALL SELECT CAST(1000 + d AS INTEGER), TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)), 86400, {REDUCED_LOAD_RATE} FROM range(31) r(d)),
+c AS (SELECT phase, length, target, count(event_time) AS events
+      FROM phases LEFT JOIN e ON event_time >= start_at AND event_time < start_at + to_seconds(length) GROUP BY ALL)
+SELECT phase, events, CAST(length AS DOUBLE) AS seconds, CAST(target AS DOUBLE) AS target_rate, round(events / length, 9) AS observed_rate,
+       round(events / CAST(length AS DOUBLE) / target, 9) AS share_of_target FROM c""",
     "describe_by_group": _DESCRIBE,
     "describe_by_group_large_groups": f"WITH {_KINDS} {_of_kinds(_DESCRIBE)}",
     "variance_by_group": "SELECT event_type, round(var_samp(value), 6) AS variance FROM events GROUP BY event_type",

@@ -7,7 +7,7 @@ rounded, so that results can be set beside those of another engine.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -510,6 +510,26 @@ def _load_phase_latency(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(phase_latency(_lags(spark, folder, HOURLY), PHASES))
 
 
+@_query("load_phase_latency_stream")
+def _load_phase_latency_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Load phases of a run whose windows are in a store, half of them folded."""
+    store = _store(spark)
+    windows = event_windows(_events(spark, folder), numbered_campaigns(spark), HOURLY)
+    for batch in (0, 1):
+        store.upsert(windows.where(F.dayofmonth("window_start") % 2 == batch), batch)
+    store.fold(0)
+    return _plain(phase_latency(settled_latency(store.table()), PHASES, "latency_ms"))
+
+
+@_query("load_phase_rate_hours")
+def _load_phase_rate_hours(spark: SparkSession, folder: str) -> DataFrame:
+    """Each hour of January a phase, and each day one over its hours."""
+    start, hour = datetime(2024, 1, 1), timedelta(hours=1)
+    hours = [Phase(h, start + h * hour, start + (h + 1) * hour, LOAD_RATE) for h in range(31 * 24)]
+    days = [Phase(1000 + d, start + 24 * d * hour, start + 24 * (d + 1) * hour, REDUCED_LOAD_RATE) for d in range(31)]
+    return _plain(phase_rates(_events(spark, folder), hours + days), digits=9)
+
+
 # ---------------------------------------------------------------- summaries and comparisons
 
 

@@ -1,7 +1,9 @@
 """Load phases on small cases."""
 
+import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,40 @@ def test_a_phase_must_have_length(spark):
     with pytest.raises(ValueError):
         phase_rates(events, [Phase(1, T0, T0, 1.0)])
     assert events.select(F.count("event_time")).first()[0] == 1
+
+
+def test_ten_thousand_phases(spark):
+    """Against a search of sorted starts; the plan is as large as with three phases."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 400, 10_000)
+    starts = np.cumsum(lengths + rng.integers(0, 3, 10_000)) - lengths
+    many = [Phase(n, T0 + timedelta(seconds=int(s)), T0 + timedelta(seconds=int(s + e)), 1.0) for n, (s, e) in enumerate(zip(starts, lengths))]
+    times = rng.uniform(-50, starts[-1] + 500, 20_000).round(3)
+    rows = spark.createDataFrame(at(*times.tolist()), "event_time timestamp").cache()
+    rows.count()
+    found = np.searchsorted(starts, times, "right") - 1
+    inside = (found >= 0) & (times < (starts + lengths)[found])
+    want = {n: int(c) for n, c in enumerate(np.bincount(found[inside], minlength=10_000))}
+    assert {r["phase"]: r["events"] for r in phase_rates(rows, many).collect()} == want
+    assert assign_phase(rows, "event_time", many).count() == inside.sum()
+
+    def nodes(plan):
+        return phase_rates(rows, plan)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    def seconds(plan):
+        began = time.perf_counter()
+        phase_rates(rows, plan).collect()
+        return time.perf_counter() - began
+
+    assert nodes(many) == nodes(many[:3])
+    assert min(seconds(many) for _ in range(3)) < 2 * min(seconds(many[:3]) for _ in range(3)) + 0.5
+
+
+def test_phases_on_a_stream(spark, tmp_path):
+    plan = fluctuating_load(T0, RunSettings(phase_seconds=40))
+    spark.createDataFrame(at(-1, 0, 39, 41, 200), "t timestamp").write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("t timestamp").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    query = assign_phase(rows, "t", plan).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    query.start(out).awaitTermination()
+    assert sorted(r.phase for r in spark.read.parquet(out).collect()) == [1, 1, 2]
