@@ -7,17 +7,28 @@ engine's own, so large means do not cancel small spreads.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from adtally.functions.columns import is_number
+from adtally.operators.connected import check_connected
 from adtally.session import materialize
 
-#: The additive model is solved until its residual has shrunk by this factor.
-SOLVED = 1e-13
+#: The additive model is solved until its residual has shrunk by this factor; sums of squares are off by its square.
+SOLVED = 1e-10
 
-#: Shares of the list of groups that pairs are made from.
-PAIR_SHARES = 16
+#: What may be left of the residual, computed anew from the solution; more is an error.
+SOLUTION_ERROR = 1e-8
+
+#: Groups in a block that pairs are made from, and the most tasks that make them.
+PAIR_BLOCK = 128
+PAIR_TASKS = 4_096
+
+
+_SUMS = (
+    "ss_both double, around_few double, around_many double, rss double, n long, cells long, first_levels long, "
+    "second_levels long, ss_first double, ss_second double"
+)
 
 
 def _moments(frame: DataFrame, keys: list[str], y: str) -> DataFrame:
@@ -43,78 +54,78 @@ def anova_two_way(frame: DataFrame, a: str, b: str, y: str) -> DataFrame:
     if not size["a"]:
         raise ValueError("no rows to compare")
     centred = cells.withColumn("mean", F.col("mean") - F.lit(size["mean"]))
-    if size["b"] <= size["a"]:
-        return _terms(_additive_sums(centred, "_a", "_b"), a, b, a, b)
-    return _terms(_additive_sums(centred, "_b", "_a"), b, a, a, b)
+    (many, first), (few, second) = (("_a", a), ("_b", b)) if size["b"] <= size["a"] else (("_b", b), ("_a", a))
+    row = _additive_sums(centred, many, few, size[few[1:]])
+    row |= {"first_levels": size[many[1:]], "second_levels": size[few[1:]]}
+    row |= {"ss_first": row["around_few"] - row["ss_both"], "ss_second": row["around_many"] - row["ss_both"]}
+    return _terms(frame.sparkSession.createDataFrame([row], _SUMS), first, second, a, b)
 
 
-def _additive_sums(cells: DataFrame, many: str, few: str) -> DataFrame:
+def _additive_sums(cells: DataFrame, many: str, few: str, levels: int) -> dict[str, float]:
     """Sums of squares of the additive model, for any numbers of levels.
 
     The effects of ``many`` are eliminated level by level. What is left are normal
-    equations in the effects of ``few``, solved by conjugate gradients: a product with
-    their matrix is two grouped sums over the cells, so no matrix is ever made.
+    equations in the effects of ``few``, solved by conjugate gradients scaled by their diagonal:
+    a product with their matrix is two grouped sums over the cells, so no matrix is ever made. A step
+    writes one table, and the sums it needs are observed while that is written.
     """
-    _connected(cells, many, few)
+    check_connected(cells.select(F.col(many).alias("group"), F.col(few).alias("node")), levels)
     weighted = F.sum(F.col("n") * F.col("value")) / F.sum("n")
-    means = cells.withColumn("value", F.col("mean")).groupBy(many).agg(weighted.alias("level"))
-    right = cells.join(means, many).groupBy(few).agg(F.sum(F.col("n") * (F.col("mean") - F.col("level"))).alias("r"))
-    state = materialize(right.select(few, F.lit(0.0).alias("x"), "r", F.col("r").alias("p")), "effects")
-    left = start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-    turns = state.count() + 20
+    means = cells.groupBy(many).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("level"), F.sum("n").alias("whole"))
+    right = cells.join(means, many).groupBy(few).agg(
+        F.sum(F.col("n") * (F.col("mean") - F.col("level"))).alias("r"),
+        F.greatest(F.sum(F.col("n") - F.col("n") * F.col("n") / F.col("whole")), F.lit(1e-9)).alias("d"),
+    )
+    state, sums = _observed(right.select(few, F.lit(0.0).alias("x"), "r", "d", (F.col("r") / F.col("d")).alias("p")), rz=F.col("r") * F.col("r") / F.col("d"))
+    left = start = sums["rz"]
+    turns = 2 * levels + 20
+
+    def times_matrix(name: str) -> DataFrame:
+        spread = cells.join(state.select(few, F.col(name).alias("value")), few)
+        of_level = spread.groupBy(many).agg(weighted.alias("level"))
+        return spread.join(of_level, many).groupBy(few).agg(F.sum(F.col("n") * (F.col("value") - F.col("level"))).alias("product"))
+
     while start and left > SOLVED**2 * start and turns:
-        spread = cells.join(state.select(few, F.col("p").alias("value")), few)
-        levels = spread.groupBy(many).agg(weighted.alias("level"))
-        product = spread.join(levels, many).groupBy(few).agg(
-            F.sum(F.col("n") * (F.col("value") - F.col("level"))).alias("sp")
-        )
-        step = materialize(state.join(product, few), "effects-step")
-        along = step.agg(F.sum(F.col("p") * F.col("sp"))).first()[0]
-        if not along or along <= 0:
+        step, sums = _observed(state.join(times_matrix("p"), few), along=F.col("p") * F.col("product"))
+        if not sums["along"] or sums["along"] <= 0:
             break
-        rate = left / along
+        rate = left / sums["along"]
         moved = step.select(
-            few, (F.col("x") + rate * F.col("p")).alias("x"), (F.col("r") - rate * F.col("sp")).alias("r"), "p"
+            few, (F.col("x") + rate * F.col("p")).alias("x"), (F.col("r") - rate * F.col("product")).alias("r"), "d", "p"
         )
-        now = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = materialize(moved.select(few, "x", "r", (F.col("r") + (now / left) * F.col("p")).alias("p")), "effects")
+        now = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
+        state = moved.select(few, "x", "r", "d", (F.col("r") / F.col("d") + (now / left) * F.col("p")).alias("p"))
         left, turns = now, turns - 1
-    effects = state.select(few, F.col("x").alias("value"))
+    effects = state.select(few, F.col("x").alias("value"), "d")
     around_few = cells.groupBy(few).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_few"))
     fitted = cells.join(effects, few).join(around_few, few)
     of_many = fitted.groupBy(many).agg(
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_many"), weighted.alias("shift")
     )
     gap = F.col("mean") - F.col("value") - (F.col("mean_many") - F.col("shift"))
-    sums = fitted.join(of_many, many).agg(
+    by_few = fitted.join(of_many, many).groupBy(few, "d").agg(
+        F.sum(F.col("n") * gap).alias("missed"),
         F.sum(F.col("n") * gap * gap).alias("ss_both"),
         F.sum(F.col("n") * (F.col("mean") - F.col("mean_few")) ** 2).alias("around_few"),
         F.sum(F.col("n") * (F.col("mean") - F.col("mean_many")) ** 2).alias("around_many"),
         F.sum("within").alias("rss"),
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("cells"),
-        F.count_distinct(many).alias("first_levels"),
-        F.count_distinct(few).alias("second_levels"),
-    )
-    return sums.select(
-        "*", (F.col("around_few") - F.col("ss_both")).alias("ss_first"), (F.col("around_many") - F.col("ss_both")).alias("ss_second")
     )
+    sums = ("ss_both", "around_few", "around_many", "rss", "n", "cells")
+    row = by_few.agg(*[F.sum(name).alias(name) for name in sums], F.sum(F.col("missed") ** 2 / F.col("d")).alias("missed")).first()
+    # What the solution leaves of the normal equations, computed from the fit itself.
+    if not row["missed"] <= SOLUTION_ERROR**2 * start:
+        raise ArithmeticError(f"the additive model is not solved: a residual of {(row['missed'] / start) ** 0.5:.1e} is left")
+    return row.asDict()
 
 
-def _connected(cells: DataFrame, many: str, few: str) -> None:
-    """An error if levels fall apart into blocks that share no cell."""
-    pairs = cells.select(many, few)
-    names = materialize(pairs.select(few).distinct().withColumn("block", F.col(few)), "blocks")
-    while True:
-        through = pairs.join(names, few).groupBy(many).agg(F.min("block").alias("block"))
-        joined = pairs.join(through, many).groupBy(few).agg(F.min("block").alias("least"))
-        step = materialize(names.join(joined, few), "blocks")
-        state = step.agg(F.count_distinct("least").alias("blocks"), F.count_if(F.col("block") != F.col("least")).alias("moved")).first()
-        if state["blocks"] == 1:
-            return
-        if not state["moved"]:
-            raise ValueError("the design is not connected")
-        names = step.select(few, F.col("least").alias("block"))
+def _observed(frame: DataFrame, **each: Column) -> tuple[DataFrame, dict[str, float]]:
+    """The frame written as a table, with its number of rows and sums over them taken on the way."""
+    seen = Observation()
+    sums = [F.sum(column).alias(name) for name, column in each.items()]
+    written = materialize(frame.observe(seen, *sums), "effects")
+    return written, {name: value or 0.0 for name, value in seen.get.items()}
 
 
 def _terms(sums: DataFrame, first: str, second: str, a: str, b: str) -> DataFrame:
@@ -145,6 +156,25 @@ def _terms(sums: DataFrame, first: str, second: str, a: str, b: str) -> DataFram
     )
 
 
+def _pairs(groups: DataFrame, number: int) -> DataFrame:
+    """Every pair of groups once, as ``one`` and ``two`` in the order of their names.
+
+    Groups are put into blocks by a hash, and each pair of blocks is a cell of a triangular grid, made
+    by one task: a group is sent to as many cells as there are blocks. Their number follows from that of the groups, so tasks
+    are many when pairs are, however few bytes the groups have.
+    """
+    blocks = max(1, -(-number // PAIR_BLOCK))
+    tasks = min(blocks * (blocks + 1) // 2, PAIR_TASKS)
+    placed = groups.select(F.struct("name", "n", "mean").alias("it"), F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int").alias("block"))
+    row = placed.select("it", F.col("block").alias("row"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("column"))
+    column = placed.select("it", F.explode(F.sequence(F.lit(0), "block")).alias("row"), F.col("block").alias("column"))
+    left = row.withColumnRenamed("it", "left").repartition(tasks, "row", "column")
+    right = column.withColumnRenamed("it", "right").repartition(tasks, "row", "column")
+    met = left.join(right, ["row", "column"]).where((F.col("row") < F.col("column")) | (F.col("left.name") < F.col("right.name")))
+    turned = F.col("left.name") > F.col("right.name")
+    return met.select(F.when(turned, F.col("right")).otherwise(F.col("left")).alias("one"), F.when(turned, F.col("left")).otherwise(F.col("right")).alias("two"))
+
+
 def tukey_hsd(frame: DataFrame, group: str, y: str, q_critical: float) -> DataFrame:
     """Every pair of groups compared: mean difference, interval, and whether it is significant.
 
@@ -152,16 +182,9 @@ def tukey_hsd(frame: DataFrame, group: str, y: str, q_critical: float) -> DataFr
     groups, the residual degrees of freedom and the level wanted.
     """
     groups = materialize(_moments(frame, [group], y).withColumnRenamed(group, "name"), "groups")
-    totals = groups.agg((F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum("within").alias("within")).first()
+    totals = groups.agg((F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum("within").alias("within"), F.count(F.lit(1)).alias("groups")).first()
     df = F.lit(totals["df"]).cast("bigint")
-    # Each group is sent once to every share of the groups, so pairs are made by many tasks.
-    one = groups.select(
-        F.struct("name", "n", "mean").alias("one"), F.explode(F.sequence(F.lit(0), F.lit(PAIR_SHARES - 1))).alias("_share")
-    )
-    two = groups.select(
-        F.struct("name", "n", "mean").alias("two"), F.pmod(F.xxhash64("name"), F.lit(PAIR_SHARES)).cast("int").alias("_share")
-    )
-    pairs = one.join(two, "_share").where(F.col("one.name") < F.col("two.name"))
+    pairs = _pairs(groups, totals["groups"] or 0)
     variance = F.lit(totals["within"]) / F.nullif(df, F.lit(0))
     scale = F.sqrt(variance / 2 * (1 / F.col("one.n") + 1 / F.col("two.n")))
     measured = pairs.select(

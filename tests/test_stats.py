@@ -5,8 +5,9 @@ from math import sqrt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from adtally.operators import quantiles
+from adtally.operators import comparisons, connected, quantiles
 from adtally.operators.comparisons import anova_two_way, tukey_hsd
 from adtally.operators.summaries import binned_mean, box_stats, describe_by_group, variance_by_group
 
@@ -221,3 +222,46 @@ def test_tukey_judges_any_sample(spark):
     local = pd.DataFrame({"g": [f"{i:02d}" for i in range(15)] * 4, "y": rng.normal(0, 1, 60)})
     got = tukey_hsd(spark.createDataFrame(local), "g", "y", 5.0).collect()
     assert len(got) == 105 and all(r["reject"] is not None and r["lower"] < r["upper"] for r in got)
+
+
+@pytest.mark.parametrize("order", ["sorted", "shuffled"])
+def test_components_of_a_long_path(spark, order):
+    """A thousand levels in a row, each sharing a group with the next: rounds are few."""
+    names = np.arange(1_000)
+    if order == "shuffled":
+        np.random.default_rng(2).shuffle(names)
+    members = [(g, int(names[n])) for g in range(999) for n in (g, g + 1)]
+    assert connected.count_components(spark.createDataFrame(members, "group long, node long"), 1_000)[0] == 1
+    cut = [(g, n) for g, n in members if g not in (100, 500, 501)]
+    pieces, tables = connected.count_components(spark.createDataFrame(cut, "group long, node long"), len({n for _, n in cut}))
+    # Where 500 and 501 are left out, one level has no group and is no node.
+    assert pieces == 3 and tables <= 40
+
+
+def test_anova_of_a_chain_of_levels(spark):
+    """Twelve levels of which only neighbours meet."""
+    rng = np.random.default_rng(6)
+    local = pd.DataFrame([(f"a{k:02d}", f"b{k + step:02d}", rng.normal() + k) for k in range(12) for step in (0, 1) for _ in range(3)], columns=["a", "b", "y"])
+    got = {r["term"]: r for r in anova_two_way(spark.createDataFrame(local), "a", "b", "y").collect()}
+    want = least_squares_anova(local, "a", "b", "y")
+    for term, sum_sq in want.items():
+        np.testing.assert_allclose(got[term]["sum_sq"], sum_sq, rtol=1e-7, atol=1e-8)
+
+
+def test_unsolved_models_are_an_error(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    local = pd.DataFrame([(f"a{k}", f"b{k + step}", rng.normal()) for k in range(9) for step in (0, 1) for _ in range(2)], columns=["a", "b", "y"])
+    monkeypatch.setattr(comparisons, "SOLVED", 0.5)
+    with pytest.raises(ArithmeticError, match="not solved"):
+        anova_two_way(spark.createDataFrame(local), "a", "b", "y")
+
+
+def test_pairs_of_many_groups(spark):
+    """Each pair once, in the order of names, made by many tasks."""
+    groups = spark.range(700).selectExpr("concat('g', id) AS name", "1L AS n", "id * 1.0 AS mean")
+    pairs = comparisons._pairs(groups, 700)
+    assert pairs.rdd.getNumPartitions() >= 15
+    row = pairs.agg(F.count("*").alias("n"), F.count_distinct("one.name", "two.name").alias("pairs"), F.count_if(F.col("one.name") >= F.col("two.name")).alias("odd")).first()
+    assert tuple(row) == (700 * 699 // 2, 700 * 699 // 2, 0)
+    made = pairs.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+    assert made < 0.5 * 700 * 699 / 2
