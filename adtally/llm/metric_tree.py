@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,11 @@ class Page:
     parent_distances: np.ndarray
     below: list
 
+    def flat_ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a leaf's entries, and for each the place of its entry among ``entries``."""
+        lists = [self.below[entry] for entry in entries]
+        return np.array([name for own in lists for name in own], np.int64), np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+
 
 class TreeBuilder:
     """Loads a tree of pages of at most ``capacity`` entries from all of its rows; page 0 is the root."""
@@ -86,49 +92,81 @@ class TreeBuilder:
         return number
 
 
-def search_tree(pages: list[Page], query: np.ndarray, own: int, to_root: float, radius2: int, k: int,
-                floor: int | None) -> tuple[list[tuple[int, int]], int]:
-    """The k best ``(-score, id)`` of a tree that are not below ``floor``, and the distances computed.
+@dataclass
+class Tops:
+    """The k best rows of each query of a block: scores falling, ties by the smaller id. Empty places have the least score."""
+
+    scores: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def empty(cls, queries: int, k: int) -> Tops:
+        return cls(np.full((queries, k), _NONE), np.full((queries, k), -1))
+
+    def take(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.append(self.scores[query], scores), np.append(self.ids[query], ids)
+        order = np.lexsort((ids, -scores))[: self.ids.shape[1]]
+        self.scores[query], self.ids[query] = scores[order], ids[order]
 
-    ``to_root`` is the query's distance from the root's routing object. Pages are opened in
-    order of the least distance their rows can have; an entry whose stored distance from its
-    parent already rules it out is passed over before its own distance is computed.
-    """
-    size = int(query @ query) + radius2
-    slack = SLACK * math.sqrt(size) + 1e-6
-    found: list[tuple[int, int]] = []
 
-    def reach() -> float:
+#: Below every score: a sum of products of whole components stays within 2 ** 62.
+_NONE = -(1 << 62)
+
+
+def search_block(pages: list[Page], queries: np.ndarray, own: np.ndarray, to_root: np.ndarray, radius2: int, k: int,
+                 floors: np.ndarray) -> tuple[Tops, np.ndarray]:
+    """The k best rows of a tree for each query of a block that are not below its floor, and the distances computed.
+
+    ``to_root`` has the queries' distances from the root's routing object, and a floor of
+    ``_NONE`` is none. Pages are opened in order of the least distance their rows can have from any
+    query; a page is opened for the queries it can still matter to, and an entry whose stored
+    distance from its parent rules it out for all of these is passed over. The rest is one matrix product.
+    """
+    size = (queries * queries).sum(axis=1) + radius2
+    slack = SLACK * np.sqrt(size) + 1e-6
+    tops, computed = Tops.empty(len(queries), k), np.zeros(len(queries), np.int64)
+    # In doubles a product is exact, and fast, as long as no sum can leave 53 bits.
+    exact = float(size.max(initial=0)) < 2**52
+    asked = queries.astype(np.float64) if exact else queries
+
+    def reaches(some: np.ndarray) -> np.ndarray:
         """No row farther than this can be wanted."""
-        score = -found[-1][0] if len(found) >= k else None
-        score = floor if score is None else score if floor is None else max(score, floor)
-        return math.inf if score is None else math.sqrt(max(size - 2 * score, 0)) + slack
+        bar = np.maximum(tops.scores[some, -1], floors[some])
+        return np.where(bar == _NONE, np.inf, np.sqrt(np.maximum(size[some] - 2.0 * bar, 0)) + slack[some])
 
-    queue, computed, limit = [(0.0, 0, to_root)], 0, reach()
+    every = np.arange(len(queries))
+    limits, ticket = reaches(every), 0
+    queue = [(0.0, ticket, 0, every, np.zeros(len(queries)), to_root)]
     while queue:
-        least, number, to_parent = heapq.heappop(queue)
-        if least > limit:
-            break
+        _, _, number, some, least, to_parent = heapq.heappop(queue)
+        open_for = least <= limits[some]
+        if not open_for.any():
+            continue
+        some, to_parent = some[open_for], to_parent[open_for]
         page = pages[number]
-        near = np.flatnonzero(np.abs(to_parent - page.parent_distances) - page.radii <= limit)
-        computed += len(near)
-        scores = page.vectors[near] @ query
+        apart = np.abs(to_parent[:, None] - page.parent_distances) - page.radii
+        near = np.flatnonzero((apart <= limits[some][:, None]).any(axis=0))
+        computed[some] += len(near)
+        vectors = page.vectors[near]
+        scores = asked[some] @ (vectors.astype(np.float64) if exact else vectors).T
         if page.leaf:
-            bar = floor if floor is not None else -math.inf
-            if len(found) >= k:
-                bar = max(bar, -found[-1][0])
-            for at in np.flatnonzero(scores >= bar):
-                found.extend((-int(scores[at]), name) for name in page.below[near[at]] if name != own)
-            found.sort()
-            del found[k:]
-            limit = reach()
+            bars = np.maximum(tops.scores[some, -1], floors[some])
+            ids, entries = page.flat_ids(near)
+            hits = scores[:, entries].astype(np.int64) if exact else scores[:, entries]
+            good = (hits >= bars[:, None]) & (ids != own[some][:, None])
+            for at in np.flatnonzero(good.any(axis=1)):
+                tops.take(some[at], hits[at, good[at]], ids[good[at]])
+            limits[some] = reaches(some)
         else:
-            away = np.sqrt(np.maximum(size - 2 * scores, 0).astype(float))
-            for entry, distance in zip(near.tolist(), away.tolist()):
-                bound = max(distance - page.radii[entry], 0.0)
-                if bound <= limit:
-                    heapq.heappush(queue, (bound, page.below[entry], distance))
-    return found, computed
+            away = np.sqrt(np.maximum(size[some][:, None] - 2.0 * scores, 0))
+            bounds = np.maximum(away - page.radii[near], 0)
+            for column, entry in enumerate(near.tolist()):
+                wanted = np.flatnonzero(bounds[:, column] <= limits[some])
+                if len(wanted):
+                    ticket += 1
+                    own_bounds = bounds[wanted, column]
+                    heapq.heappush(queue, (own_bounds.min(), ticket, page.below[entry], some[wanted], own_bounds, away[wanted, column]))
+    return tops, computed
 
 
 def _integers(column: pa.Array, width: int) -> np.ndarray:
@@ -136,7 +174,7 @@ def _integers(column: pa.Array, width: int) -> np.ndarray:
 
 
 def tree_search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, rows_per_tree: int = 4_096,
-                most_regions: int = 256, page: int = 64, block: int = 32, id_column: str = "vec_id",
+                most_regions: int = 256, page: int = 64, block: int = 256, id_column: str = "vec_id",
                 vector_column: str = "embedding") -> DataFrame:
     """The k rows of ``vectors`` with the highest inner products with each row of ``queries``, exactly.
 
@@ -231,40 +269,48 @@ def tree_search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
                     for region in np.flatnonzero(wanted.any(axis=0)):
                         some = pa.array(np.flatnonzero(wanted[:, region]))
                         own = rest.take(some)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([region], pa.int32()), pa.array([own.column("vec_id").to_pylist()], pa.list_(pa.int64())),
-                             pa.array([own.column("floor").to_pylist()], pa.list_(pa.int64())),
-                             pa.array([q[np.asarray(some)].tobytes()], pa.binary()),
-                             pa.array([away[np.asarray(some), region].tolist()], pa.list_(pa.float64()))],
-                            names=["region", "queries", "floors", "wanted", "away"],
-                        )
+                        names = np.asarray(own.column("vec_id"), "<i8").tobytes()
+                        bars = np.asarray(pc.fill_null(own.column("floor"), _NONE), "<i8").tobytes()
+                        wide, far = q[np.asarray(some)].astype("<i8").tobytes(), away[np.asarray(some), region].astype("<f8").tobytes()
+                        for own_part in range(parts[region]):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([region], pa.int32()), pa.array([own_part], pa.int32()),
+                                 *(pa.array([packed], pa.binary()) for packed in (names, bars, wide, far))],
+                                names=["region", "part", "queries", "floors", "wanted", "away"],
+                            )
 
         return route
 
+    def decoded(stored: list[dict]) -> list[Page]:
+        return [
+            Page(p["leaf"], np.frombuffer(p["vectors"], np.int64).reshape(-1, width), np.array(p["radii"]),
+                 np.array(p["parent_distances"]), p["ids"] if p["leaf"] else p["children"])
+            for p in sorted(stored, key=lambda p: p["page"])
+        ]
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pages = None, []
         for batch in batches:
             for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                pages = [
-                    Page(p["leaf"], np.frombuffer(p["vectors"], np.int64).reshape(-1, width), np.array(p["radii"]),
-                         np.array(p["parent_distances"]), p["ids"] if p["leaf"] else p["children"])
-                    for p in sorted(row["pages"], key=lambda p: p["page"])
-                ]
-                q = np.frombuffer(row["wanted"], np.int64).reshape(-1, width)
-                out: list[tuple[int, int, int]] = []
-                for i, name in enumerate(row["queries"]):
-                    found, _ = search_tree(pages, q[i], name, row["away"][i], radius2, k, row["floors"][i])
-                    out += [(name, other, -score) for score, other in found]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
-                                                     names=["query_id", "vec_id", "score"])
+                key = (batch.column("region")[at].as_py(), batch.column("part")[at].as_py())
+                if key != held:
+                    # Rows come tree by tree: each is decoded once for all its queries.
+                    held, pages = key, decoded(batch.column("pages")[at].as_py())
+                names, bars, q = (np.frombuffer(batch.column(c)[at].as_py(), "<i8") for c in ("queries", "floors", "wanted"))
+                away = np.frombuffer(batch.column("away")[at].as_py(), "<f8")
+                tops, computed = search_block(pages, q.reshape(-1, width), names, away, radius2, k, bars)
+                full = tops.scores != _NONE
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(names, full.sum(axis=1))), pa.array(tops.ids[full]), pa.array(tops.scores[full])],
+                    names=["query_id", "vec_id", "score"],
+                )
 
     def visit(frame: DataFrame, first: bool) -> DataFrame:
         routes = frame.mapInArrow(
-            routed(first), "region int, queries array<long>, floors array<long>, wanted binary, away array<double>"
+            routed(first), "region int, part int, queries binary, floors binary, wanted binary, away binary"
         )
-        # A row of this join is a block of queries beside one tree; the rows are searched one by one.
-        pairs = routes.join(trees, "region").select("queries", "floors", "wanted", "away", "pages")
+        # A row of this join is a block of queries beside one tree.
+        pairs = routes.join(trees, ["region", "part"]).select("region", "part", "queries", "floors", "wanted", "away", "pages")
         return best(pairs.mapInArrow(searched, "query_id long, vec_id long, score long"), k)
 
     home = materialize(visit(asked.withColumn("floor", F.lit(None).cast("long")), True), "metric-tree-home")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from adtally.llm.metric_tree import Page, TreeBuilder, search_tree, tree_search
+from adtally.llm.metric_tree import _NONE, Page, TreeBuilder, search_block, tree_search
 from adtally.llm.multi_index import search, traverse
 from adtally.llm.registered import QUERIES, table
 
@@ -57,10 +57,31 @@ def test_bounds_save_distance_computations():
     assert all(isinstance(p, Page) and len(p.vectors) <= 16 for p in tree.pages)
     q = x[int((x * x).sum(axis=1).argmax())]
     away = float(np.sqrt(max(q @ q + radius2 - 2 * (q @ x[0]), 0)))
-    found, computed = search_tree(tree.pages, q, -1, away, radius2, 5, None)
+    found, computed = search_block(tree.pages, q[None], np.array([-1]), np.array([away]), radius2, 5, np.array([_NONE]))
     s = x @ q
-    assert [-score for score, _ in found] == sorted(s.tolist(), reverse=True)[:5]
-    assert computed < 600
+    assert found.scores[0].tolist() == sorted(s.tolist(), reverse=True)[:5]
+    assert computed[0] < 600
+
+
+@pytest.mark.parametrize("scale", [30, 3_000_000, 30_000_000])
+def test_a_block_of_queries_finds_what_each_would(scale):
+    """Ties, ids in several entries, floors, and sums too large for doubles."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-scale, scale, (700, 8))
+    x[200:260] = x[200] * np.array([1] * 7 + [-1])
+    radius2 = int((x * x).sum(axis=1).max())
+    ids = [[3 * i, 3 * i + 1] if i % 5 == 0 else [3 * i] for i in range(700)]
+    tree = TreeBuilder(x, ids, radius2, 16)
+    tree.add(np.arange(700), x[0], float(tree.height[0]))
+    q, own = x[::23], np.arange(0, 700, 23) * 3
+    away = np.sqrt(np.maximum((q * q).sum(axis=1) + radius2 - 2.0 * (q @ x[0]), 0))
+    floors = np.where(np.arange(len(q)) % 3 == 0, _NONE, np.sort(q @ x.T, axis=1)[:, -4])
+    tops, _ = search_block(tree.pages, q, own, away, radius2, 6, floors)
+    for i, query in enumerate(q):
+        every = [(-int(query @ x[r]), name) for r in range(700) for name in ids[r] if name != own[i] and query @ x[r] >= floors[i]]
+        want = sorted(every)[:6]
+        kept = tops.scores[i] != _NONE
+        assert list(zip((-tops.scores[i][kept]).tolist(), tops.ids[i][kept].tolist())) == want
 
 
 def test_all_cells_give_the_exact_answer(vectors):
