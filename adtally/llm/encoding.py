@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -161,6 +163,18 @@ class PieceEncoder:
             at = stop
 
 
+def kept_encoder(vocabulary: str, end_id: int) -> PieceEncoder:
+    """The encoder of this Python worker, which the tasks it runs one after another share.
+
+    What travels with a job is unpacked for every task, so the encoder is kept where all of them
+    find it: beside the modules. One is kept; its pieces are bounded by itself.
+    """
+    kept = sys.modules.setdefault("adtally_kept_encoder", types.ModuleType("adtally_kept_encoder")).__dict__
+    if kept.get("made_for") != (vocabulary, end_id):
+        kept["encoder"], kept["made_for"] = PieceEncoder(vocabulary, end_id), (vocabulary, end_id)
+    return kept["encoder"]
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.encoding import PieceEncoder
+from adtally.llm.encoding import kept_encoder
 
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, "
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, tokens: int = 2048, segm
     )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = PieceEncoder(vocabulary, end_id), Bins(tokens, segments, loss, least_piece)
+        encoder, bins = kept_encoder(vocabulary, end_id), Bins(tokens, segments, loss, least_piece)
         sequence, out = TaskContext.get().partitionId() << 40, []
 
         def close(placed) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adtally.llm.encoding import PieceEncoder
+from adtally.llm.encoding import kept_encoder
 
 TOKEN_SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 
@@ -30,7 +30,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_column: s
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, done = PieceEncoder(vocabulary, end_id), TaskContext.get().partitionId(), 0
+        encoder, shard, done = kept_encoder(vocabulary, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at, ids, counts in encoder.encode(batch.column("text")):
                 ends = np.cumsum(counts)
