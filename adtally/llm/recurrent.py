@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adtally.llm.features import id_remainder
+from adtally.llm.prefix_crc import slices
 from adtally.session import materialize
 
 #: Place of the end mark and of all words outside the model's list.
 END, OTHER = 0, 1
+#: Text that is coded at a time: whole texts, however many or long.
+SLICE_BYTES = 8 << 20
 NAMES = ("embed", "w", "b", "u", "uh", "vc", "ac", "vw", "aw")
 
 
@@ -164,7 +167,9 @@ class Gru:
         g["w"], g["b"] = p["embed"][words].T @ rows, rows.sum(axis=0)
         g["u"] = np.concatenate([k[3] for k in trace]).T @ rows[:, : 2 * n]
         g["uh"] = np.concatenate([k[4] for k in trace]).T @ rows[:, 2 * n :]
-        np.add.at(g["embed"], words, rows @ p["w"].T)
+        order = np.argsort(words, kind="stable")
+        firsts = np.flatnonzero(np.append(True, np.diff(words[order]) != 0))
+        g["embed"][words[order][firsts]] = np.add.reduceat((rows @ p["w"].T)[order], firsts)
         return g, h, -float((log * mask).sum())
 
 
@@ -206,7 +211,7 @@ def windows_of(texts: list[np.ndarray], streams: int, length: int) -> Iterator[t
         yield inputs, targets, real, fresh
 
 
-def train_texts(model: Gru, texts: Iterator[np.ndarray], length: int, streams: int, rate: float, steps: int = 256) -> int:
+def train_texts(model: Gru, texts: Iterator[np.ndarray], length: int, streams: int, rate: float, steps: int = 128) -> int:
     """Adam steps over every token of whole texts, and their number.
 
     The state goes on from window to window, the backward pass ends within one. Some texts at a
@@ -334,7 +339,7 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidden: int, window: int, streams: int,
-                  rate: float, rounds: int) -> Gru:
+                  rate: float, rounds: int, steps: int = 128, fall: float = 0.5) -> Gru:
     """Train on every training text whole, once, in rounds of parallel workers whose weights are averaged.
 
     A hash of the id parts the texts by rounds. In each round every part of the table is a
@@ -343,7 +348,8 @@ def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidde
     are taken in two steps, so the driver gets about the square root of the workers' number.
     """
     model, seen = Gru(vocabulary, embed, hidden), 0
-    workers = max(1, vocabulary.tokens // (rounds << 16))
+    # Enough tokens for each that its windows are as wide as they may be.
+    workers = max(1, vocabulary.tokens // (rounds * streams * window * steps))
     turn = F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(rounds))
 
     def worked(number: int):
@@ -354,10 +360,10 @@ def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidde
             texts = (
                 text.astype(np.int32)
                 for batch in batches
-                for at in range(0, batch.num_rows, 1_024)
-                for text in coder.code(batch.column("_text").slice(at, 1_024))[0]
+                for _, part in slices(batch.column("_text"), SLICE_BYTES)
+                for text in coder.code(part)[0]
             )
-            n = train_texts(mine, texts, window, streams, rate * 0.7**number)
+            n = train_texts(mine, texts, window, streams, rate * fall**number, steps)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed(mine)], pa.binary())], names=["n", "weights"])
 
@@ -375,8 +381,8 @@ def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidde
 
 
 def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed: int = 4_096, known: int = 1 << 16,
-                    embed: int = 16, hidden: int = 24, window: int = 32, streams: int = 128, rate: float = 0.015,
-                    rounds: int = 4, id_column: str = "doc_id",
+                    embed: int = 16, hidden: int = 24, window: int = 64, streams: int = 128, rate: float = 0.03,
+                    rounds: int = 2, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """Whole-document log10 probabilities of each row under the recurrent model, and under word counts alone.
 
@@ -402,10 +408,10 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = pc.ascii_lower(pc.fill_null(batch.column("_text"), ""))
-            for at in range(0, len(column), 2_048):
-                found = pc.ascii_split_whitespace(column.slice(at, 2_048)).flatten()
+            for _, part in slices(column, SLICE_BYTES):
+                found = pc.ascii_split_whitespace(part).flatten()
                 pairs = found.filter(pc.not_equal(found, "")).value_counts()
-                ends = len(column.slice(at, 2_048))
+                ends = len(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.concat_arrays([pairs.field("values"), pa.array([None], pa.string())]),
                      pa.concat_arrays([pairs.field("counts"), pa.array([ends], pa.int64())])],
@@ -428,8 +434,7 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
         coder, own_model = Coder(vocabulary), unpacked(Gru(vocabulary, embed, hidden), weights)
         for batch in batches:
             column = batch.column("_text")
-            for at in range(0, batch.num_rows, 4_096):
-                part = column.slice(at, 4_096)
+            for at, part in slices(column, SLICE_BYTES):
                 numbers, words, codes, texts_of = coder.code(part)
                 size = len(part)
                 counts_of = np.array([often.get(w, 0) for w in words], float)
