@@ -158,7 +158,7 @@ class Sample:
         return self.features[self.starts[at] : self.starts[at + 1]]
 
     def row_numbers(self) -> np.ndarray:
-        return np.repeat(np.arange(self.rows), np.diff(self.starts))
+        return np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(self.starts))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features: dict, rows: int,
@@ -205,6 +205,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features: di
     return Sample(
         np.asarray(sent.column("_label"), np.int64),
         np.append(0, np.cumsum(counts)),
-        np.asarray(found.flatten(), np.int64),
+        np.asarray(found.flatten(), np.int32),
         np.asarray(sent.column("_order"), np.int64) % 5,
     )

@@ -52,59 +52,74 @@ def telling_words(sample: Sample, labels: np.ndarray, rows: np.ndarray, least_su
     and what is there by chance is left to the penalty.
     """
     least_surety = min(least_surety, 7 + (labels[rows] == 1).sum() / 50)
-    among = np.isin(sample.row_numbers(), rows)
-    marked, found = labels[sample.row_numbers()[among]] == 1, sample.features[among]
     size = 1 << FEATURES["bits"]
-    inside, outside = np.bincount(found[marked], minlength=size), np.bincount(found[~marked], minlength=size)
+    inside, outside = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for row in rows:
+        # A row has a feature once.
+        (inside if labels[row] == 1 else outside)[sample.row(row)] += 1
     known = np.flatnonzero(inside + outside)
     n, m = max(1, (labels[rows] == 1).sum()), max(1, (labels[rows] == 0).sum())
-    counts = np.stack([inside[known], n - inside[known], outside[known], m - outside[known]]).astype(float)
-    share = (counts[0] + counts[2]) / (n + m)
-    expected = np.stack([n * share, n * (1 - share), m * share, m * (1 - share)])
-    surety = 2 * (counts * np.log(np.maximum(counts, 1e-12) / np.maximum(expected, 1e-12))).sum(axis=0)
+    surety = np.zeros(len(known))
+    for at in range(0, len(known), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        i, o = inside[known[part]].astype(float), outside[known[part]].astype(float)
+        counts, share = np.stack([i, n - i, o, m - o]), (i + o) / (n + m)
+        expected = np.stack([n * share, n * (1 - share), m * share, m * (1 - share)])
+        surety[part] = 2 * (counts * np.log(np.maximum(counts, 1e-12) / np.maximum(expected, 1e-12))).sum(axis=0)
     best = known[np.lexsort((known, -surety))][: min(most, int((surety >= least_surety).sum()))]
     return np.sort(best)
 
 
-def _table(sample: Sample, rows: np.ndarray, known: np.ndarray) -> np.ndarray:
-    place = np.full(1 << FEATURES["bits"], -1, np.int64)
-    place[known] = np.arange(len(known))
-    table = np.zeros((len(rows), len(known)), np.float32)
-    for at, row in enumerate(rows):
-        places = place[sample.row(row)]
-        table[at, places[places >= 0]] = 1
-    return table
-
-
-def _fit_link(x: np.ndarray, labels: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+@dataclass
+class Entries:
+    """What is not 0 of a matrix: most words are in few rows."""
+
+    rows: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, sample: Sample, chosen: np.ndarray, known: np.ndarray, earlier: np.ndarray) -> Entries:
+        """Known words' presence in the chosen rows, and the earlier links' columns beside it."""
+        place = np.full(1 << FEATURES["bits"], -1, np.int32)
+        place[known] = np.arange(len(known), dtype=np.int32)
+        each = [np.sort(found[found >= 0]) for found in (place[sample.row(row)] for row in chosen)]
+        width, depth = len(known), earlier.shape[1]
+        rows = np.repeat(np.arange(len(chosen)), [len(x) for x in each])
+        words = np.concatenate([*each, np.zeros(0, np.int32)]).astype(np.int64)
+        beside = np.repeat(np.arange(len(chosen)), depth)
+        return cls(
+            np.concatenate([rows, beside]), np.concatenate([words, np.tile(np.arange(width, width + depth), len(chosen))]),
+            np.concatenate([np.ones(len(words)), earlier[chosen].ravel() / 10]), (len(chosen), width + depth),
+        )
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.values * v[self.places], self.shape[0])
+
+    def turned(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.places, self.values * u[self.rows], self.shape[1])
+
+
+def _fit_link(x: Entries, labels: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights of least penalised logistic loss, by accelerated gradient steps; classes weigh alike."""
     n, width = x.shape
-    # Most words are in few rows: sums over what is there.
-    rows, places = np.nonzero(x)
-    values = x[rows, places].astype(float)
-
-    def times(v: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, values * v[places], n)
-
-    def turned(u: np.ndarray) -> np.ndarray:
-        return np.bincount(places, values * u[rows], width)
-
     share = np.where(labels == 1, (labels == 1).mean(), (labels == 0).mean())
     each = 0.5 / share / n
     # The greatest curvature, from a few rounds of the power method.
     v = np.ones(width + 1)
     top = 1.0
     for _ in range(20):
-        xv = times(v[:-1]) + v[-1]
-        u = np.append(turned(each * xv), (each * xv).sum()) / 4
+        xv = x.times(v[:-1]) + v[-1]
+        u = np.append(x.turned(each * xv), (each * xv).sum()) / 4
         top = np.linalg.norm(u) / max(np.linalg.norm(v), 1e-12)
         v = u / max(np.linalg.norm(u), 1e-12)
     rate = 1 / (1.1 * top + penalty)
     w, last = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(steps):
         ahead = w + t / (t + 3) * (w - last)
-        error = each * (_logistic(times(ahead[:-1]) + ahead[-1]) - labels)
-        gradient = np.append(turned(error) + penalty * ahead[:-1], error.sum())
+        error = each * (_logistic(x.times(ahead[:-1]) + ahead[-1]) - labels)
+        gradient = np.append(x.turned(error) + penalty * ahead[:-1], error.sum())
         w, last = ahead - rate * gradient, w
     return w[:-1], float(w[-1])
 
@@ -134,24 +149,22 @@ def fit_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", degrees:
 
         def fitted(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
             known = telling_words(sample, target, chosen, least_surety, words)
-            x = np.column_stack([_table(sample, chosen, known), earlier[chosen] / 10])
-            return known, *_fit_link(x, target[chosen], penalty, steps)
+            return known, *_fit_link(Entries.of(sample, chosen, known, earlier), target[chosen], penalty, steps)
 
         outside = np.zeros(sample.rows)
         for fold in range(FOLDS):
             own, rest = every[folds == fold], every[folds != fold]
             if len(own) and np.bincount(target[rest], minlength=2).min():
                 known, weights, offset = fitted(rest)
-                x = np.column_stack([_table(sample, own, known), earlier[own] / 10])
-                outside[own] = _log_odds(_logistic(x @ weights + offset))
+                outside[own] = _log_odds(_logistic(Entries.of(sample, own, known, earlier).times(weights) + offset))
         known, weights, offset = fitted(every)
         links.append(Link(known, weights[: len(known)], weights[len(known) :] / 10, offset))
         # The next category: rows of this one with at least the median number of its marker words.
         marks = np.zeros(1 << FEATURES["bits"], bool)
-        table = _table(sample, every, known)
-        shares = (table[target == 1].mean(axis=0), table[target == 0].mean(axis=0))
+        found = Entries.of(sample, every, known, np.zeros((sample.rows, 0)))
+        shares = [np.bincount(found.places[target[found.rows] == kind], minlength=len(known)) / (target == kind).sum() for kind in (1, 0)]
         marks[known[(shares[0] > 4 * shares[1]) & (weights[: len(known)] > 0)]] = True
-        hits = np.bincount(sample.row_numbers(), marks[sample.features], sample.rows)
+        hits = np.array([marks[sample.row(row)].sum() for row in every])
         earlier = np.column_stack([earlier, outside])
         target = ((target == 1) & (hits > np.median(hits[target == 1]))).astype(np.int64)
     return Chain([label, *degrees], links)
