@@ -243,6 +243,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3
           text_column: str = "text", source_column: str = "source", keep: bool = True) -> DataFrame:
     """All rows of ``docs`` with ``_size, _source_size, _target, _point`` and ``_shards``, one shard per time taken.
 
+    These five come last; where ``docs`` has such a name, the added one gets one more underscore.
+
     Whole documents are taken: each as often as its source is taken whole, and some once more,
     so that a source's words come near its target; none more than ``most`` times. The draws of
     a source's blocks are dealt to 2^``depth`` shards by ``shard_quotas``. A document without
@@ -250,32 +252,42 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3
     rows with one id are decided alike. An empty table gives no rows. Reruns with one seed
     agree. ``keep`` keeps all of the columns of ``docs``, else only the id.
     """
-    rows = docs.withColumns({
-        "_size": word_count(text_column), "_point": point(id_column, seed), "_source": F.col(source_column).cast("string"),
-    })
-    sizes = materialize(rows.select(F.col(id_column).alias("_id"), F.col("_source").alias("source"),
-                                    F.col("_size").alias("size"), F.col("_point").alias("point")), "mix-sizes")
+    own = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep else [id_column])])
+    rows = docs.select(
+        own.alias("own"), F.col(f"`{id_column}`").alias("_id"), F.col(f"`{source_column}`").cast("string").alias("source"),
+        word_count(text_column).alias("size"), point(id_column, seed).alias("point"),
+    )
+    sizes = materialize(rows if not keep else rows.drop("own"), "mix-sizes")
     plan = materialize(source_plan(sizes, source_targets(sizes, weights, most), block_words, most_blocks, rounds), "mix-plan")
     shards = materialize(block_shards(plan, depth, seed), "mix-shards")
     decisions = plan.select(
         F.col("source").alias("_name"), "place", "source_size", "target", "passes", "blocks", "edge", "cuts", "gaps"
     )
-    base = rows if keep else sizes.select(F.col("_id").alias(id_column), F.col("source").alias("_source"),
-                                          F.col("size").alias("_size"), F.col("point").alias("_point"))
-    own = [F.col(c) for c in (docs.columns if keep else [id_column])]
-    inner = base.select(F.struct(*own).alias("own"), F.col("_source"), F.col("_size").alias("size"), F.col("_point").alias("point"))
+    inner = (rows if keep else sizes).select("own", F.col("source").alias("_source"), "size", "point")
     joined = inner.join(decisions, inner["_source"].eqNullSafe(decisions["_name"])).withColumn("block", _block())
     dealt = joined.join(shards, ["place", "block"], "left")
     copies = F.col("passes") + once_more(rounds).cast("long")
-    return dealt.select(
-        "own.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-        F.col("point").alias("_point"),
-        F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), copies.cast("int")).alias("_shards"),
-    )
+    taken = F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), copies.cast("int"))
+    added = {"_size": F.col("size"), "_source_size": F.col("source_size"), "_target": F.col("target"), "_point": F.col("point"), "_shards": taken}
+    names = _apart(list(added), docs.columns if keep else [id_column])
+    return dealt.select("own.*", *[column.alias(name) for name, column in zip(names, added.values())])
+
+
+def _apart(names: list[str], others: list[str]) -> list[str]:
+    """The names, each with as many more underscores in front as it takes to differ from the others."""
+    taken = {name.lower() for name in others}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def shuffled_shards(rows: DataFrame, columns: list[str], seed: int = 1) -> DataFrame:
     """The mix itself: every row of ``mixed`` as often as it is taken, shard by shard and shuffled in each."""
-    drawn = rows.select("*", F.posexplode("_shards").alias("_copy", "_shard"))
-    drawn = drawn.withColumn("_turn", F.xxhash64(F.lit(seed), F.col("_point"), F.col("_copy")))
-    return drawn.repartition("_shard").sortWithinPartitions("_shard", "_turn").select(*columns)
+    point_name, shards_name = rows.columns[-2:]
+    own = F.struct(*[F.col(f"`{c}`") for c in columns])
+    drawn = rows.select(own.alias("own"), F.col(point_name).alias("point"), F.posexplode(shards_name).alias("copy", "shard"))
+    drawn = drawn.withColumn("turn", F.xxhash64(F.lit(seed), F.col("point"), F.col("copy")))
+    return drawn.repartition("shard").sortWithinPartitions("shard", "turn").select("own.*")

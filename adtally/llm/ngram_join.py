@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adtally.llm.components import join_components
+from adtally.llm.shuffles import dropping_shuffles
 from adtally.session import discard, materialize
 
 #: Ids sent to every task at most: 24 bytes each, so about 50 MB.
@@ -162,6 +163,7 @@ def _near_enough(i: str, j: str, m: str, n: str, parts: tuple[int, int]):
     return (under + over) * rest >= over * (F.col(m) + F.col(n))
 
 
+@dropping_shuffles
 def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (4, 5), share: float = 1 / 8,
                        stars: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``_id, n_shingles, component_id`` per row of ``docs``; rows link when similar to ``parts`` or more.
@@ -172,7 +174,6 @@ def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] =
     with a null id is linked with nothing and has a null component.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     over, under = parts
     texts = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
     common = common_ngrams(texts, words, share, 4, 1 << 20)

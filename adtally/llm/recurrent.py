@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from adtally.llm.features import id_remainder
 from adtally.llm.prefix_crc import slices
+from adtally.llm.shuffles import dropping_shuffles
 from adtally.session import materialize
 
 #: Place of the end mark and of all words outside the model's list.
@@ -380,6 +381,7 @@ def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidde
     return model
 
 
+@dropping_shuffles
 def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed: int = 4_096, known: int = 1 << 16,
                     embed: int = 16, hidden: int = 24, window: int = 64, streams: int = 128, rate: float = 0.03,
                     rounds: int = 2, id_column: str = "doc_id",
@@ -397,7 +399,6 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
     text. Repeated rows are scored each. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     modulus, kept_back = held_out
     texts = docs.select(
         F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"),

@@ -61,7 +61,7 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixed(table(spark, folder, "documents"), keep=False)
     return rows.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_size") * F.size("_shards")).alias("taken"),
+        (F.col("_size") * F.size("_shards")).alias("taken"), F.col("_shards").alias("shards"),
     )
 
 

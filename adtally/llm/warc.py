@@ -77,7 +77,7 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip", roll_by
     """Write ``archive_records`` rows as archive files of about ``roll_bytes`` into a new folder."""
     use_warc(records.sparkSession)
     options = {"compression": compression, "rollBytes": roll_bytes, "date": date}
-    records.write.format("warc").mode("append").options(**options).save(path)
+    records.write.format("warc").mode("append").options(**options).save(qualified(records.sparkSession, path))
 
 
 def read_warc(spark: SparkSession, path: str, columns: str = RECORD_SCHEMA, verify: bool = False) -> DataFrame:
@@ -88,7 +88,14 @@ def read_warc(spark: SparkSession, path: str, columns: str = RECORD_SCHEMA, veri
     (equality, a list, a prefix, not null) are answered from the headers before a payload is.
     """
     use_warc(spark)
-    return spark.read.format("warc").schema(columns).option("verify", str(verify).lower()).load(path)
+    return spark.read.format("warc").schema(columns).option("verify", str(verify).lower()).load(qualified(spark, path))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: one without a scheme is on the cluster's own, which tasks cannot look up."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
 
 
 class WarcSource(DataSource):

@@ -96,3 +96,16 @@ def test_nothing_to_mix(spark):
 def test_no_python_in_the_plan(spark, small):
     plan = QUERIES["op3_mixing"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_of_the_operators_own_names(spark):
+    rows = [(n, "word " * (n % 9), "ab"[n % 2], n, f"s{n}", -n, n, n, n) for n in range(60)]
+    names = "doc_id long, text string, source string, _size long, _source string, _shards long, own long, point long, copy long"
+    frame = spark.createDataFrame(rows, names)
+    got = mixed(frame)
+    assert got.columns == [*frame.columns, "__size", "_source_size", "_target", "_point", "__shards"]
+    assert sorted(got.select(*frame.columns).collect()) == sorted(frame.collect())
+    assert {r["__size"] for r in got.collect()} == set(range(9))
+    out = shuffled_shards(got, frame.columns)
+    assert out.columns == frame.columns and set(out.collect()) <= set(frame.collect())
+    assert mixed(frame, keep=False).columns == ["doc_id", "_size", "_source_size", "_target", "_point", "_shards"]
