@@ -31,9 +31,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of similar ones, once; rows with a null id all stay."""
     names = similar_components(docs).where("_id = component_id").select("_id").distinct()
-    kept = docs.join(names, docs["doc_id"] == names["_id"], "left_semi")
-    kept = kept.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(own.alias("own"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = rows.join(names, rows["id"] == names["_id"], "left_semi").dropDuplicates(["id", "hash"])
+    return kept.select("own.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
