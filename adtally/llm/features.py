@@ -40,7 +40,7 @@ class TextFeatures:
     """
 
     def __init__(self, bits: int = 22, bigrams: bool = True, shapes: bool = True, bare: bool = False,
-                 stems: tuple[int, ...] = (), held: int = 400_000) -> None:
+                 stems: tuple[int, ...] = (), held: int = 200_000) -> None:
         self.bits, self.bigrams, self.shapes, self.bare, self._held = bits, bigrams, shapes, bare, held
         self.stems = stems
         self._kinds = _Shapes()
@@ -127,7 +127,7 @@ class TextFeatures:
             pairs += [both, twice] if keep is None else [both[keep[both & size]], twice[keep[twice & size]]]
         return pairs
 
-    def slices(self, texts: pa.Array, slice_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+    def slices(self, texts: pa.Array, slice_bytes: int = 1 << 20) -> Iterator[pa.Array]:
         sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
         at = 0
         while at < len(texts):
