@@ -45,6 +45,8 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 _STOPS = (".", ",")
 _END = 0
+# A blank, letters, a stop: most pieces. Letters whose lower case is one letter, too.
+_PLAIN = f"^ ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[{''.join(_STOPS)}]?$"
 
 
 class _Numbers(dict):
@@ -60,11 +62,36 @@ class _Numbers(dict):
         return number
 
 
+class _Runs:
+    """Runs of ids by number, in one array that grows."""
+
+    def __init__(self) -> None:
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.known = 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        used, known = self.used + len(ids), self.known + len(lengths)
+        self.flat, self.starts, self.lengths = _room(self.flat, used), _room(self.starts, known), _room(self.lengths, known)
+        self.flat[self.used : used] = ids
+        self.lengths[self.known : known] = lengths
+        self.starts[self.known : known] = self.used + np.cumsum(lengths) - lengths
+        self.used, self.known = used, known
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs' ids one after another, and where each run ends."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        steps = np.arange(ends[-1]) if len(ends) else np.zeros(0, np.int64)
+        return self.flat[np.repeat(self.starts[numbers] - ends + lengths, lengths) + steps], ends
+
+
 class PieceEncoder:
     """Encodes texts by a byte-level vocabulary file, each text followed by ``end_id``.
 
-    About ``held`` pieces are remembered at most. A vocabulary either has tokens for white
-    space or drops it; one that drops it also lower-cases.
+    About ``held`` pieces are remembered at most, and as many parts of pieces: the same words
+    come with and without a stop. A vocabulary either has tokens for white space or drops it;
+    one that drops it also lower-cases.
     """
 
     def __init__(self, vocabulary: str, end_id: int, held: int = 400_000) -> None:
@@ -75,50 +102,70 @@ class PieceEncoder:
         self._model = self._tokenizer.model
         self._keeps_space = bool(self._tokenizer.encode(" ", add_special_tokens=False).ids)
         self._end_id, self._held = end_id, held
-        self._forget()
-
-    def _forget(self) -> None:
-        self._numbers = _Numbers()
-        self._tokens: dict[str, bytes] = {}
-        self._flat = np.zeros(1 << 16, np.uint32)
-        self._flat[0], self._used = self._end_id, 1
-        self._starts = np.zeros(1 << 14, np.int64)
-        self._lengths = np.zeros(1 << 14, np.int64)
-        self._lengths[0], self._known = 1, 1
+        self._forget_pieces()
+        self._forget_parts()
+
+    def _forget_pieces(self) -> None:
+        self._numbers, self._pieces = _Numbers(), _Runs()
         self._numbers[None] = _END
+        self._pieces.add(np.array([self._end_id], np.uint32), np.ones(1, np.int64))
 
-    def _token_ids(self, part: str) -> bytes:
-        ids = self._tokens.get(part)
-        if ids is None:
-            letters = part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = self._tokens[part] = _packed([token.id for token in self._model.tokenize(letters)])
-        return ids
+    def _forget_parts(self) -> None:
+        self._part_numbers, self._parts = _Numbers(), _Runs()
 
-    def _piece(self, text: str) -> bytes:
+    def _split(self, text: str) -> list:
+        """A piece's parts; a tuple stands for a text that the library takes whole."""
         if _BEYOND.search(text):
-            return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+            return [(text,)]
         if not self._keeps_space:
             text = text.lower()
         core = text[1:] if self._keeps_space and text[:1] == " " else text
         if core.isalpha():
-            return self._token_ids(text)
-        if core[-1:] in _STOPS and core[:-1].isalpha():
-            return self._token_ids(text[:-1]) + self._token_ids(text[-1])
-        return b"".join(map(self._token_ids, (_SPACED if self._keeps_space else _BARE).findall(text)))
+            return [text]
+        return (_SPACED if self._keeps_space else _BARE).findall(text)
+
+    def _part_ids(self, part: str | tuple[str]) -> list[int]:
+        if isinstance(part, tuple):
+            return self._tokenizer.encode(part[0], add_special_tokens=False).ids
+        return [token.id for token in self._model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+
+    def _numbered(self, parts: list) -> np.ndarray:
+        numbers = np.fromiter(map(self._part_numbers.__getitem__, parts), np.int64, len(parts))
+        if self._part_numbers.new:
+            ids, ends = array("I"), array("q", [0])
+            for part in self._part_numbers.new:
+                ids.extend(self._part_ids(part))
+                ends.append(len(ids))
+            self._part_numbers.new.clear()
+            self._parts.add(np.frombuffer(ids, np.uint32), np.diff(np.frombuffer(ends, np.int64)))
+        return numbers
 
     def _learn(self) -> None:
-        parts = [self._piece(piece) for piece in self._numbers.new]
+        """Ids of pieces seen for the first time: plain ones by columns, the others one by one."""
+        new = pa.array(self._numbers.new, pa.string())
         self._numbers.new.clear()
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids = np.frombuffer(b"".join(parts), np.uint32)
-        self._flat = _room(self._flat, self._used + len(ids))
-        self._starts = _room(self._starts, self._known + len(parts))
-        self._lengths = _room(self._lengths, self._known + len(parts))
-        self._flat[self._used : self._used + len(ids)] = ids
-        self._lengths[self._known : self._known + len(parts)] = lengths
-        self._starts[self._known : self._known + len(parts)] = self._used + np.cumsum(lengths) - lengths
-        self._used += len(ids)
-        self._known += len(parts)
+        if len(self._part_numbers) > self._held:
+            self._forget_parts()
+        stops = self._numbered([*_STOPS])
+        plain = pc.match_substring_regex(new, _PLAIN)
+        words, others = new.filter(plain), list(map(self._split, new.filter(pc.invert(plain)).to_pylist()))
+        stop = np.full(len(words), -1)
+        for number, mark in zip(stops, _STOPS):
+            stop[pc.ends_with(words, mark).to_numpy(zero_copy_only=False)] = number
+        words = pc.ascii_rtrim(words, "".join(_STOPS))
+        words = self._numbered((words if self._keeps_space else pc.utf8_lower(words)).to_pylist())
+        # Parts in pieces' order.
+        plain = plain.to_numpy(zero_copy_only=False)
+        per_piece = np.zeros(len(new), np.int64)
+        per_piece[plain], per_piece[~plain] = 1 + (stop >= 0), [len(parts) for parts in others]
+        ends = np.cumsum(per_piece)
+        parts = np.zeros(ends[-1], np.int64)
+        parts[np.repeat(~plain, per_piece)] = self._numbered([*chain.from_iterable(others)])
+        first = (ends - per_piece)[plain]
+        parts[first] = words
+        parts[first[stop >= 0] + 1] = stop[stop >= 0]
+        ids, part_ends = self._parts.joined(parts)
+        self._pieces.add(ids, np.diff(np.append(0, part_ends)[ends], prepend=0))
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         if not self._keeps_space:
@@ -133,7 +180,7 @@ class PieceEncoder:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self._numbers) > self._held:
-            self._forget()
+            self._forget_pieces()
         cut = self._cut(pc.fill_null(texts, ""))
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -146,13 +193,10 @@ class PieceEncoder:
         place = np.ones(len(pieces), bool)
         place[np.cumsum(per_text + 1) - 1] = False
         pieces[place] = numbers[coded.indices.to_numpy()]
-        lengths = self._lengths[pieces]
-        ends = np.cumsum(lengths)
-        steps = np.arange(ends[-1]) if len(ends) else np.zeros(0, np.int64)
-        ids = self._flat[np.repeat(self._starts[pieces] - ends + lengths, lengths) + steps]
+        ids, ends = self._pieces.joined(pieces)
         return ids, np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
 
-    def encode(self, texts: pa.Array, slice_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of whole texts: the first text's place, the ids of all in a row, the number for each."""
         sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
         at = 0
@@ -175,10 +219,6 @@ def kept_encoder(vocabulary: str, end_id: int) -> PieceEncoder:
     return kept["encoder"]
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
-
-
 def _room(values: np.ndarray, needed: int) -> np.ndarray:
     if needed <= len(values):
         return values

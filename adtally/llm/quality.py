@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,19 +132,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
 def quality_score(model: QualityModel, text_column: str = "text") -> Column:
     """The probability of the good class for each whole text; a null text is an empty one."""
 
-    def scored(texts: pa.Array) -> pa.Array:
-        reader = TextFeatures(**FEATURES)
-        size = 1 << FEATURES["bits"]
-        keep = np.zeros(size, bool)
-        keep[model.known] = True
-        values, squares = np.zeros(size), np.zeros(size)
-        values[model.known], squares[model.known] = model.weights, model.ratios**2
-        margins = [np.zeros(0)]
-        for part in reader.slices(texts):
-            of, found = reader.pairs(part, keep)
-            total = np.bincount(of, values[found], len(part))
-            margins.append(total / np.sqrt(np.maximum(np.bincount(of, squares[found], len(part)), 1e-18)))
-        curve = model.slope * (np.concatenate(margins) + model.offset) + model.shift
-        return pa.array(1 / (1 + np.exp(-np.clip(curve, -500, 500))))
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader, size = TextFeatures(**FEATURES), 1 << FEATURES["bits"]
+        # A feature's place among the known ones.
+        keep, place = np.zeros(size, bool), np.zeros(size, np.int32)
+        keep[model.known], place[model.known] = True, np.arange(len(model.known), dtype=np.int32)
+        squares = model.ratios**2
+        for texts in batches:
+            margins = [np.zeros(0)]
+            for part in reader.slices(texts):
+                of, found = reader.pairs(part, keep)
+                at = place[found]
+                total = np.bincount(of, model.weights[at], len(part))
+                margins.append(total / np.sqrt(np.maximum(np.bincount(of, squares[at], len(part)), 1e-18)))
+            curve = model.slope * (np.concatenate(margins) + model.offset) + model.shift
+            yield pa.array(1 / (1 + np.exp(-np.clip(curve, -500, 500))))
 
     return F.arrow_udf(scored, "double")(F.col(text_column).cast("string"))

@@ -1,7 +1,11 @@
-"""Toxicity categories by a chain of linear classifiers."""
+"""Toxicity categories by a chain of linear classifiers.
+
+Narrower categories come first. The one that decides comes last and sees what the others make of a text.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,27 +128,53 @@ def _fit_link(x: Entries, labels: np.ndarray, penalty: float, steps: int) -> tup
     return w[:-1], float(w[-1])
 
 
+def _marker_hits(sample: Sample, known: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """How many marker words each row has: words four times as frequent in the category as outside it.
+
+    A row's markers are those of the other folds' rows, so none is a marker because of the row itself.
+    """
+    hits, every = np.zeros(sample.rows), np.arange(sample.rows)
+    for fold, words in enumerate(known):
+        rest = Entries.of(sample, every[sample.folds != fold], words, np.zeros((sample.rows, 0)))
+        kinds = sample.labels[sample.folds != fold]
+        inside, outside = (
+            np.bincount(rest.places[kinds[rest.rows] == kind], minlength=len(words)) / max(1, (kinds == kind).sum())
+            for kind in (1, 0)
+        )
+        found = Entries.of(sample, places[fold], words[inside > 4 * outside], np.zeros((sample.rows, 0)))
+        hits[places[fold]] = np.bincount(found.rows, minlength=len(places[fold]))
+    return hits
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", degrees: tuple[str, ...] = ("severe",),
               rows: int = 6_000, words: int = 1_024, least_surety: float = 12.0, penalty: float = 1e-4, steps: int = 300,
               held_out: tuple[int, int] = (4, 2), id_column: str = "doc_id", text_column: str = "text") -> Chain:
-    """Learn the categories ``label`` and then each of ``degrees`` from at most ``rows`` labelled documents.
+    """Learn each of ``degrees``, narrowest first, and ``label`` last, from at most ``rows`` labelled documents.
 
-    The label table only tells toxic from clean, so each further category is the half of the
-    one before with the most marker words (words that tell it from the rest, counted on the
-    sample). A link sees the presence of the ``words`` most telling words and beginnings
-    of words and, for every earlier category, the log odds given to the row by models of the *other* folds, so it
+    The label table only tells toxic from clean, so the degrees are shares of the toxic rows by
+    their number of marker words: of one degree, the half above the median. A link sees the
+    presence of the ``words`` most telling words and beginnings of words and, for every
+    earlier category, the log odds given to the row by models of the *other* folds, so it
     learns from probabilities as inexact as those it will meet. With no labels, or of one
     class, the probability is the class's smoothed share.
     """
     sample = labelled_sample(docs, labels, label, FEATURES, rows, held_out, id_column, text_column)
     every, folds = np.arange(sample.rows), sample.folds
-    target, earlier, links = sample.labels, np.zeros((sample.rows, 0)), []
+    places = [every[folds == fold] for fold in range(FOLDS)]
+    hits = np.zeros(sample.rows)
+    if np.bincount(sample.labels, minlength=2).min() >= FOLDS:
+        known = [telling_words(sample, sample.labels, every[folds != fold], least_surety, words) for fold in range(FOLDS)]
+        hits = _marker_hits(sample, known, places)
+    earlier, links = np.zeros((sample.rows, 0)), []
     for depth in range(1 + len(degrees)):
+        target = sample.labels
+        if depth < len(degrees) and target.any():
+            least = np.quantile(hits[target == 1], 1 - (depth + 1) / (1 + len(degrees)))
+            target = ((target == 1) & (hits > least)).astype(np.int64)
         if np.bincount(target, minlength=2).min() < FOLDS:
             share = (target.sum() + 1) / (len(target) + 2)
             links.append(Link(np.zeros(0, np.int64), np.zeros(0), np.zeros(depth), float(_log_odds(share))))
             earlier = np.column_stack([earlier, np.full(sample.rows, _log_odds(share))])
-            target = np.zeros_like(target)
             continue
 
         def fitted(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -152,45 +182,40 @@ def fit_chain(docs: DataFrame, labels: DataFrame, label: str = "toxic", degrees:
             return known, *_fit_link(Entries.of(sample, chosen, known, earlier), target[chosen], penalty, steps)
 
         outside = np.zeros(sample.rows)
-        for fold in range(FOLDS):
-            own, rest = every[folds == fold], every[folds != fold]
+        # No link comes after the last, so nothing asks what it makes of other folds.
+        for own in places if depth < len(degrees) else []:
+            rest = np.setdiff1d(every, own)
             if len(own) and np.bincount(target[rest], minlength=2).min():
                 known, weights, offset = fitted(rest)
                 outside[own] = _log_odds(_logistic(Entries.of(sample, own, known, earlier).times(weights) + offset))
         known, weights, offset = fitted(every)
         links.append(Link(known, weights[: len(known)], weights[len(known) :] / 10, offset))
-        # The next category: rows of this one with at least the median number of its marker words.
-        marks = np.zeros(1 << FEATURES["bits"], bool)
-        found = Entries.of(sample, every, known, np.zeros((sample.rows, 0)))
-        shares = [np.bincount(found.places[target[found.rows] == kind], minlength=len(known)) / (target == kind).sum() for kind in (1, 0)]
-        marks[known[(shares[0] > 4 * shares[1]) & (weights[: len(known)] > 0)]] = True
-        hits = np.array([marks[sample.row(row)].sum() for row in every])
         earlier = np.column_stack([earlier, outside])
-        target = ((target == 1) & (hits > np.median(hits[target == 1]))).astype(np.int64)
-    return Chain([label, *degrees], links)
+    return Chain([*degrees, label], links)
 
 
 def toxicity_scores(chain: Chain, text_column: str = "text") -> Column:
     """A struct with one probability per category, in the chain's order; a null text is an empty one."""
 
-    def scored(texts: pa.Array) -> pa.Array:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader, size = TextFeatures(**FEATURES), 1 << FEATURES["bits"]
-        keep = np.zeros(size, bool)
-        for link in chain.links:
-            keep[link.known] = True
-        columns: list[list[np.ndarray]] = [[np.zeros(0)] for _ in chain.links]
-        weights = []
-        for link in chain.links:
-            weights.append(np.zeros(size, np.float32))
-            weights[-1][link.known] = link.weights
-        for part in reader.slices(texts):
-            of, found = reader.pairs(part, keep)
-            earlier = np.zeros((len(part), 0))
-            for at, link in enumerate(chain.links):
-                z = np.bincount(of, weights[at][found], len(part)) + link.offset + earlier @ link.earlier
-                columns[at].append(_logistic(z))
-                earlier = np.column_stack([earlier, _log_odds(columns[at][-1])])
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=chain.categories)
+        known = np.unique(np.concatenate([link.known for link in chain.links]))
+        # A feature's place among the known ones, and the links' weights there.
+        keep, place = np.zeros(size, bool), np.zeros(size, np.int32)
+        keep[known], place[known] = True, np.arange(len(known), dtype=np.int32)
+        weights = np.zeros((len(chain.links), len(known)))
+        for own, link in zip(weights, chain.links):
+            own[place[link.known]] = link.weights
+        for texts in batches:
+            columns: list[list[np.ndarray]] = [[np.zeros(0)] for _ in chain.links]
+            for part in reader.slices(texts):
+                of, found = reader.pairs(part, keep)
+                earlier = np.zeros((len(part), 0))
+                for at, link in enumerate(chain.links):
+                    z = np.bincount(of, weights[at][place[found]], len(part)) + link.offset + earlier @ link.earlier
+                    columns[at].append(_logistic(z))
+                    earlier = np.column_stack([earlier, _log_odds(columns[at][-1])])
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=chain.categories)
 
     kind = "struct<" + ", ".join(f"{name}: double" for name in chain.categories) + ">"
     return F.arrow_udf(scored, kind)(F.col(text_column).cast("string"))
