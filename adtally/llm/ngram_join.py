@@ -177,17 +177,28 @@ def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] =
     over, under = parts
     texts = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
     common = common_ngrams(texts, words, share, 4, 1 << 20)
-    read = materialize(signatures(texts, words, common, parts, with_set=False), "ngram-leads")
-    rows = read.where(F.col("_id").isNotNull() & (F.col("n") > 0))
+    leads = materialize(signatures(texts, words, common, parts, with_set=False), "ngram-leads")
     # Equal sets have one node: the least id. A set that a third of all rows share is reduced in each task.
-    nodes = rows.groupBy("signature").agg(
-        F.min("_id").alias("node"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("lead").alias("lead")
+    sets = leads.where(F.col("_id").isNotNull() & (F.col("n") > 0)).groupBy("signature").agg(
+        F.min("_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("rare").alias("rare"),
+        F.first("lead").alias("lead"),
+    )
+    # Leads are most of what is written: each table of them goes when the next is there.
+    sets = materialize(sets, "ngram-sets")
+    read = materialize(leads.select("_id", "n", "signature"), "ngram-rows")
+    discard(leads)
+    nodes = materialize(sets.select("signature", "node", "copies"), "ngram-nodes")
+    # An entry is two numbers beside its column: the row, and its size over the place in its lead.
+    entries = sets.select("node", "n", "rare", F.posexplode("lead").alias("at", "ngram")).select(
+        "ngram", F.shiftleft("n", 32).bitwiseOR(F.col("at")).alias("sized"), "node", (F.col("at") < F.col("rare")).alias("seldom")
     )
-    entries = nodes.select("node", "n", "rare", F.posexplode("lead").alias("at", "ngram"))
     alone = Window.partitionBy("ngram")
-    rare = entries.where("at < rare").withColumn("met", F.count("*").over(alone)).where("met > 1")
-    shared = rare.select("node", "n", "at", "ngram").union(entries.where("at >= rare").select("node", "n", "at", "ngram"))
+    rare = entries.where("seldom").drop("seldom").withColumn("met", F.count("*").over(alone)).where("met > 1").drop("met")
+    shared = rare.union(entries.where("not seldom").drop("seldom")).select(
+        "node", F.shiftright("sized", 32).alias("n"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"), "ngram"
+    )
     shared = materialize(shared, "ngram-shared")
+    discard(sets)
     # The row that the others of a group were made from shares more of its entries than they do.
     centred = shared.groupBy("node").agg((F.count("*") / F.max("n")).alias("central"))
     centred = materialize(centred, "ngram-central")
@@ -256,10 +267,14 @@ def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] =
     pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     checked = verified(materialize(pairs, "ngram-pairs"), "ngram-rest")
     labels = join_components(labels, checked.where("linked").select("a", "b"))
-    names = nodes.select("signature", "node").join(labels, "node", "left").select(
-        "signature", F.coalesce("comp", "node").alias("component_id")
+    names = materialize(
+        nodes.join(labels, "node", "left").select("signature", "copies", F.coalesce("comp", "node").alias("component_id")), "ngram-names"
     )
-    joined = read.select("_id", "n", "signature").join(names, "signature", "left")
+    # Sets of over a thousandth of all rows, so less than a thousand, go to every task; their rows are not shuffled.
+    often = F.col("copies") * 1_000 > read.count()
+    heavy = F.broadcast(names.where(often).select("signature", "component_id"))
+    others = read.join(heavy, "signature", "left_anti").join(names.where(~often).select("signature", "component_id"), "signature", "left")
+    joined = read.join(heavy, "signature").unionByName(others)
     return joined.select(
         "_id", F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id")).alias("component_id")
     )
