@@ -196,7 +196,7 @@ class PieceEncoder:
         ids, ends = self._pieces.joined(pieces)
         return ids, np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
 
-    def encode(self, texts: pa.Array, slice_bytes: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.Array, slice_bytes: int = 6 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of whole texts: the first text's place, the ids of all in a row, the number for each."""
         sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
         at = 0
@@ -205,6 +205,8 @@ class PieceEncoder:
             stop = max(at + 1, int(np.searchsorted(sizes, before + slice_bytes, "right")))
             yield (at, *self._encode(texts.slice(at, stop - at)))
             at = stop
+            # What a slice took would stay with the worker until it ends.
+            pa.default_memory_pool().release_unused()
 
 
 def kept_encoder(vocabulary: str, end_id: int) -> PieceEncoder:

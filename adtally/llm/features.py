@@ -134,6 +134,8 @@ class TextFeatures:
             stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + slice_bytes, "right")))
             yield texts.slice(at, stop - at)
             at = stop
+            # What a slice took would stay with the worker until it ends.
+            pa.default_memory_pool().release_unused()
 
 
 def id_remainder(id_column: str, modulus: int) -> Column:

@@ -36,13 +36,13 @@ class Shingler:
     A text with fewer than ``words`` words is one n-gram of them all; one without is empty.
     """
 
-    def __init__(self, words: int = 5, held: int = 400_000) -> None:
+    def __init__(self, words: int = 5, held: int = 100_000) -> None:
         self.words, self._held = words, held
         self._known: dict[str, int] = {}
         multipliers = [_ODD[n % 5] + 2 * (n // 5) * _ODD[0] & (1 << 64) - 1 for n in range(words)]
         self._multipliers = np.array(multipliers, np.uint64)
 
-    def slices(self, texts: pa.Array, slice_bytes: int = 4 << 20) -> Iterator[list[np.ndarray]]:
+    def slices(self, texts: pa.Array, slice_bytes: int = 1 << 20) -> Iterator[list[np.ndarray]]:
         """The sorted n-gram numbers of each text, a slice of texts at a time."""
         sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
         at = 0
@@ -50,6 +50,8 @@ class Shingler:
             stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + slice_bytes, "right")))
             yield self._of(texts.slice(at, stop - at))
             at = stop
+            # What a slice took would stay with the worker until it ends.
+            pa.default_memory_pool().release_unused()
 
     def _of(self, texts: pa.Array) -> list[np.ndarray]:
         cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
