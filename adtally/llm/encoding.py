@@ -89,7 +89,7 @@ class _Runs:
 class PieceEncoder:
     """Encodes texts by a byte-level vocabulary file, each text followed by ``end_id``.
 
-    About ``held`` pieces are remembered at most, and as many parts of pieces: the same words
+    About ``held`` parts of pieces are remembered at most, and half as many pieces: the same words
     come with and without a stop. A vocabulary either has tokens for white space or drops it;
     one that drops it also lower-cases.
     """
@@ -179,7 +179,7 @@ class PieceEncoder:
         return pc.split_pattern(spaced, mark)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._numbers) > self._held:
+        if len(self._numbers) > self._held // 2:
             self._forget_pieces()
         cut = self._cut(pc.fill_null(texts, ""))
         coded = cut.flatten().dictionary_encode()
@@ -196,7 +196,7 @@ class PieceEncoder:
         ids, ends = self._pieces.joined(pieces)
         return ids, np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
 
-    def encode(self, texts: pa.Array, slice_bytes: int = 6 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.Array, slice_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of whole texts: the first text's place, the ids of all in a row, the number for each."""
         sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
         at = 0
