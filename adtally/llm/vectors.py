@@ -27,8 +27,8 @@ def classes_of_equals(rows: DataFrame, keep: int) -> DataFrame:
     return least.groupBy("vector").agg(ids.alias("ids")).select(F.element_at("ids", 1).alias("vec_id"), "ids", "vector")
 
 
-def best(found: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k highest scores of each query, ties to the smaller id."""
+def best(found: DataFrame, k: int, *also: str) -> DataFrame:
+    """``query_id, rank, vec_id, score`` and ``also``: the k highest scores of each query, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *also)

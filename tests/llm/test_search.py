@@ -110,6 +110,31 @@ def test_recall_of_the_registered_query(spark):
     assert set(got) == set(want) and hits / (20 * len(want)) >= 0.9
 
 
+def test_recall_comes_from_a_part_of_the_entries(spark):
+    """On clustered vectors a tenth of the entries holds the neighbours; on the given, nearly random ones it takes half."""
+    rng = np.random.default_rng(8)
+    x = (np.repeat(rng.normal(size=(40, 16)), 50, axis=0) + rng.normal(size=(2_000, 16)) * 0.3).astype(np.float32)
+    rows = [(n, v.tolist()) for n, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    found = search(frame, frame.where("vec_id % 20 = 0"), k=20, share=0.1).cache()
+    want, got = brute(rows, 20, 20, False), lists(found)
+    hits = sum(len({n for n, _ in want[q]} & {n for n, _ in got[q]}) for q in want)
+    assert set(got) == set(want) and hits / (20 * len(want)) >= 0.9
+    assert found.agg({"looked_at": "max"}).first()[0] < 500
+    given = QUERIES["op1_multi_index"](spark, "/root/testdata/sf0.1")
+    assert given.agg({"looked_at": "max"}).first()[0] < 0.55 * 2_000
+
+
+def test_a_crowded_cell_is_scored_in_many_parts(vectors):
+    """One cell holds two thirds of the entries; its parts give what the whole gives."""
+    frame, _ = vectors
+    one, many = (
+        lists(search(frame, frame.where("vec_id % 20 = 0"), k=7, codewords=2, share=0.7, groups=2, chunk=chunk))
+        for chunk in (10_000, 10)
+    )
+    assert {q: [n for n, _ in r] for q, r in one.items()} == {q: [n for n, _ in r] for q, r in many.items()}
+
+
 @pytest.mark.parametrize("find", [search, tree_search])
 def test_few_or_no_vectors(spark, find):
     nothing = spark.createDataFrame([], SCHEMA)
