@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,64 +25,78 @@ class Bins:
     A piece is ``(example, start, length)``; the first ``prompt`` ids of an example bear no
     loss. Demand and room are vectors of tokens, segments and loss-bearing tokens as shares of
     the limits; the next piece is the fitting one with the greatest dot product. When none
-    fits, the largest piece is cut to fill the room, unless under ``least_piece`` ids are left.
+    fits, the piece is cut whose head fills most of the room, unless that is under
+    ``least_piece`` ids.
     """
 
     def __init__(self, tokens: int, segments: int, loss: int, least_piece: int) -> None:
+        if min(tokens, segments, loss) < 1:
+            raise ValueError("Each limit of a sequence must be at least 1")
         self.limits = np.array([tokens, segments, loss], float)
         self.tokens, self.segments, self.loss, self.least_piece = tokens, segments, loss, least_piece
-        self.pool: dict[tuple[int, int], list] = defaultdict(list)
-        self.pooled = 0
-        self._demand: np.ndarray | None = None
-        self._keys: list[tuple[int, int]] = []
-        self._live: np.ndarray | None = None
+        self.pooled = self.bearing = 0
+        self._pieces: list = []
+        self._free: list[int] = []
+        self._demand = np.zeros((0, 3))  # a free place demands nothing
 
     def add(self, example, start: int, length: int) -> None:
-        key = (length, self._loss_of(example, start, length))
-        if not self.pool[key]:
-            self._demand = None
-        self.pool[key].append((example, start, length))
-        self.pooled += length
-
-    @staticmethod
-    def _loss_of(example, start: int, length: int) -> int:
-        return start + length - min(max(start, example.prompt), start + length)
-
-    def _index(self) -> None:
-        self.pool = defaultdict(list, {k: v for k, v in self.pool.items() if v})
-        self._keys = sorted(self.pool)
-        sizes = np.array(self._keys, float).reshape(-1, 2)
-        self._demand = np.stack([sizes[:, 0], np.ones(len(sizes)), sizes[:, 1]], axis=1)
-        self._live = np.ones(len(sizes), bool)
+        if not self._free:
+            held = len(self._pieces)
+            more = max(64, held)
+            self._pieces += [None] * more
+            self._free = list(range(held + more - 1, held - 1, -1))
+            self._demand = np.concatenate([self._demand, np.zeros((more, 3))])
+        self._put(self._free.pop(), (example, start, length))
+
+    def _put(self, at: int, piece) -> None:
+        loss = self._loss_of(*piece)
+        self._pieces[at], self._demand[at] = piece, (piece[2], 1, loss)
+        self.pooled += piece[2]
+        self.bearing += loss
 
     def _take(self, at: int):
-        pieces = self.pool[self._keys[at]]
-        piece = pieces.pop()
-        self._live[at] = bool(pieces)
+        piece = self._pieces[at]
+        self._pieces[at], self._demand[at] = None, 0
+        self._free.append(at)
         self.pooled -= piece[2]
+        self.bearing -= self._loss_of(*piece)
         return piece
 
-    def fill(self, tokens: int | None = None) -> list:
-        """The pieces of one bin of at most ``tokens`` ids (the limit, if not given)."""
-        room = np.array([tokens or self.tokens, self.segments, self.loss], float)
+    @staticmethod
+    def _loss_of(example, start: int, length: int) -> int:
+        return start + length - min(max(start, example.prompt), start + length)
+
+    def next_size(self) -> int:
+        """Ids of the next bin: the limit, or a power of two, which needs no padding.
+
+        A power of two is for a pool that cannot fill the limit, or that bears more loss than
+        bins of the limit may hold.
+        """
+        fair = self.bearing * self.tokens <= self.loss * self.pooled
+        if fair and self.pooled >= self.tokens:
+            return self.tokens
+        return 1 << (min(self.pooled, self.tokens if fair else min(self.loss, self.tokens)).bit_length() - 1)
+
+    def fill(self, size: int) -> list:
+        """The pieces of one bin of at most ``size`` ids."""
+        room = np.array([size, self.segments, self.loss], float)
+        least = self.least_piece if size == self.tokens else 1
         placed = []
         while room[0] > 0 and room[1] > 0 and self.pooled:
-            if self._demand is None:
-                self._index()
-            fits = self._live & (self._demand <= room).all(axis=1)
+            demand = self._demand
+            fits = (demand[:, 0] > 0) & (demand <= room).all(axis=1)
             if fits.any():
-                match = np.where(fits, (self._demand / self.limits) @ (room / self.limits), -1.0)
-                piece = self._take(int(match.argmax()))
+                piece = self._take(int(np.where(fits, demand @ (room / self.limits**2), -1.0).argmax()))
             else:
-                gap = int(min(room[0], room[2] if room[2] > 0 else 0))
-                if gap < (self.least_piece if tokens is None else 1):
+                # A head is as long as the room for tokens, or for loss after the prompt, allows.
+                heads = np.minimum(np.minimum(room[0], demand[:, 0] - demand[:, 2] + room[2]), demand[:, 0])
+                gap = int(heads.max())
+                if gap < 1 or (placed and gap < least):
                     break
-                # No piece is small enough, so the largest is longer than the gap.
-                example, start, length = self._take(int(np.flatnonzero(self._live)[-1]))
-                gap = min(gap, length - 1) or length
+                at = int(np.where(heads == gap, demand[:, 0], -1).argmax())
+                example, start, length = self._take(at)
+                self.add(example, start + gap, length - gap)
                 piece = (example, start, gap)
-                if length > gap:
-                    self.add(example, start + gap, length - gap)
             placed.append(piece)
             room -= (piece[2], 1, self._loss_of(*piece))
         return placed
@@ -97,16 +110,18 @@ class _Example:
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, tokens: int = 2048, segments: int = 256,
-         loss: int | None = None, least_piece: int = 8, pool_tokens: int = 1 << 21, keep_ids: bool = True,
+         loss: int | None = None, least_piece: int = 8, pool_tokens: int = 1 << 18, keep_ids: bool = True,
          id_column: str = "doc_id", text_column: str = "text", prompt_column: str | None = None) -> DataFrame:
     """Pack all rows of ``docs`` into sequences; one row per piece of a document.
 
     Each task packs its own rows from a pool of about ``pool_tokens`` ids, so nothing is
-    shuffled. A document longer than a sequence is cut into whole sequences and a rest; other
-    cuts are made only where a bin would else be padded. Pieces hold at most ``tokens`` ids
-    and ``loss`` loss-bearing ones a bin (``tokens``, if not given), ``segments`` pieces a bin.
-    ``prompt_column`` counts the leading ids that bear no loss (none, if null or not given).
-    What is left at the end of a task goes into bins of powers of two, which need no padding.
+    shuffled. A document longer than a sequence is cut into whole sequences and a rest, or, if
+    ``loss`` is below ``tokens``, into pieces that a bin can hold; other cuts are made only
+    where a bin would else be padded. A bin holds at most ``tokens`` ids, ``loss`` loss-bearing
+    ones (``tokens``, if not given) and ``segments`` pieces. ``prompt_column`` counts the
+    leading ids that bear no loss (none, if null or not given). What bears too much loss for
+    whole bins, and what is left at the end of a task, goes into bins of powers of two, which
+    need no padding.
 
     A null text is an empty one: its only id is ``end_id``. Repeated rows are packed as often
     as they come; a null ``doc_id`` stays null. Other columns are left out. ``sequence_id``
@@ -140,7 +155,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, tokens: int = 2048, segm
             for at, flat, counts in encoder.encode(batch.column("text")):
                 for place, ids in enumerate(np.split(flat, np.cumsum(counts)[:-1]), at):
                     example, start = _Example(names[place], ids, max(0, prompts[place])), 0
-                    while len(ids) - start >= tokens and bins._loss_of(example, start, tokens) <= loss:
+                    while len(ids) - start >= tokens <= loss:
                         close([(example, start, tokens)])
                         start += tokens
                     while len(ids) - start > 0:
@@ -151,14 +166,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, tokens: int = 2048, segm
                         bins.add(example, start, length)
                         start += length
                 while bins.pooled > pool_tokens:
-                    close(bins.fill())
+                    close(bins.fill(bins.next_size()))
                 if out:
                     yield _batch(out)
                     out.clear()
-        while bins.pooled >= tokens:
-            close(bins.fill())
         while bins.pooled:
-            close(bins.fill(1 << (bins.pooled.bit_length() - 1)))
+            close(bins.fill(bins.next_size()))
         if out:
             yield _batch(out)
 

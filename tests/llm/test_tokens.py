@@ -2,6 +2,7 @@
 
 import functools
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from adtally.llm.encoding import PieceEncoder
-from adtally.llm.packing import pack
+from adtally.llm.packing import Bins, pack
 from adtally.llm.registered import QUERIES, table
 from adtally.llm.token_files import encode_documents, read_token_files, token_digest, write_token_files
 
@@ -134,11 +135,43 @@ def test_packing_under_three_limits(spark):
         assert loss == max(0, len(plain(WORDS, text, 1)) - prompt)
 
 
+def drawn_bins(tokens, segments, loss, prompts):
+    rng = np.random.default_rng(6)
+    bins = Bins(tokens, segments, loss, 4)
+    for n in range(300):
+        example = SimpleNamespace(name=n, prompt=int(rng.integers(0, 60)) if prompts else 0)
+        bins.add(example, 0, int(rng.integers(1, 90)))
+    out = []
+    while bins.pooled:
+        size = bins.next_size()
+        out.append((size, bins.fill(size)))
+        assert out[-1][1]
+    return out
+
+
+def test_loss_bearing_tokens_decide_what_goes_together():
+    """Bins reach their size under a loss limit that longest-first filling, blind to loss, breaks."""
+    held = drawn_bins(256, 32, 160, prompts=True)
+    for size, pieces in held:
+        assert sum(p[2] for p in pieces) <= size and len(pieces) <= 32
+        assert sum(Bins._loss_of(*p) for p in pieces) <= 160
+    assert sum(sum(p[2] for p in pieces) for _, pieces in held) > 0.97 * sum(size for size, _ in held)
+    blind = drawn_bins(256, 32, 256, prompts=True)
+    assert max(sum(Bins._loss_of(*p) for p in pieces) for _, pieces in blind) > 160
+
+
+def test_a_pool_of_too_much_loss_goes_into_powers_of_two():
+    held = drawn_bins(256, 256, 160, prompts=False)
+    assert {size & (size - 1) for size, _ in held} == {0} and held[0][0] == 128
+    assert all(sum(p[2] for p in pieces) == size for size, pieces in held)
+
+
 def test_packing_of_a_table(spark, small):
     docs = {r.doc_id: plain(WORDS, r.text, 1) for r in table(spark, small, "documents").collect()}
     pieces = QUERIES["op9_packing"](spark, small).collect()
-    spans, bins = {}, {}
+    spans, bins, losses = {}, {}, {}
     for p in pieces:
+        losses[p.sequence_id] = losses.get(p.sequence_id, 0) + p.loss_tokens
         spans.setdefault(p.doc_id, []).append((p.start, p.length))
         bins.setdefault(p.sequence_id, []).append((p.offset, p.length))
         assert p.ids_crc32 == crc(docs[p.doc_id][p.start : p.start + p.length])
@@ -147,5 +180,6 @@ def test_packing_of_a_table(spark, small):
         assert [s for s, _ in parts] == list(np.cumsum([0] + [k for _, k in parts])[:-1])
         assert total is None or sum(k for _, k in parts) == total
     sizes = [sum(k for _, k in v) for v in bins.values()]
+    assert max(losses.values()) <= 1792 and sum(losses.values()) < 0.9 * sum(sizes)
     assert max(sizes) <= 2048 and len(spans) == len(docs)
     assert sum(sizes) / sum(n if n & (n - 1) == 0 else 2048 for n in sizes) > 0.99
