@@ -19,6 +19,10 @@ PIECE_SCHEMA = (
 )
 
 
+#: More loss than any bin holds.
+_NOWHERE = 1e15
+
+
 class Bins:
     """Fills bins from a pool of pieces, each time with the piece whose demand best matches what is left.
 
@@ -32,12 +36,12 @@ class Bins:
     def __init__(self, tokens: int, segments: int, loss: int, least_piece: int) -> None:
         if min(tokens, segments, loss) < 1:
             raise ValueError("Each limit of a sequence must be at least 1")
-        self.limits = np.array([tokens, segments, loss], float)
         self.tokens, self.segments, self.loss, self.least_piece = tokens, segments, loss, least_piece
         self.pooled = self.bearing = 0
         self._pieces: list = []
         self._free: list[int] = []
-        self._demand = np.zeros((0, 3))  # a free place demands nothing
+        # What the pieces demand of tokens and of loss; of segments each demands one. A free place fits nowhere.
+        self._lengths, self._losses = np.zeros(0), np.zeros(0)
 
     def add(self, example, start: int, length: int) -> None:
         if not self._free:
@@ -45,18 +49,19 @@ class Bins:
             more = max(64, held)
             self._pieces += [None] * more
             self._free = list(range(held + more - 1, held - 1, -1))
-            self._demand = np.concatenate([self._demand, np.zeros((more, 3))])
+            self._lengths = np.concatenate([self._lengths, np.zeros(more)])
+            self._losses = np.concatenate([self._losses, np.full(more, _NOWHERE)])
         self._put(self._free.pop(), (example, start, length))
 
     def _put(self, at: int, piece) -> None:
         loss = self._loss_of(*piece)
-        self._pieces[at], self._demand[at] = piece, (piece[2], 1, loss)
+        self._pieces[at], self._lengths[at], self._losses[at] = piece, piece[2], loss
         self.pooled += piece[2]
         self.bearing += loss
 
     def _take(self, at: int):
         piece = self._pieces[at]
-        self._pieces[at], self._demand[at] = None, 0
+        self._pieces[at], self._lengths[at], self._losses[at] = None, 0, _NOWHERE
         self._free.append(at)
         self.pooled -= piece[2]
         self.bearing -= self._loss_of(*piece)
@@ -79,26 +84,28 @@ class Bins:
 
     def fill(self, size: int) -> list:
         """The pieces of one bin of at most ``size`` ids."""
-        room = np.array([size, self.segments, self.loss], float)
+        tokens, segments, loss = size, self.segments, self.loss
         least = self.least_piece if size == self.tokens else 1
         placed = []
-        while room[0] > 0 and room[1] > 0 and self.pooled:
-            demand = self._demand
-            fits = (demand[:, 0] > 0) & (demand <= room).all(axis=1)
-            if fits.any():
-                piece = self._take(int(np.where(fits, demand @ (room / self.limits**2), -1.0).argmax()))
+        while tokens > 0 and segments > 0 and self.pooled:
+            lengths, losses = self._lengths, self._losses
+            match = lengths * (tokens / self.tokens**2) + losses * (loss / self.loss**2) + segments / self.segments**2
+            match[(lengths > tokens) | (losses > loss)] = -1.0
+            at = int(match.argmax())
+            if match[at] >= 0:
+                piece = self._take(at)
             else:
                 # A head is as long as the room for tokens, or for loss after the prompt, allows.
-                heads = np.minimum(np.minimum(room[0], demand[:, 0] - demand[:, 2] + room[2]), demand[:, 0])
+                heads = np.minimum(np.minimum(tokens, lengths - losses + loss), lengths)
                 gap = int(heads.max())
                 if gap < 1 or (placed and gap < least):
                     break
-                at = int(np.where(heads == gap, demand[:, 0], -1).argmax())
+                at = int(np.where(heads == gap, lengths, -1).argmax())
                 example, start, length = self._take(at)
                 self.add(example, start + gap, length - gap)
                 piece = (example, start, gap)
             placed.append(piece)
-            room -= (piece[2], 1, self._loss_of(*piece))
+            tokens, segments, loss = tokens - piece[2], segments - 1, loss - self._loss_of(*piece)
         return placed
 
 
