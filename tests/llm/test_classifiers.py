@@ -36,6 +36,26 @@ def test_hinge_weights_part_what_can_be_parted():
     assert (np.sign(x @ weights[:-1] + weights[-1]) == signs).mean() > 0.97
 
 
+def test_hinge_weights_reach_the_plain_optimum():
+    """The dual's coordinate steps against projected gradients over the whole dual, on classes that overlap."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    signs = np.where(x[:, 0] + rng.normal(size=60) > 0.6, 1.0, -1.0)
+    costs = 0.5 / np.where(signs > 0, (signs > 0).mean(), (signs < 0).mean())
+    z = signs[:, None] * np.column_stack([x, np.ones(60)])
+    alphas, rate = np.zeros(60), 1 / np.linalg.norm(z @ z.T, 2)
+    for _ in range(50_000):
+        alphas = np.clip(alphas - rate * (z @ (z.T @ alphas) - 1), 0, costs)
+
+    def loss(w):
+        return w @ w / 2 + costs @ np.maximum(0, 1 - z @ w)
+
+    best = loss(z.T @ alphas)
+    assert best - (alphas.sum() - (z.T @ alphas) @ (z.T @ alphas) / 2) < 1e-6 * best  # no gap: the optimum
+    weights = hinge_weights([(np.arange(4), row) for row in x], signs, 4, cost=1.0, rounds=2_000)
+    assert loss(weights) < 1.001 * best
+
+
 def test_quality_of_held_out_documents(spark):
     rows = QUERIES["op8_quality"](spark, LARGER).join(table(spark, LARGER, "labels"), "doc_id", "left").collect()
     assert len(rows) == table(spark, LARGER, "documents").count()
