@@ -42,9 +42,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-_BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS = np.array([ord(letter) for _, letter in sorted(_byte_letters().items())], "<u2")
 _STOPS = (".", ",")
-_END = 0
 # A blank, letters, a stop: most pieces. Letters whose lower case is one letter, too.
 _PLAIN = f"^ ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[{''.join(_STOPS)}]?$"
 
@@ -80,18 +79,22 @@ class _Runs:
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The runs' ids one after another, and where each run ends."""
-        lengths = self.lengths[numbers]
-        ends = np.cumsum(lengths)
-        steps = np.arange(ends[-1]) if len(ends) else np.zeros(0, np.int64)
-        return self.flat[np.repeat(self.starts[numbers] - ends + lengths, lengths) + steps], ends
+        return _joined(self.flat, self.starts, self.lengths, numbers)
+
+
+def _joined(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lengths = lengths[numbers]
+    ends = np.cumsum(lengths)
+    steps = np.arange(ends[-1]) if len(ends) else np.zeros(0, np.int64)
+    return flat[np.repeat(starts[numbers] - ends + lengths, lengths) + steps], ends
 
 
 class PieceEncoder:
     """Encodes texts by a byte-level vocabulary file, each text followed by ``end_id``.
 
-    About ``held`` parts of pieces are remembered at most, and half as many pieces: the same words
-    come with and without a stop. A vocabulary either has tokens for white space or drops it;
-    one that drops it also lower-cases.
+    About ``held`` parts of pieces are remembered at most. Pieces are not: the same words come
+    with and without a stop, and most pieces of a slice are not among those of the slices before.
+    A vocabulary either has tokens for white space or drops it; one that drops it also lower-cases.
     """
 
     def __init__(self, vocabulary: str, end_id: int, held: int = 400_000) -> None:
@@ -102,14 +105,8 @@ class PieceEncoder:
         self._model = self._tokenizer.model
         self._keeps_space = bool(self._tokenizer.encode(" ", add_special_tokens=False).ids)
         self._end_id, self._held = end_id, held
-        self._forget_pieces()
         self._forget_parts()
 
-    def _forget_pieces(self) -> None:
-        self._numbers, self._pieces = _Numbers(), _Runs()
-        self._numbers[None] = _END
-        self._pieces.add(np.array([self._end_id], np.uint32), np.ones(1, np.int64))
-
     def _forget_parts(self) -> None:
         self._part_numbers, self._parts = _Numbers(), _Runs()
 
@@ -124,48 +121,54 @@ class PieceEncoder:
             return [text]
         return (_SPACED if self._keeps_space else _BARE).findall(text)
 
-    def _part_ids(self, part: str | tuple[str]) -> list[int]:
-        if isinstance(part, tuple):
-            return self._tokenizer.encode(part[0], add_special_tokens=False).ids
-        return [token.id for token in self._model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+    def _learn(self, parts: list) -> None:
+        """Ids of parts seen for the first time."""
+        # What the library takes whole is an empty string among the others.
+        plain = [part if isinstance(part, str) else "" for part in parts]
+        spelled = _lettered("\0".join(plain)).split(_lettered("\0"))
+        if len(spelled) != len(parts):
+            spelled = list(map(_lettered, plain))
+        ids, ends, tokenize = array("I"), array("q", [0]), self._model.tokenize
+        for part, letters in zip(parts, spelled):
+            if letters:
+                ids.extend([token.id for token in tokenize(letters)])
+            elif part:
+                ids.extend(self._tokenizer.encode(part[0], add_special_tokens=False).ids)
+            ends.append(len(ids))
+        self._parts.add(np.frombuffer(ids, np.uint32), np.diff(np.frombuffer(ends, np.int64)))
 
     def _numbered(self, parts: list) -> np.ndarray:
         numbers = np.fromiter(map(self._part_numbers.__getitem__, parts), np.int64, len(parts))
         if self._part_numbers.new:
-            ids, ends = array("I"), array("q", [0])
-            for part in self._part_numbers.new:
-                ids.extend(self._part_ids(part))
-                ends.append(len(ids))
+            self._learn(self._part_numbers.new)
             self._part_numbers.new.clear()
-            self._parts.add(np.frombuffer(ids, np.uint32), np.diff(np.frombuffer(ends, np.int64)))
         return numbers
 
-    def _learn(self) -> None:
-        """Ids of pieces seen for the first time: plain ones by columns, the others one by one."""
-        new = pa.array(self._numbers.new, pa.string())
-        self._numbers.new.clear()
+    def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after another, and the number for each: plain ones by columns, the others one by one."""
         if len(self._part_numbers) > self._held:
             self._forget_parts()
         stops = self._numbered([*_STOPS])
-        plain = pc.match_substring_regex(new, _PLAIN)
-        words, others = new.filter(plain), list(map(self._split, new.filter(pc.invert(plain)).to_pylist()))
+        plain = pc.match_substring_regex(pieces, _PLAIN)
+        words, others = pieces.filter(plain), list(map(self._split, _strings(pieces.filter(pc.invert(plain)))))
         stop = np.full(len(words), -1)
         for number, mark in zip(stops, _STOPS):
             stop[pc.ends_with(words, mark).to_numpy(zero_copy_only=False)] = number
         words = pc.ascii_rtrim(words, "".join(_STOPS))
-        words = self._numbered((words if self._keeps_space else pc.utf8_lower(words)).to_pylist())
+        words = (words if self._keeps_space else pc.utf8_lower(words)).dictionary_encode()
+        words = self._numbered(_strings(words.dictionary))[words.indices.to_numpy()]
         # Parts in pieces' order.
         plain = plain.to_numpy(zero_copy_only=False)
-        per_piece = np.zeros(len(new), np.int64)
+        per_piece = np.zeros(len(pieces), np.int64)
         per_piece[plain], per_piece[~plain] = 1 + (stop >= 0), [len(parts) for parts in others]
         ends = np.cumsum(per_piece)
-        parts = np.zeros(ends[-1], np.int64)
+        parts = np.zeros(ends[-1] if len(ends) else 0, np.int64)
         parts[np.repeat(~plain, per_piece)] = self._numbered([*chain.from_iterable(others)])
         first = (ends - per_piece)[plain]
         parts[first] = words
         parts[first[stop >= 0] + 1] = stop[stop >= 0]
         ids, part_ends = self._parts.joined(parts)
-        self._pieces.add(ids, np.diff(np.append(0, part_ends)[ends], prepend=0))
+        return ids, np.diff(np.append(0, part_ends)[ends], prepend=0)
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         if not self._keeps_space:
@@ -179,21 +182,17 @@ class PieceEncoder:
         return pc.split_pattern(spaced, mark)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._numbers) > self._held // 2:
-            self._forget_pieces()
         cut = self._cut(pc.fill_null(texts, ""))
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self._numbers.__getitem__, words), np.int64, len(words))
-        if self._numbers.new:
-            self._learn()
+        ids, lengths = self._piece_ids(coded.dictionary)
+        # The end is one more piece, and follows each text.
+        ids, lengths = np.append(ids, np.uint32(self._end_id)), np.append(lengths, 1)
         per_text = np.diff(cut.offsets.to_numpy())
-        # One more piece after each text: the end.
-        pieces = np.full(len(coded) + len(texts), _END, np.int64)
+        pieces = np.full(len(coded) + len(texts), len(lengths) - 1, np.int64)
         place = np.ones(len(pieces), bool)
         place[np.cumsum(per_text + 1) - 1] = False
-        pieces[place] = numbers[coded.indices.to_numpy()]
-        ids, ends = self._pieces.joined(pieces)
+        pieces[place] = coded.indices.to_numpy()
+        ids, ends = _joined(ids, np.cumsum(lengths) - lengths, lengths, pieces)
         return ids, np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
 
     def encode(self, texts: pa.Array, slice_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -221,6 +220,15 @@ def kept_encoder(vocabulary: str, end_id: int) -> PieceEncoder:
     return kept["encoder"]
 
 
+def _lettered(text: str) -> str:
+    """The text as a byte-level vocabulary writes it."""
+    return _BYTE_LETTERS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _room(values: np.ndarray, needed: int) -> np.ndarray:
     if needed <= len(values):
         return values

@@ -52,6 +52,16 @@ def test_pieces_give_the_ids_of_whole_texts(vocabulary, held):
     assert [list(x) for x in got] == [plain(vocabulary, t, 7) for t in ODD]
 
 
+def test_words_are_learnt_once_whatever_follows_them():
+    encoder, asked = PieceEncoder(BYTES, 0), []
+    numbered = encoder._numbered
+    encoder._numbered = lambda parts: asked.extend(parts) or numbered(parts)
+    texts = ["house house, house. house", "a\0b\0", "house," * 3]
+    for _, ids, _ in encoder.encode(pa.array(texts)):
+        assert ids.tolist() == [i for t in texts for i in plain(BYTES, t, 0)]
+    assert asked.count(" house") == 1
+
+
 def test_token_files_of_a_table(spark, small):
     docs = table(spark, small, "documents").collect()
     want, start = [], 0
