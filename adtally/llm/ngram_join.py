@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adtally.llm.components import join_components
-from adtally.llm.shuffles import dropping_shuffles
+from adtally.llm.features import give_back
+from adtally.llm.shuffles import dropping_shuffles, small_batches
 from adtally.session import discard, materialize
 
 #: Ids sent to every task at most: 24 bytes each, so about 50 MB.
@@ -51,7 +52,7 @@ class Shingler:
             yield self._of(texts.slice(at, stop - at))
             at = stop
             # What a slice took would stay with the worker until it ends.
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     def _of(self, texts: pa.Array) -> list[np.ndarray]:
         cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -166,6 +167,7 @@ def _near_enough(i: str, j: str, m: str, n: str, parts: tuple[int, int]):
 
 
 @dropping_shuffles
+@small_batches
 def similar_components(docs: DataFrame, words: int = 5, parts: tuple[int, int] = (4, 5), share: float = 1 / 8,
                        stars: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``_id, n_shingles, component_id`` per row of ``docs``; rows link when similar to ``parts`` or more.

@@ -1,13 +1,18 @@
 """The n-gram join against all pairs of sets, and components against a union-find."""
 
+import os
 import random
 import re
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from adtally.llm.components import join_components
 from adtally.llm.ngram_join import Shingler, similar_components
 from adtally.llm.registered import QUERIES, table
+from adtally.llm.shuffles import small_batches
 
 SCHEMA = "doc_id long, text string, n int, node int, comp int, signature string"
 
@@ -104,3 +109,20 @@ def test_queries_equal_their_sql(spark, small, name):
     from adtally.llm.registered import ORACLE
 
     assert compare(spark, QUERIES[name], ORACLE[name], small, connect(small)) is None
+
+
+def test_a_slice_leaves_nothing_with_its_worker(spark):
+    """Freed blocks of the heap between ones in use go back to the machine, and jobs get their texts in small batches."""
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    blocks = [np.ones(8_000) for _ in range(4_000)]
+    full = resident()
+    kept = blocks[::50]
+    del blocks
+    list(Shingler().slices(pa.array(["a b c d e f"])))
+    assert full - resident() > 150 and len(kept) == 80
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    small_batches(lambda docs: seen.append(spark.conf.get(key)) or docs)(spark.range(1))
+    assert int(seen[0]) <= 8 << 20 and spark.conf.get(key) == before
