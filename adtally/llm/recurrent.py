@@ -71,6 +71,8 @@ class Gru:
         #: Tokens the weights were trained on.
         self.seen = 0
         self.members = vocabulary.members
+        # Few bytes a number: sorted by counting.
+        self.kinds, self.small = vocabulary.classes.astype(np.min_scalar_type(len(self.members))), np.min_scalar_type(len(vocabulary.classes))
         self.place = np.arange(len(vocabulary.classes)) - np.array([own.start for own in self.members])[vocabulary.classes]
         r = np.random.default_rng(seed)
         count, classes = len(vocabulary.classes), len(self.members)
@@ -85,97 +87,151 @@ class Gru:
         self.p["ac"] = np.log(by_class / by_class.sum()).astype(np.float32)
         self.p["aw"] = np.log(smooth / by_class[vocabulary.classes]).astype(np.float32)
 
-    def inputs(self, x: np.ndarray) -> np.ndarray:
-        """What words add to the gates and the candidate, for any number of words at once."""
-        return self.p["embed"][x] @ self.p["w"] + self.p["b"]
+    def turned(self) -> tuple[np.ndarray, ...]:
+        """The recurrent weights for states whose streams stand side by side.
 
-    def step(self, h: np.ndarray, added: np.ndarray):
-        n = self.hidden
-        gates = _gate(added[:, : 2 * n] + h @ self.p["u"])
-        z, r = gates[:, :n], gates[:, n:]
-        reset = r * h
-        c = np.tanh(added[:, 2 * n :] + reset @ self.p["uh"])
-        return h + z * (c - h), (z, r, c, h, reset)
+        Those of the gates are halved, as a gate is the tanh of half its argument; halves are exact.
+        """
+        p, half = self.p, np.where(np.arange(3 * self.hidden) < 2 * self.hidden, 0.5, 1).astype(self.p["w"].dtype)
+        return tuple(np.ascontiguousarray(x.T) for x in (p["w"] * half, (p["b"] * half)[None], p["u"] * half[: 2 * self.hidden], p["uh"]))
 
     def chances(self, states: np.ndarray, targets: np.ndarray):
-        """Natural log-probabilities of targets, and what the backward pass needs."""
-        p, kinds = self.p, self.v.classes[targets]
-        a = states @ p["vc"] + p["ac"]
-        a -= a.max(axis=1, keepdims=True)
-        a -= np.log(np.exp(a).sum(axis=1, keepdims=True))
-        log = a[np.arange(len(targets)), kinds].astype(float)
-        order, inner = np.argsort(kinds, kind="stable"), []
-        edges = np.searchsorted(kinds[order], np.arange(len(self.members) + 1))
-        for kind, own in enumerate(self.members):
-            rows = order[edges[kind] : edges[kind + 1]]
-            if len(rows) and own.stop - own.start > 1:
-                b = states[rows] @ p["vw"][own].T + p["aw"][own]
-                b -= b.max(axis=1, keepdims=True)
-                b -= np.log(np.exp(b).sum(axis=1, keepdims=True))
-                log[rows] += b[np.arange(len(rows)), self.place[targets[rows]]]
-                inner.append((rows, own, b))
-        return log, a, kinds, inner
+        """Natural log-probabilities of targets, and what the backward pass needs.
+
+        Tokens are put in the order of their classes, so each class's are a slice. Softmaxes have
+        the tokens side by side, and are left undivided, with their sums.
+        """
+        order = np.argsort(self.kinds[targets], kind="stable")
+        wanted, log = targets[order], np.empty(len(targets))
+        kinds = self.v.classes[wanted]
+        # A last column of ones takes up what does not depend on the state.
+        sorted_states = np.ones((len(order), self.hidden + 1), states.dtype)
+        sorted_states[:, :-1] = states[order]
+        a = np.append(self.p["vc"], self.p["ac"][None], axis=0).T @ sorted_states.T
+        part, sums = _log_picked(a, kinds)
+        found, inner = part.astype(float), []
+        edges = np.searchsorted(kinds, np.arange(len(self.members) + 1)).tolist()
+        words = np.append(self.p["vw"], self.p["aw"][:, None], axis=1)
+        places = self.place[wanted]
+        for rows, own in zip(map(slice, edges, edges[1:]), self.members):
+            if rows.start < rows.stop and own.stop - own.start > 1:
+                b = words[own] @ sorted_states[rows].T
+                part, inner_sums = _log_picked(b, places[rows])
+                found[rows] += part
+                inner.append((rows, own, b, places[rows], inner_sums))
+        log[order] = found
+        return log, order, sorted_states, (a, kinds, sums), inner
 
     def gradients(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, fresh: np.ndarray | None = None):
         """Gradients of the summed loss over a window (streams by steps), and the state after it.
 
         Before steps marked ``fresh`` the state is zero again: a text starts.
         """
-        p, steps, n = self.p, inputs.shape[1], self.hidden
-        g = {name: np.zeros_like(v) for name, v in p.items()}
-        added = self.inputs(inputs.T)
-        trace, states = [], []
+        p, steps, n, g = self.p, inputs.shape[1], self.hidden, {}
+        w, bias, u, uh = self.turned()
+        embedded = p["embed"][inputs.T]
+        added = w @ embedded.transpose(0, 2, 1)
+        added += bias
+        some = ~real.all(axis=0)
+        starts = np.zeros(steps, bool) if fresh is None else fresh.any(axis=0)
+        gates = np.empty((steps, 2 * n, len(h)), h.dtype)
+        befores, resets, choices, gaps, afters = np.empty((5, steps, n, len(h)), h.dtype)
+        state = h.T
         for t in range(steps):
-            if fresh is not None and fresh[:, t].any():
-                h = np.where(fresh[:, t, None], np.zeros_like(h), h)
-            after, kept = self.step(h, added[t])
-            h = np.where(real[:, t, None], after, h)
-            trace.append(kept)
-            states.append(after)
-        flat = np.concatenate(states)
-        wanted, mask = targets.T.ravel(), real.T.ravel().astype(np.float32)
-        log, a, kinds, inner = self.chances(flat, wanted)
-        da = np.exp(a)
-        da[np.arange(len(wanted)), kinds] -= 1
-        da *= mask[:, None]
-        g["vc"], g["ac"] = flat.T @ da, da.sum(axis=0)
-        dstates = da @ p["vc"].T
-        for rows, own, b in inner:
-            db = np.exp(b)
-            db[np.arange(len(rows)), self.place[wanted[rows]]] -= 1
-            db *= mask[rows][:, None]
-            g["vw"][own] += db.T @ flat[rows]
-            g["aw"][own] += db.sum(axis=0)
-            dstates[rows] += db @ p["vw"][own]
-        dstates = dstates.reshape(steps, len(h), -1)
-        carried = np.zeros_like(h)
-        deltas = np.zeros((steps, len(h), 3 * n), h.dtype)
+            before, after = befores[t], afters[t]
+            before[...] = state
+            if starts[t]:
+                before[:, fresh[:, t]] = 0
+            _step(u, uh, added[t], before, gates[t], resets[t], choices[t], gaps[t], after)
+            state = np.where(real[:, t], after, before) if some[t] else after
+        wanted = targets.T.ravel()
+        log, order, sorted_states, (a, kinds, sums), inner = self.chances(afters.transpose(0, 2, 1).reshape(-1, n), wanted)
+        mask = real.T.ravel()
+        weight = mask[order].astype(h.dtype)
+        # Softmaxes become what the loss falls by in each of their arguments.
+        a *= weight / sums
+        a[kinds, np.arange(len(kinds))] -= weight
+        outer = a @ sorted_states
+        g["vc"], g["ac"] = np.ascontiguousarray(outer[:, :-1].T), outer[:, -1].copy()
+        dsorted = a.T @ p["vc"].T
+        words = np.zeros((len(p["vw"]), n + 1), h.dtype)
+        for rows, own, b, places, sums in inner:
+            b *= weight[rows] / sums
+            b[places, np.arange(len(places))] -= weight[rows]
+            words[own] = b @ sorted_states[rows]
+            dsorted[rows] += b.T @ p["vw"][own]
+        g["vw"], g["aw"] = words[:, :-1].copy(), words[:, -1].copy()
+        dstates = np.empty_like(dsorted)
+        dstates[order] = dsorted
+        dstates = np.ascontiguousarray(dstates.reshape(steps, len(h), n).transpose(0, 2, 1))
+        carried = np.zeros((n, len(h)), h.dtype)
+        deltas = np.empty((steps, 3 * n, len(h)), h.dtype)
+        x, through, slopes, back = np.empty_like(carried), np.empty_like(carried), np.empty_like(gates[0]), np.empty_like(carried)
         for t in range(steps - 1, -1, -1):
-            z, r, c, before, _ = trace[t]
-            own = real[:, t, None]
-            d = (dstates[t] + carried) * own
-            delta = deltas[t]
-            delta[:, 2 * n :] = d * z * (1 - c * c)
-            through = delta[:, 2 * n :] @ p["uh"].T
-            delta[:, :n] = d * (c - before) * z * (1 - z)
-            delta[:, n : 2 * n] = through * before * r * (1 - r)
-            carried = np.where(own, d * (1 - z) + through * r + delta[:, : 2 * n] @ p["u"].T, carried)
-            if fresh is not None:
-                carried *= ~fresh[:, t, None]
+            z, r, c, d, delta = gates[t, :n], gates[t, n:], choices[t], dstates[t], deltas[t]
+            d += carried
+            if some[t]:
+                d *= real[:, t]
+            # What the candidate's slope, and then both gates' slopes, leave of it.
+            np.multiply(c, c, out=x)
+            np.subtract(1, x, out=x)
+            x *= z
+            np.multiply(x, d, out=delta[2 * n :])
+            np.matmul(p["uh"], delta[2 * n :], out=through)
+            np.subtract(1, gates[t], out=slopes)
+            np.multiply(d, slopes[:n], out=back)
+            slopes *= gates[t]
+            slopes[:n] *= gaps[t]
+            slopes[:n] *= d
+            slopes[n:] *= befores[t]
+            slopes[n:] *= through
+            delta[: 2 * n] = slopes
+            through *= r
+            back += through
+            np.matmul(p["u"], slopes, out=x)
+            back += x
+            if some[t]:
+                back = np.where(real[:, t], back, carried)
+            carried, back = back, carried
+            if starts[t]:
+                carried[:, fresh[:, t]] = 0
         # Sums over all steps at once.
-        rows = deltas.reshape(-1, 3 * n)
-        words = inputs.T.ravel()
-        g["w"], g["b"] = p["embed"][words].T @ rows, rows.sum(axis=0)
-        g["u"] = np.concatenate([k[3] for k in trace]).T @ rows[:, : 2 * n]
-        g["uh"] = np.concatenate([k[4] for k in trace]).T @ rows[:, 2 * n :]
-        order = np.argsort(words, kind="stable")
-        firsts = np.flatnonzero(np.append(True, np.diff(words[order]) != 0))
-        g["embed"][words[order][firsts]] = np.add.reduceat((rows @ p["w"].T)[order], firsts)
-        return g, h, -float((log * mask).sum())
-
-
-def _gate(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+        g["w"], g["b"] = (deltas @ embedded).sum(axis=0).T, deltas.sum(axis=2).sum(axis=0)
+        g["u"] = (befores @ deltas[:, : 2 * n].transpose(0, 2, 1)).sum(axis=0)
+        g["uh"] = (resets @ deltas[:, 2 * n :].transpose(0, 2, 1)).sum(axis=0)
+        heard = inputs.T.ravel().astype(self.small)
+        order = np.argsort(heard, kind="stable")
+        heard = heard[order]
+        firsts = np.flatnonzero(np.append(True, heard[1:] != heard[:-1]))
+        g["embed"] = np.zeros_like(p["embed"])
+        g["embed"][heard[firsts]] = np.add.reduceat((deltas.transpose(0, 2, 1) @ p["w"].T).reshape(len(order), -1)[order], firsts)
+        return g, state.T, -float(log[mask].sum())
+
+
+def _step(u, uh, added, before, gates, reset, choice, gap, after) -> None:
+    """One step of all streams, whose states are columns; every part of it is written where the caller says."""
+    n = len(before)
+    np.matmul(u, before, out=gates)
+    gates += added[: 2 * n]
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    np.multiply(gates[n:], before, out=reset)
+    np.matmul(uh, reset, out=choice)
+    choice += added[2 * n :]
+    np.tanh(choice, out=choice)
+    np.subtract(choice, before, out=gap)
+    np.multiply(gates[:n], gap, out=after)
+    after += before
+
+
+def _log_picked(a: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of one softmax entry a column, and the sums; ``a`` becomes the softmaxes, undivided."""
+    a -= a.max(axis=0)
+    log = a[picked, np.arange(a.shape[1])]
+    np.exp(a, out=a)
+    sums = a.sum(axis=0)
+    return log - np.log(sums), sums
 
 
 def windows_of(texts: list[np.ndarray], streams: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -269,23 +325,28 @@ def unpacked(model: Gru, raw: bytes) -> Gru:
     return model
 
 
+def places_in(words: pa.Array, table: pa.Array) -> np.ndarray:
+    """Where each word stands in the table; the table's length for those that it lacks."""
+    return pc.fill_null(pc.index_in(words, value_set=table), len(table)).to_numpy().astype(np.int64)
+
+
 class Coder:
     """Texts to numbers of the model's words, with the corpus counts of each word for what the model leaves out."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.number = {w: n + 2 for n, w in enumerate(vocabulary.words)}
+        self.words = pa.array(vocabulary.words, pa.string())
 
     def code(self, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray]:
         """Numbers of each text with its end, and all words, their codes and the text each is of."""
         cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         coded = cut.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, codes = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
         texts_of = np.repeat(np.arange(len(cut)), np.diff(cut.offsets.to_numpy()))
-        real = np.array([word != "" for word in distinct], bool)
+        real = pc.not_equal(distinct, "").to_numpy(zero_copy_only=False)
         if len(codes) and not real.all():
             texts_of, codes = texts_of[real[codes]], codes[real[codes]]
-        get = self.number.get
-        numbers = np.fromiter((get(word, OTHER) for word in distinct), np.int64, len(distinct))
+        numbers = places_in(distinct, self.words) + 2
+        numbers[numbers == len(self.words) + 2] = OTHER
         counts = np.bincount(texts_of, minlength=len(cut)) if len(codes) else np.zeros(len(cut), int)
         ends = np.cumsum(counts)
         flat = numbers[codes] if len(codes) else np.zeros(0, np.int64)
@@ -299,32 +360,39 @@ def score_texts(model: Gru, texts: list[np.ndarray], window: int = 64, streams:
     window to the next, so a text of any length is scored whole.
     """
     totals = np.zeros(len(texts))
+    w, bias, u, uh = model.turned()
     # Every word's share of the next step, once for all texts.
-    added = model.inputs(np.arange(len(model.v.classes)))
+    added = model.p["embed"] @ w.T + bias.T
     order = np.array(sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)), int)
     lengths = np.array([len(texts[i]) for i in order], int)
+    n = model.hidden
     for first in range(0, len(order), streams):
         group, sizes = order[first : first + streams], lengths[first : first + streams]
-        h = np.zeros((len(group), model.hidden), np.float32)
+        h = np.zeros((n, len(group)), np.float32)
         last = np.full(len(group), END)
         for start in range(0, int(sizes[0]) if len(sizes) else 0, window):
             stop = min(start + window, int(sizes[0]))
-            live = int((sizes > start).sum())
-            tokens = np.full((live, stop - start), END)
-            for row in range(live):
+            # How many texts are left at each step.
+            lives = np.searchsorted(-sizes, -np.arange(start, stop), "left").tolist()
+            tokens = np.full((stop - start, lives[0]), END)
+            for row in range(lives[0]):
                 own = texts[group[row]][start:stop]
-                tokens[row, : len(own)] = own
-            states, targets, rows = [], [], []
-            for t in range(stop - start):
-                live = int((sizes > start + t).sum())
-                h = h[:live]
-                h, _ = model.step(h, added[last[:live]])
-                last = tokens[:live, t]
-                states.append(h)
-                targets.append(last)
-                rows.append(np.arange(live))
-            log = model.chances(np.concatenate(states), np.concatenate(targets))[0]
-            totals[group[: len(rows[0])]] += np.bincount(np.concatenate(rows), log, len(rows[0]))
+                tokens[: len(own), row] = own
+            states = np.empty((sum(lives), n), np.float32)
+            at, wide = 0, 0
+            for t, live in enumerate(lives):
+                if live != wide:
+                    wide, h = live, np.ascontiguousarray(h[:, :live])
+                    gates, after = np.empty((2 * n, live), np.float32), np.empty((n, live), np.float32)
+                    reset, choice, gap = np.empty((3, n, live), np.float32)
+                _step(u, uh, np.ascontiguousarray(added[last[:live]].T), h, gates, reset, choice, gap, after)
+                h, after = after, h
+                last = tokens[t, :live]
+                states[at : at + live] = h.T
+                at += live
+            rows = np.concatenate([np.arange(live) for live in lives])
+            log = model.chances(states, np.concatenate([tokens[t, :live] for t, live in enumerate(lives)]))[0]
+            totals[group[: lives[0]]] += np.bincount(rows, log, lives[0])
     return totals
 
 
@@ -425,7 +493,8 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
     model = fit_recurrent(training, vocabulary, embed, hidden, window, streams, rate, rounds)
     # A bounded part of the counts; the rest stays a table.
     often = counts.where(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(known).toArrow()
-    often = dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist()))
+    often_words = often.column("word").combine_chunks().cast(pa.string())
+    often_counts = np.append(often.column("n").to_numpy().astype(float), 0)
     tokens, distinct = vocabulary.tokens, vocabulary.distinct
     end_count = vocabulary.counts[END]
     others = vocabulary.counts[OTHER] + 0.1 * (distinct - len(vocabulary.words) - (end_count > 0)) + 0.1
@@ -438,8 +507,8 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
             for at, part in slices(column, SLICE_BYTES):
                 numbers, words, codes, texts_of = coder.code(part)
                 size = len(part)
-                counts_of = np.array([often.get(w, 0) for w in words], float)
-                in_list = np.array([w in coder.number for w in words], bool)
+                counts_of = often_counts[places_in(words, often_words)]
+                in_list = places_in(words, coder.words) < len(coder.words)
                 log = np.log10(counts_of + 0.1)
                 told = counts_of[codes] > 0
                 mine = texts_of[told]
@@ -452,7 +521,7 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
                 keys = texts_of[~told].astype(np.int64) * len(words) + codes[~told]
                 keys, times = np.unique(keys, return_counts=True)
                 offsets = np.searchsorted(keys, np.arange(size + 1) * len(words)) if len(words) else np.zeros(size + 1, int)
-                rare_words = pa.array(words, pa.string()).take(pa.array(keys % len(words) if len(words) else keys))
+                rare_words = words.take(pa.array(keys % len(words) if len(words) else keys))
                 rare = pa.ListArray.from_arrays(
                     offsets.astype(np.int32),
                     pa.StructArray.from_arrays([rare_words, pa.array(times)], names=["word", "k"]),
