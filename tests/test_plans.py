@@ -111,6 +111,26 @@ def test_a_mounted_folder_may_be_shared(spark, tmp_path):
         shared_folder(MountSession(spark, f"{tmp_path}/c", lambda *_: spark.range(1)))
 
 
+#: Queries that write intermediate tables, and so failed where that was refused.
+IN_MOUNTED_FOLDERS = (
+    "anova_two_way_many_levels", "box_stats", "box_stats_large_groups", "campaign_window_count_json_stream",
+    "campaign_window_count_stream", "campaign_window_count_watermark_large_table", "campaign_window_count_watermark",
+    "compare_runs", "describe_by_group", "describe_by_group_large_groups", "extract_stats", "join_campaign_large_table",
+    "join_campaign_measured", "join_campaign_stream", "label_result_columns", "late_merge", "late_merge_closed_days",
+    "latency_percentiles", "load_phase_latency_stream", "positional_pair", "scan_metric_pairs", "scan_metric_text",
+)
+
+
+@pytest.mark.parametrize("name", IN_MOUNTED_FOLDERS)
+def test_queries_run_where_folders_are_mounted(spark, small, tmp_path, monkeypatch, name):
+    get = type(spark.conf).get
+    named = f"file://{tmp_path}"
+    monkeypatch.setattr(type(spark.conf), "get", lambda conf, key, *a: named if key == "spark.checkpoint.dir" else get(conf, key, *a))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert QUERIES[name](spark, small).count() > 0
+    assert any(tmp_path.rglob("*"))
+
+
 def test_intermediates_can_be_cleared(spark, small):
     clear_intermediates(spark)
     assert QUERIES["scan_metric_pairs"](spark, small).count() > 0
