@@ -22,6 +22,8 @@ from adtally.session import materialize
 END, OTHER = 0, 1
 #: Text that is coded at a time: whole texts, however many or long.
 SLICE_BYTES = 8 << 20
+#: Exponentials of as much, and sums of very many of them, are numbers of single precision, as are their inverses.
+SAFE = 60.0
 NAMES = ("embed", "w", "b", "u", "uh", "vc", "ac", "vw", "aw")
 
 
@@ -72,7 +74,7 @@ class Gru:
         self.seen = 0
         self.members = vocabulary.members
         # Few bytes a number: sorted by counting.
-        self.kinds, self.small = vocabulary.classes.astype(np.min_scalar_type(len(self.members))), np.min_scalar_type(len(vocabulary.classes))
+        self.kinds = vocabulary.classes.astype(np.min_scalar_type(len(self.members)))
         self.place = np.arange(len(vocabulary.classes)) - np.array([own.start for own in self.members])[vocabulary.classes]
         r = np.random.default_rng(seed)
         count, classes = len(vocabulary.classes), len(self.members)
@@ -105,18 +107,20 @@ class Gru:
         wanted, log = targets[order], np.empty(len(targets))
         kinds = self.v.classes[wanted]
         # A last column of ones takes up what does not depend on the state.
-        sorted_states = np.ones((len(order), self.hidden + 1), states.dtype)
-        sorted_states[:, :-1] = states[order]
-        a = np.append(self.p["vc"], self.p["ac"][None], axis=0).T @ sorted_states.T
-        part, sums = _log_picked(a, kinds)
+        sorted_states = np.empty((len(order), self.hidden + 1), states.dtype)
+        sorted_states[:, :-1], sorted_states[:, -1] = states[order], 1
+        most = max(1.0, float(np.abs(states).max(initial=0)))
+        outer = np.append(self.p["vc"], self.p["ac"][None], axis=0).T
+        a = outer @ sorted_states.T
+        part, sums = _log_picked(a, kinds, most * np.abs(outer).sum(axis=1).max() > SAFE)
         found, inner = part.astype(float), []
         edges = np.searchsorted(kinds, np.arange(len(self.members) + 1)).tolist()
         words = np.append(self.p["vw"], self.p["aw"][:, None], axis=1)
-        places = self.place[wanted]
+        places, reach = self.place[wanted], np.abs(words) @ np.full(self.hidden + 1, most, words.dtype)
         for rows, own in zip(map(slice, edges, edges[1:]), self.members):
             if rows.start < rows.stop and own.stop - own.start > 1:
                 b = words[own] @ sorted_states[rows].T
-                part, inner_sums = _log_picked(b, places[rows])
+                part, inner_sums = _log_picked(b, places[rows], reach[own].max() > SAFE)
                 found[rows] += part
                 inner.append((rows, own, b, places[rows], inner_sums))
         log[order] = found
@@ -166,9 +170,11 @@ class Gru:
         dstates = np.ascontiguousarray(dstates.reshape(steps, len(h), n).transpose(0, 2, 1))
         carried = np.zeros((n, len(h)), h.dtype)
         deltas = np.empty((steps, 3 * n, len(h)), h.dtype)
-        x, through, slopes, back = np.empty_like(carried), np.empty_like(carried), np.empty_like(gates[0]), np.empty_like(carried)
+        x, through, back = np.empty((3, n, len(h)), h.dtype)
         for t in range(steps - 1, -1, -1):
-            z, r, c, d, delta = gates[t, :n], gates[t, n:], choices[t], dstates[t], deltas[t]
+            z, r, c, d = gates[t, :n], gates[t, n:], choices[t], dstates[t]
+            slopes, chosen = deltas[t, : 2 * n], deltas[t, 2 * n :]
+            slope_z, slope_r = slopes[:n], slopes[n:]
             d += carried
             if some[t]:
                 d *= real[:, t]
@@ -176,19 +182,18 @@ class Gru:
             np.multiply(c, c, out=x)
             np.subtract(1, x, out=x)
             x *= z
-            np.multiply(x, d, out=delta[2 * n :])
-            np.matmul(p["uh"], delta[2 * n :], out=through)
+            np.multiply(x, d, out=chosen)
+            np.dot(p["uh"], chosen, out=through)
             np.subtract(1, gates[t], out=slopes)
-            np.multiply(d, slopes[:n], out=back)
+            np.multiply(d, slope_z, out=back)
             slopes *= gates[t]
-            slopes[:n] *= gaps[t]
-            slopes[:n] *= d
-            slopes[n:] *= befores[t]
-            slopes[n:] *= through
-            delta[: 2 * n] = slopes
+            slope_z *= gaps[t]
+            slope_z *= d
+            slope_r *= befores[t]
+            slope_r *= through
             through *= r
             back += through
-            np.matmul(p["u"], slopes, out=x)
+            np.dot(p["u"], slopes, out=x)
             back += x
             if some[t]:
                 back = np.where(real[:, t], back, carried)
@@ -199,25 +204,22 @@ class Gru:
         g["w"], g["b"] = (deltas @ embedded).sum(axis=0).T, deltas.sum(axis=2).sum(axis=0)
         g["u"] = (befores @ deltas[:, : 2 * n].transpose(0, 2, 1)).sum(axis=0)
         g["uh"] = (resets @ deltas[:, 2 * n :].transpose(0, 2, 1)).sum(axis=0)
-        heard = inputs.T.ravel().astype(self.small)
-        order = np.argsort(heard, kind="stable")
-        heard = heard[order]
-        firsts = np.flatnonzero(np.append(True, heard[1:] != heard[:-1]))
-        g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][heard[firsts]] = np.add.reduceat((deltas.transpose(0, 2, 1) @ p["w"].T).reshape(len(order), -1)[order], firsts)
+        heard, moved = inputs.T.ravel(), p["w"] @ deltas
+        sums = [np.bincount(heard, moved[:, k].ravel(), len(p["embed"])) for k in range(moved.shape[1])]
+        g["embed"] = np.stack(sums, axis=1).astype(h.dtype)
         return g, state.T, -float(log[mask].sum())
 
 
 def _step(u, uh, added, before, gates, reset, choice, gap, after) -> None:
     """One step of all streams, whose states are columns; every part of it is written where the caller says."""
     n = len(before)
-    np.matmul(u, before, out=gates)
+    np.dot(u, before, out=gates)
     gates += added[: 2 * n]
     np.tanh(gates, out=gates)
     gates *= 0.5
     gates += 0.5
     np.multiply(gates[n:], before, out=reset)
-    np.matmul(uh, reset, out=choice)
+    np.dot(uh, reset, out=choice)
     choice += added[2 * n :]
     np.tanh(choice, out=choice)
     np.subtract(choice, before, out=gap)
@@ -225,9 +227,13 @@ def _step(u, uh, added, before, gates, reset, choice, gap, after) -> None:
     after += before
 
 
-def _log_picked(a: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of one softmax entry a column, and the sums; ``a`` becomes the softmaxes, undivided."""
-    a -= a.max(axis=0)
+def _log_picked(a: np.ndarray, picked: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of one softmax entry a column, and the sums; ``a`` becomes the softmaxes, undivided.
+
+    ``shift`` if exponentials could leave the range of numbers.
+    """
+    if shift:
+        a -= a.max(axis=0)
     log = a[picked, np.arange(a.shape[1])]
     np.exp(a, out=a)
     sums = a.sum(axis=0)
@@ -294,11 +300,16 @@ def train_texts(model: Gru, texts: Iterator[np.ndarray], length: int, streams: i
                 m[n] *= 0.9
                 m[n] += 0.1 * d
                 d *= d
+                d *= 0.01
                 v[n] *= 0.99
-                v[n] += 0.01 * d
-                root = np.sqrt(v[n] / (1 - 0.99**step))
-                root += 1e-6
-                model.p[n] -= own / (1 - 0.9**step) * m[n] / root
+                v[n] += d
+                # The step itself, in the gradient's place.
+                np.divide(v[n], 1 - 0.99**step, out=d)
+                np.sqrt(d, out=d)
+                d += 1e-6
+                np.divide(m[n], d, out=d)
+                d *= own / (1 - 0.9**step)
+                model.p[n] -= d
 
     for text in texts:
         held.append(text)
