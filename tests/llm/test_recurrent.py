@@ -25,6 +25,16 @@ def test_chances_of_all_words_add_up_to_one():
     np.testing.assert_allclose(total, 1, rtol=1e-5)
 
 
+def test_chances_of_states_of_any_size_are_numbers():
+    """Small softmaxes are not shifted; those that could overflow are."""
+    model = Gru(vocabulary(), 4, 5)
+    h = np.random.default_rng(1).normal(size=(3, 5)).astype(np.float32)
+    for much in (1, 1e4):
+        logs = [model.chances(h * np.float32(much), np.full(3, w))[0] for w in range(12)]
+        assert np.isfinite(logs).all()
+        np.testing.assert_allclose(np.exp(logs).sum(axis=0), 1, rtol=1e-4)
+
+
 def test_gradients_are_those_of_the_loss():
     model = Gru(vocabulary(), 4, 5)
     model.p = {n: p.astype(float) for n, p in model.p.items()}
