@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from adtally.llm.features import id_remainder
 from adtally.llm.prefix_crc import slices
-from adtally.llm.shuffles import dropping_shuffles
+from adtally.llm.shuffles import dropping_shuffles, hashing_parts
 from adtally.session import materialize
 
 #: Place of the end mark and of all words outside the model's list.
@@ -24,6 +24,8 @@ END, OTHER = 0, 1
 SLICE_BYTES = 8 << 20
 #: Exponentials of as much, and sums of very many of them, are numbers of single precision, as are their inverses.
 SAFE = 60.0
+#: Entries of a class's softmaxes that are worked on at a time: they stay near the processor.
+SOFTMAX_ENTRIES = 1 << 16
 NAMES = ("embed", "w", "b", "u", "uh", "vc", "ac", "vw", "aw")
 
 
@@ -89,42 +91,58 @@ class Gru:
         self.p["ac"] = np.log(by_class / by_class.sum()).astype(np.float32)
         self.p["aw"] = np.log(smooth / by_class[vocabulary.classes]).astype(np.float32)
 
-    def turned(self) -> tuple[np.ndarray, ...]:
-        """The recurrent weights for states whose streams stand side by side.
+    def turned(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the gates and of the candidate, for columns of an input, a one and a state.
 
-        Those of the gates are halved, as a gate is the tanh of half its argument; halves are exact.
+        Those of the gates are negative, as a gate is one over one more than the exponential of its negative argument.
         """
-        p, half = self.p, np.where(np.arange(3 * self.hidden) < 2 * self.hidden, 0.5, 1).astype(self.p["w"].dtype)
-        return tuple(np.ascontiguousarray(x.T) for x in (p["w"] * half, (p["b"] * half)[None], p["u"] * half[: 2 * self.hidden], p["uh"]))
+        p, n = self.p, 2 * self.hidden
+        gates, choice = np.concatenate([p["w"], p["b"][None]]), np.concatenate([p["u"], p["uh"]], axis=1)
+        both = np.concatenate([gates, choice]).T
+        return -both[:n], both[n:].copy()
 
-    def chances(self, states: np.ndarray, targets: np.ndarray):
-        """Natural log-probabilities of targets, and what the backward pass needs.
+    def outputs(self) -> tuple[np.ndarray, ...]:
+        """Weights of classes and of words with their constants, and how far a state of ones could take each word."""
+        outer = np.append(self.p["vc"], self.p["ac"][None], axis=0).T
+        words = np.append(self.p["vw"], self.p["aw"][:, None], axis=1)
+        return outer, words, np.abs(words).sum(axis=1)
 
-        Tokens are put in the order of their classes, so each class's are a slice. Softmaxes have
-        the tokens side by side, and are left undivided, with their sums.
-        """
+    def by_class(self, states: np.ndarray, targets: np.ndarray):
+        """Tokens in the order of their classes, so each class's are a slice: the order, the tokens, their classes, their states."""
         order = np.argsort(self.kinds[targets], kind="stable")
-        wanted, log = targets[order], np.empty(len(targets))
-        kinds = self.v.classes[wanted]
+        wanted = targets[order]
         # A last column of ones takes up what does not depend on the state.
         sorted_states = np.empty((len(order), self.hidden + 1), states.dtype)
-        sorted_states[:, :-1], sorted_states[:, -1] = states[order], 1
-        most = max(1.0, float(np.abs(states).max(initial=0)))
-        outer = np.append(self.p["vc"], self.p["ac"][None], axis=0).T
-        a = outer @ sorted_states.T
-        part, sums = _log_picked(a, kinds, most * np.abs(outer).sum(axis=1).max() > SAFE)
-        found, inner = part.astype(float), []
+        sorted_states[:, :-1], sorted_states[:, -1] = np.take(states, order, axis=0), 1
+        return order, wanted, self.v.classes[wanted], sorted_states
+
+    def word_chances(self, sorted_states: np.ndarray, wanted: np.ndarray, kinds: np.ndarray, outputs: tuple, most: float):
+        """Of some tokens of a class at a time: which, the class's words, and their softmaxes as ``_log_picked`` has them.
+
+        Softmaxes have the tokens side by side, and are left undivided, with their sums.
+        """
+        _, words, reach = outputs
         edges = np.searchsorted(kinds, np.arange(len(self.members) + 1)).tolist()
-        words = np.append(self.p["vw"], self.p["aw"][:, None], axis=1)
-        places, reach = self.place[wanted], np.abs(words) @ np.full(self.hidden + 1, most, words.dtype)
-        for rows, own in zip(map(slice, edges, edges[1:]), self.members):
-            if rows.start < rows.stop and own.stop - own.start > 1:
-                b = words[own] @ sorted_states[rows].T
-                part, inner_sums = _log_picked(b, places[rows], reach[own].max() > SAFE)
-                found[rows] += part
-                inner.append((rows, own, b, places[rows], inner_sums))
+        places = self.place[wanted]
+        for first, last, own in zip(edges, edges[1:], self.members):
+            if own.stop - own.start > 1:
+                shift, step = most * reach[own].max() > SAFE, max(1, SOFTMAX_ENTRIES // (own.stop - own.start))
+                for start in range(first, last, step):
+                    rows = slice(start, min(start + step, last))
+                    b = words[own] @ sorted_states[rows].T
+                    yield rows, own, b, places[rows], *_log_picked(b, places[rows], shift)
+
+    def chances(self, states: np.ndarray, targets: np.ndarray, outputs: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log-probabilities of targets; in the order of their classes, and which target is where."""
+        outputs = outputs or self.outputs()
+        order, wanted, kinds, sorted_states = self.by_class(states, targets)
+        most, outer = max(1.0, float(np.abs(states).max(initial=0))), outputs[0]
+        found = _log_picked(outer @ sorted_states.T, kinds, most * np.abs(outer).sum(axis=1).max() > SAFE)[0].astype(float)
+        for rows, _, _, _, part, _ in self.word_chances(sorted_states, wanted, kinds, outputs, most):
+            found[rows] += part
+        log = np.empty(len(targets))
         log[order] = found
-        return log, order, sorted_states, (a, kinds, sums), inner
+        return log, order
 
     def gradients(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, fresh: np.ndarray | None = None):
         """Gradients of the summed loss over a window (streams by steps), and the state after it.
@@ -132,26 +150,41 @@ class Gru:
         Before steps marked ``fresh`` the state is zero again: a text starts.
         """
         p, steps, n, g = self.p, inputs.shape[1], self.hidden, {}
-        w, bias, u, uh = self.turned()
-        embedded = p["embed"][inputs.T]
-        added = w @ embedded.transpose(0, 2, 1)
-        added += bias
+        to_gates, to_choice = self.turned()
+        fixed = p["embed"].shape[1] + 1
+        # What each step's gates and candidate are made of: inputs, ones, and the state before or what is kept of it.
+        heard, kept = np.empty((2, steps, fixed + n, len(h)), h.dtype)
+        heard[:, : fixed - 1], heard[:, fixed - 1] = p["embed"][inputs.T].transpose(0, 2, 1), 1
+        kept[:, :fixed] = heard[:, :fixed]
         some = ~real.all(axis=0)
         starts = np.zeros(steps, bool) if fresh is None else fresh.any(axis=0)
         gates = np.empty((steps, 2 * n, len(h)), h.dtype)
-        befores, resets, choices, gaps, afters = np.empty((5, steps, n, len(h)), h.dtype)
+        choices, gaps, afters = np.empty((3, steps, n, len(h)), h.dtype)
+        befores, resets = heard[:, fixed:], kept[:, fixed:]
         state = h.T
-        for t in range(steps):
-            before, after = befores[t], afters[t]
-            before[...] = state
-            if starts[t]:
-                before[:, fresh[:, t]] = 0
-            _step(u, uh, added[t], before, gates[t], resets[t], choices[t], gaps[t], after)
-            state = np.where(real[:, t], after, before) if some[t] else after
-        wanted = targets.T.ravel()
-        log, order, sorted_states, (a, kinds, sums), inner = self.chances(afters.transpose(0, 2, 1).reshape(-1, n), wanted)
-        mask = real.T.ravel()
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                before, after, gap = befores[t], afters[t], gaps[t]
+                before[...] = state
+                if starts[t]:
+                    before[:, fresh[:, t]] = 0
+                np.dot(to_gates, heard[t], out=gates[t])
+                _gate(gates[t])
+                np.multiply(gates[t, n:], before, out=resets[t])
+                np.dot(to_choice, kept[t], out=choices[t])
+                np.tanh(choices[t], out=choices[t])
+                np.subtract(choices[t], before, out=gap)
+                np.multiply(gates[t, :n], gap, out=after)
+                after += before
+                state = np.where(real[:, t], after, before) if some[t] else after
+        states, mask = afters.transpose(0, 2, 1).reshape(-1, n), real.T.ravel()
+        outputs = self.outputs()
+        order, wanted, kinds, sorted_states = self.by_class(states, targets.T.ravel())
         weight = mask[order].astype(h.dtype)
+        most = max(1.0, float(np.abs(states).max(initial=0)))
+        a = outputs[0] @ sorted_states.T
+        part, sums = _log_picked(a, kinds, most * np.abs(outputs[0]).sum(axis=1).max() > SAFE)
+        loss = -float(part @ weight)
         # Softmaxes become what the loss falls by in each of their arguments.
         a *= weight / sums
         a[kinds, np.arange(len(kinds))] -= weight
@@ -159,10 +192,11 @@ class Gru:
         g["vc"], g["ac"] = np.ascontiguousarray(outer[:, :-1].T), outer[:, -1].copy()
         dsorted = a.T @ p["vc"].T
         words = np.zeros((len(p["vw"]), n + 1), h.dtype)
-        for rows, own, b, places, sums in inner:
+        for rows, own, b, places, part, sums in self.word_chances(sorted_states, wanted, kinds, outputs, most):
+            loss -= float(part @ weight[rows])
             b *= weight[rows] / sums
             b[places, np.arange(len(places))] -= weight[rows]
-            words[own] = b @ sorted_states[rows]
+            words[own] += b @ sorted_states[rows]
             dsorted[rows] += b.T @ p["vw"][own]
         g["vw"], g["aw"] = words[:, :-1].copy(), words[:, -1].copy()
         dstates = np.empty_like(dsorted)
@@ -170,30 +204,30 @@ class Gru:
         dstates = np.ascontiguousarray(dstates.reshape(steps, len(h), n).transpose(0, 2, 1))
         carried = np.zeros((n, len(h)), h.dtype)
         deltas = np.empty((steps, 3 * n, len(h)), h.dtype)
+        # What each step's slopes are but for the loss's own.
+        slopes, rest = 1 - gates, choices
+        left = slopes[:, :n].copy()
+        slopes *= gates
+        slopes[:, :n] *= gaps
+        slopes[:, n:] *= befores
+        rest *= rest
+        np.subtract(1, rest, out=rest)
+        rest *= gates[:, :n]
         x, through, back = np.empty((3, n, len(h)), h.dtype)
         for t in range(steps - 1, -1, -1):
-            z, r, c, d = gates[t, :n], gates[t, n:], choices[t], dstates[t]
-            slopes, chosen = deltas[t, : 2 * n], deltas[t, 2 * n :]
-            slope_z, slope_r = slopes[:n], slopes[n:]
+            d, delta = dstates[t], deltas[t]
             d += carried
             if some[t]:
                 d *= real[:, t]
-            # What the candidate's slope, and then both gates' slopes, leave of it.
-            np.multiply(c, c, out=x)
-            np.subtract(1, x, out=x)
-            x *= z
-            np.multiply(x, d, out=chosen)
+            chosen = delta[2 * n :]
+            np.multiply(rest[t], d, out=chosen)
             np.dot(p["uh"], chosen, out=through)
-            np.subtract(1, gates[t], out=slopes)
-            np.multiply(d, slope_z, out=back)
-            slopes *= gates[t]
-            slope_z *= gaps[t]
-            slope_z *= d
-            slope_r *= befores[t]
-            slope_r *= through
-            through *= r
+            np.multiply(slopes[t, :n], d, out=delta[:n])
+            np.multiply(slopes[t, n:], through, out=delta[n : 2 * n])
+            np.multiply(d, left[t], out=back)
+            through *= gates[t, n:]
             back += through
-            np.dot(p["u"], slopes, out=x)
+            np.dot(p["u"], delta[: 2 * n], out=x)
             back += x
             if some[t]:
                 back = np.where(real[:, t], back, carried)
@@ -201,30 +235,22 @@ class Gru:
             if starts[t]:
                 carried[:, fresh[:, t]] = 0
         # Sums over all steps at once.
-        g["w"], g["b"] = (deltas @ embedded).sum(axis=0).T, deltas.sum(axis=2).sum(axis=0)
-        g["u"] = (befores @ deltas[:, : 2 * n].transpose(0, 2, 1)).sum(axis=0)
-        g["uh"] = (resets @ deltas[:, 2 * n :].transpose(0, 2, 1)).sum(axis=0)
-        heard, moved = inputs.T.ravel(), p["w"] @ deltas
-        sums = [np.bincount(heard, moved[:, k].ravel(), len(p["embed"])) for k in range(moved.shape[1])]
+        by_gates = (deltas[:, : 2 * n] @ heard.transpose(0, 2, 1)).sum(axis=0).T
+        by_choice = (deltas[:, 2 * n :] @ kept.transpose(0, 2, 1)).sum(axis=0).T
+        both = np.concatenate([by_gates[:fixed], by_choice[:fixed]], axis=1)
+        g["w"], g["b"] = both[:-1], both[-1]
+        g["u"], g["uh"] = np.ascontiguousarray(by_gates[fixed:]), np.ascontiguousarray(by_choice[fixed:])
+        words, moved = inputs.T.ravel(), p["w"] @ deltas
+        sums = [np.bincount(words, moved[:, k].ravel(), len(p["embed"])) for k in range(fixed - 1)]
         g["embed"] = np.stack(sums, axis=1).astype(h.dtype)
-        return g, state.T, -float(log[mask].sum())
-
-
-def _step(u, uh, added, before, gates, reset, choice, gap, after) -> None:
-    """One step of all streams, whose states are columns; every part of it is written where the caller says."""
-    n = len(before)
-    np.dot(u, before, out=gates)
-    gates += added[: 2 * n]
-    np.tanh(gates, out=gates)
-    gates *= 0.5
-    gates += 0.5
-    np.multiply(gates[n:], before, out=reset)
-    np.dot(uh, reset, out=choice)
-    choice += added[2 * n :]
-    np.tanh(choice, out=choice)
-    np.subtract(choice, before, out=gap)
-    np.multiply(gates[:n], gap, out=after)
-    after += before
+        return g, state.T, loss
+
+
+def _gate(a: np.ndarray) -> None:
+    """One over one more than the exponentials, in their arguments' place; exponentials out of range leave 0."""
+    np.exp(a, out=a)
+    a += 1
+    np.reciprocal(a, out=a)
 
 
 def _log_picked(a: np.ndarray, picked: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -234,9 +260,9 @@ def _log_picked(a: np.ndarray, picked: np.ndarray, shift: bool) -> tuple[np.ndar
     """
     if shift:
         a -= a.max(axis=0)
-    log = a[picked, np.arange(a.shape[1])]
+    log = np.take(a, picked * a.shape[1] + np.arange(a.shape[1]))
     np.exp(a, out=a)
-    sums = a.sum(axis=0)
+    sums = np.ones(len(a), a.dtype) @ a
     return log - np.log(sums), sums
 
 
@@ -294,22 +320,7 @@ def train_texts(model: Gru, texts: Iterator[np.ndarray], length: int, streams: i
             seen, step = int(real.sum()), step + 1
             # Windows at the end of long texts hold few streams, and move the weights less.
             own = rate * math.sqrt(min(1.0, seen / (wide * length)))
-            for n, d in g.items():
-                d *= 32 / seen
-                np.clip(d, -1, 1, out=d)
-                m[n] *= 0.9
-                m[n] += 0.1 * d
-                d *= d
-                d *= 0.01
-                v[n] *= 0.99
-                v[n] += d
-                # The step itself, in the gradient's place.
-                np.divide(v[n], 1 - 0.99**step, out=d)
-                np.sqrt(d, out=d)
-                d += 1e-6
-                np.divide(m[n], d, out=d)
-                d *= own / (1 - 0.9**step)
-                model.p[n] -= d
+            _adam(model.p, g, m, v, step, 32 / seen, own)
 
     for text in texts:
         held.append(text)
@@ -323,6 +334,28 @@ def train_texts(model: Gru, texts: Iterator[np.ndarray], length: int, streams: i
     return total
 
 
+def _adam(p: dict, g: dict, m: dict, v: dict, step: int, scale: float, rate: float) -> None:
+    """Adam's step number ``step`` by gradients that are scaled and clipped; it is made in their place."""
+    # The corrections for early steps stand with the rate and with the least divisor.
+    late = math.sqrt(1 - 0.99**step)
+    rate, least = rate * late / (1 - 0.9**step), 1e-6 * late
+    for n, d in g.items():
+        d *= scale
+        np.clip(d, -1, 1, out=d)
+        d *= 0.1
+        m[n] *= 0.9
+        m[n] += d
+        # A hundredth of the gradient's square.
+        d *= d
+        v[n] *= 0.99
+        v[n] += d
+        np.sqrt(v[n], out=d)
+        d += least
+        np.divide(m[n], d, out=d)
+        d *= rate
+        p[n] -= d
+
+
 def packed(model: Gru) -> bytes:
     return b"".join(model.p[n].astype("<f4").tobytes() for n in NAMES)
 
@@ -347,6 +380,19 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.words = pa.array(vocabulary.words, pa.string())
 
+    def numbers(self, texts: pa.Array) -> list[np.ndarray]:
+        """Numbers of each text with its end, where nothing else of its words is wanted."""
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = cut.flatten()
+        numbers = places_in(words, self.words).astype(np.int32) + 2
+        numbers[numbers == len(self.words) + 2] = OTHER
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        empty = pc.equal(words, "").to_numpy(zero_copy_only=False)
+        if empty.any():
+            numbers, offsets = numbers[~empty], np.append(0, np.cumsum(~empty))[offsets]
+        end = np.array([END], np.int32)
+        return [np.concatenate([numbers[a:b], end]) for a, b in zip(offsets, offsets[1:])]
+
     def code(self, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray]:
         """Numbers of each text with its end, and all words, their codes and the text each is of."""
         cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -370,17 +416,18 @@ def score_texts(model: Gru, texts: list[np.ndarray], window: int = 64, streams:
     Texts of like length run side by side; what a text has read stays in its state from one
     window to the next, so a text of any length is scored whole.
     """
-    totals = np.zeros(len(texts))
-    w, bias, u, uh = model.turned()
-    # Every word's share of the next step, once for all texts.
-    added = model.p["embed"] @ w.T + bias.T
+    totals, n = np.zeros(len(texts)), model.hidden
+    # Every word's share of the next step, once for all texts; that of the gates is negative.
+    added = model.p["embed"] @ model.p["w"] + model.p["b"]
+    to_gates, to_choice = -added[:, : 2 * n], added[:, 2 * n :].copy()
+    u, uh, outputs = -model.p["u"], model.p["uh"], model.outputs()
     order = np.array(sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)), int)
     lengths = np.array([len(texts[i]) for i in order], int)
-    n = model.hidden
     for first in range(0, len(order), streams):
         group, sizes = order[first : first + streams], lengths[first : first + streams]
-        h = np.zeros((n, len(group)), np.float32)
+        h = np.zeros((len(group), n), np.float32)
         last = np.full(len(group), END)
+        gates, choice, reset = np.empty((len(group), 2 * n), np.float32), *np.empty((2, len(group), n), np.float32)
         for start in range(0, int(sizes[0]) if len(sizes) else 0, window):
             stop = min(start + window, int(sizes[0]))
             # How many texts are left at each step.
@@ -390,19 +437,25 @@ def score_texts(model: Gru, texts: list[np.ndarray], window: int = 64, streams:
                 own = texts[group[row]][start:stop]
                 tokens[: len(own), row] = own
             states = np.empty((sum(lives), n), np.float32)
-            at, wide = 0, 0
+            at = 0
             for t, live in enumerate(lives):
-                if live != wide:
-                    wide, h = live, np.ascontiguousarray(h[:, :live])
-                    gates, after = np.empty((2 * n, live), np.float32), np.empty((n, live), np.float32)
-                    reset, choice, gap = np.empty((3, n, live), np.float32)
-                _step(u, uh, np.ascontiguousarray(added[last[:live]].T), h, gates, reset, choice, gap, after)
-                h, after = after, h
+                # States in rows, where the softmaxes read them.
+                h, z, c = h[:live], gates[:live], choice[:live]
+                np.dot(h, u, out=z)
+                z += np.take(to_gates, last[:live], axis=0)
+                with np.errstate(over="ignore"):
+                    _gate(z)
+                np.multiply(z[:, n:], h, out=reset[:live])
+                np.dot(reset[:live], uh, out=c)
+                c += np.take(to_choice, last[:live], axis=0)
+                np.tanh(c, out=c)
+                c -= h
+                c *= z[:, :n]
+                h = np.add(h, c, out=states[at : at + live])
                 last = tokens[t, :live]
-                states[at : at + live] = h.T
                 at += live
             rows = np.concatenate([np.arange(live) for live in lives])
-            log = model.chances(states, np.concatenate([tokens[t, :live] for t, live in enumerate(lives)]))[0]
+            log = model.chances(states, np.concatenate([tokens[t, :live] for t, live in enumerate(lives)]), outputs)[0]
             totals[group[: lives[0]]] += np.bincount(rows, log, lives[0])
     return totals
 
@@ -438,10 +491,10 @@ def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidde
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder, mine = Coder(vocabulary), unpacked(Gru(vocabulary, embed, hidden), start)
             texts = (
-                text.astype(np.int32)
+                text
                 for batch in batches
                 for _, part in slices(batch.column("_text"), SLICE_BYTES)
-                for text in coder.code(part)[0]
+                for text in coder.numbers(part)
             )
             n = train_texts(mine, texts, window, streams, rate * fall**number, steps)
             if n:
@@ -461,6 +514,7 @@ def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidde
 
 
 @dropping_shuffles
+@hashing_parts
 def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed: int = 4_096, known: int = 1 << 16,
                     embed: int = 16, hidden: int = 24, window: int = 64, streams: int = 128, rate: float = 0.03,
                     rounds: int = 2, id_column: str = "doc_id",
@@ -557,6 +611,7 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_log"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"),
     )
+    sums = materialize(sums, "recurrent-rare")
     log_all = math.log10(tokens + 0.1 * (distinct + 1))
     joined = read.drop("rare").join(sums, "row", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_HASHED_BYTES = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -32,3 +33,5 @@ def _while_running(key: str, value: str) -> Callable[[Callable[..., DataFrame]],
 dropping_shuffles = _while_running(_CLEANUP, "true")
 #: Send texts to Python workers in batches of few MB, as a batch lies in the executor and in the worker at once.
 small_batches = _while_running(_BATCH_BYTES, str(4 << 20))
+#: Join shuffled tables by hashing instead of sorting them, if no part of the smaller one is beyond the advised size.
+hashing_parts = _while_running(_HASHED_BYTES, "64MB")

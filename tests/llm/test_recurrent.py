@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from adtally.llm import recurrent
-from adtally.llm.recurrent import END, Gru, Vocabulary, class_sizes, document_scores, packed, score_texts, unpacked
+from adtally.llm.recurrent import END, NAMES, Coder, Gru, Vocabulary, class_sizes, document_scores, packed, score_texts, unpacked
 from adtally.llm.registered import table
 
 
@@ -136,3 +137,78 @@ def test_odd_rows(spark):
     twice = [r for r in got if r._id == 1]
     assert twice[0].score == pytest.approx(twice[1].score, rel=1e-6)
     assert document_scores(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_scores_are_the_loss_of_the_training():
+    """Scoring has its own steps, with states in rows."""
+    model = Gru(vocabulary(), 4, 5)
+    texts = [np.append(np.random.default_rng(n).integers(1, 12, n), END) for n in (3, 60, 2, 17)]
+    (inputs, targets, real, fresh), = recurrent.windows_of(texts, 2, 100)
+    loss = model.gradients(np.zeros((2, 5), np.float32), inputs, targets, real, fresh)[2]
+    assert -score_texts(model, texts, window=7, streams=3).sum() == pytest.approx(loss, rel=1e-5)
+
+
+def test_gates_of_any_size_are_numbers():
+    with np.errstate(over="ignore"):
+        gates = np.array([-1e4, -3, 0, 3, 1e4], np.float32)
+        recurrent._gate(gates)
+    np.testing.assert_allclose(gates, [1, 1 / (1 + math.exp(-3)), 0.5, 1 / (1 + math.exp(3)), 0], rtol=1e-6)
+
+
+def test_large_classes_are_worked_on_in_parts(monkeypatch):
+    model, rng = Gru(vocabulary(40), 4, 5), np.random.default_rng(3)
+    states, targets = rng.normal(size=(50, 5)).astype(np.float32), rng.integers(0, 40, 50)
+    inputs, tokens = rng.integers(0, 40, (2, 4, 9))
+    whole = model.chances(states, targets)[0], model.gradients(np.zeros((4, 5), np.float32), inputs, tokens, np.ones((4, 9), bool))
+    monkeypatch.setattr(recurrent, "SOFTMAX_ENTRIES", 70)
+    parts = model.chances(states, targets)[0], model.gradients(np.zeros((4, 5), np.float32), inputs, tokens, np.ones((4, 9), bool))
+    np.testing.assert_allclose(parts[0], whole[0], rtol=1e-5)
+    for name in NAMES:
+        np.testing.assert_allclose(parts[1][0][name], whole[1][0][name], atol=1e-4)
+
+
+def test_adam_takes_its_known_steps():
+    p, m, v = ({"w": np.full(3, x)} for x in (1.0, 0.0, 0.0))
+    want, mean, square = np.ones(3), np.zeros(3), np.zeros(3)
+    for step in range(1, 6):
+        g = np.array([0.3, -2.0, 40.0]) / step
+        clipped = np.clip(g * 0.5, -1, 1)
+        mean, square = 0.9 * mean + 0.1 * clipped, 0.99 * square + 0.01 * clipped**2
+        want = want - 0.03 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+        recurrent._adam(p, {"w": g}, m, v, step, 0.5, 0.03)
+        np.testing.assert_allclose(p["w"], want, rtol=1e-9)
+
+
+def test_numbers_without_a_dictionary_are_the_same():
+    coder = Coder(vocabulary())
+    texts = pa.array(["w3 W4  other", None, "", " \t\n", "w0\x1cw1 w9 \x0bw2 ", "other", "w5"], pa.string())
+    for part in (texts, texts.slice(3, 2), texts.slice(0, 0)):
+        got, want = coder.numbers(part), coder.code(part)[0]
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    assert coder.numbers(texts)[0].tolist() == [5, 6, recurrent.OTHER, END]
+
+
+def test_rare_words_are_joined_by_hashing(spark):
+    """The setting holds while the operator runs, and is put back."""
+    from adtally.llm.shuffles import hashing_parts
+
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before, seen = spark.conf.get(key), []
+
+    @hashing_parts
+    def build(docs):
+        seen.append(spark.conf.get(key))
+        words = docs.selectExpr("cast(id as string) as word", "id")
+        joined = words.repartition(3).join(words.repartition(4), "word", "left")
+        joined.collect()
+        return joined
+
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = build(spark.range(5_000))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, value in conf.items():
+            spark.conf.set(k, value)
+    assert seen == ["64MB"] and spark.conf.get(key) == before
+    assert "ShuffledHashJoin" in plan.split("Initial Plan")[0]
