@@ -29,19 +29,6 @@ def give_back() -> None:
         trim(0)
 
 
-def hold_heap(size: int) -> None:
-    """Let so many free bytes stay with this process, and arrays of half as many lie on its heap; 0 for few.
-
-    Large arrays that are made again and again need not be paged in each time then. Other C libraries
-    than GNU's have no such call.
-    """
-    option = getattr(ctypes.CDLL(None), "mallopt", None)
-    if option:
-        # M_TRIM_THRESHOLD and M_MMAP_THRESHOLD, by default 128 KB each.
-        option(-1, max(size, 128 << 10))
-        option(-3, max(size // 2, 128 << 10))
-
-
 class _Shapes(dict):
     """What str.translate writes for a character: letters by case, digits as one, others as they are."""
 

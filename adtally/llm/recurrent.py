@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.features import give_back, hold_heap, id_remainder
+from adtally.llm.features import id_remainder
 from adtally.llm.prefix_crc import slices
 from adtally.llm.shuffles import dropping_shuffles, hashing_parts
 from adtally.session import materialize
@@ -26,8 +26,6 @@ SLICE_BYTES = 8 << 20
 SAFE = 60.0
 #: Entries of a class's softmaxes that are worked on at a time: they stay near the processor.
 SOFTMAX_ENTRIES = 1 << 16
-#: Free memory that stays with a worker from one step to the next, as paging it in anew takes long.
-HELD_BYTES = 64 << 20
 NAMES = ("embed", "w", "b", "u", "uh", "vc", "ac", "vw", "aw")
 
 
@@ -439,26 +437,23 @@ def score_texts(model: Gru, texts: list[np.ndarray], window: int = 64, streams:
                 own = texts[group[row]][start:stop]
                 tokens[: len(own), row] = own
             states = np.empty((sum(lives), n), np.float32)
-            at, wide = 0, 0
-            with np.errstate(over="ignore"):
-                for t, live in enumerate(lives):
-                    if live != wide:
-                        wide, h, last = live, h[:live], last[:live]
-                        z, c, r = gates[:live], choice[:live], reset[:live]
-                        renewed, kept = z[:, :n], z[:, n:]
-                    # States in rows, where the softmaxes read them.
-                    np.dot(h, u, out=z)
-                    z += np.take(to_gates, last, axis=0)
+            at = 0
+            for t, live in enumerate(lives):
+                # States in rows, where the softmaxes read them.
+                h, z, c = h[:live], gates[:live], choice[:live]
+                np.dot(h, u, out=z)
+                z += np.take(to_gates, last[:live], axis=0)
+                with np.errstate(over="ignore"):
                     _gate(z)
-                    np.multiply(kept, h, out=r)
-                    np.dot(r, uh, out=c)
-                    c += np.take(to_choice, last, axis=0)
-                    np.tanh(c, out=c)
-                    c -= h
-                    c *= renewed
-                    h = np.add(h, c, out=states[at : at + live])
-                    last = tokens[t, :live]
-                    at += live
+                np.multiply(z[:, n:], h, out=reset[:live])
+                np.dot(reset[:live], uh, out=c)
+                c += np.take(to_choice, last[:live], axis=0)
+                np.tanh(c, out=c)
+                c -= h
+                c *= z[:, :n]
+                h = np.add(h, c, out=states[at : at + live])
+                last = tokens[t, :live]
+                at += live
             rows = np.concatenate([np.arange(live) for live in lives])
             log = model.chances(states, np.concatenate([tokens[t, :live] for t, live in enumerate(lives)]), outputs)[0]
             totals[group[: lives[0]]] += np.bincount(rows, log, lives[0])
@@ -501,12 +496,7 @@ def fit_recurrent(training: DataFrame, vocabulary: Vocabulary, embed: int, hidde
                 for _, part in slices(batch.column("_text"), SLICE_BYTES)
                 for text in coder.numbers(part)
             )
-            hold_heap(HELD_BYTES)
-            try:
-                n = train_texts(mine, texts, window, streams, rate * fall**number, steps)
-            finally:
-                hold_heap(0)
-                give_back()
+            n = train_texts(mine, texts, window, streams, rate * fall**number, steps)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed(mine)], pa.binary())], names=["n", "weights"])
 
@@ -601,11 +591,7 @@ def document_scores(docs: DataFrame, held_out: tuple[int, int] = (10, 0), listed
                     offsets.astype(np.int32),
                     pa.StructArray.from_arrays([rare_words, pa.array(times)], names=["word", "k"]),
                 )
-                hold_heap(HELD_BYTES)
-                try:
-                    gru = score_texts(own_model, numbers) / math.log(10)
-                finally:
-                    hold_heap(0)
+                gru = score_texts(own_model, numbers) / math.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").slice(at, size), batch.column("_held_out").slice(at, size),
                      pa.array(np.array([len(x) for x in numbers], np.int64)), pa.array(n_known.astype(np.int64)),
