@@ -1,10 +1,14 @@
 """Vector searches against all inner products."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from adtally.llm.metric_tree import _NONE, Page, TreeBuilder, search_block, tree_search
-from adtally.llm.multi_index import search, traverse
+from adtally.llm.multi_index import drawn, search, traverse
 from adtally.llm.registered import QUERIES, table
 
 SCHEMA = "vec_id long, embedding array<float>, score int, ids int, rank int"
@@ -135,6 +139,31 @@ def test_a_crowded_cell_is_scored_in_many_parts(vectors):
     assert {q: [n for n, _ in r] for q, r in one.items()} == {q: [n for n, _ in r] for q, r in many.items()}
 
 
+def test_the_driver_holds_a_sample_of_wide_vectors_once(spark):
+    """4 MB of numbers; as Python's floats and doubles of all of them they took ten times that."""
+    x = np.random.default_rng(13).normal(size=(1_000, 1_024)).astype(np.float32)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(1_000), "embedding": pa.array(list(x))})).repartition(4)
+    asked = frame.where("vec_id % 500 = 0")
+    search(frame, asked, codewords=4).count()  # modules loaded late
+    tracemalloc.start()
+    try:
+        found = search(frame, asked, codewords=4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5 * x.nbytes
+    assert set(lists(found)) == {0, 500}
+
+
+def test_a_sample_in_pieces_is_the_one_of_least_hash(spark):
+    x = np.random.default_rng(14).normal(size=(500, 6)).astype(np.float32)
+    frame = spark.createDataFrame([(n * 7, v.tolist()) for n, v in enumerate(x)], "vec_id long, vector array<float>").repartition(5)
+    order = [r.vec_id // 7 for r in frame.orderBy(F.xxhash64("vec_id"), "vec_id").collect()]
+    for sample in (1, 200, 500, 900):
+        for piece in (4_000, 1 << 23):
+            np.testing.assert_array_equal(drawn(frame, sample, 6, piece), x[order[:sample]])
+
+
 @pytest.mark.parametrize("find", [search, tree_search])
 def test_few_or_no_vectors(spark, find):
     nothing = spark.createDataFrame([], SCHEMA)
